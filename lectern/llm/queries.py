@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, topk, url_filter
+from lectern.llm import chat, langid, packing, topk, url_filter
 from lectern.session import table
 
 
@@ -27,6 +27,19 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    models = langid.train(documents, ~held_out)
+    return langid.predict(documents, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -38,5 +51,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op6_url_filter": op6_url_filter, "op9_chat_format": op9_chat_format}
+QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op9_chat_format": op9_chat_format}
 ORACLES = {"op1_exact_top_k": OP1_SQL}
