@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, langid, packing, topk, url_filter
+from lectern.llm import chat, decontaminate, langid, packing, topk, url_filter
 from lectern.session import table
 
 
@@ -27,6 +27,33 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_items = F.size("items").cast("long").alias("n_items")
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    judged = ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+    return found.select("doc_id", "n_words", "n_hit", n_items, digest, judged)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS t
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0
+), p AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM v) AS k, unnest(range(1, len(w) - n + 2)) AS u(i)
+), h AS (SELECT r, i, v.n AS n, item FROM p JOIN v ON p.t = v.t AND p.n = v.n),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS q FROM h) GROUP BY r),
+m AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,5 +78,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op9_chat_format": op9_chat_format}
-ORACLES = {"op1_exact_top_k": OP1_SQL}
+QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op9_chat_format": op9_chat_format}
+ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL}
