@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, langid, packing, topk, url_filter
+from lectern.llm import chat, decontaminate, html_extract, langid, packing, topk, url_filter
 from lectern.session import table
 
 
@@ -27,6 +27,10 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_items = F.size("items").cast("long").alias("n_items")
@@ -78,5 +82,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op9_chat_format": op9_chat_format}
+QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op9_chat_format": op9_chat_format}
 ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL}
