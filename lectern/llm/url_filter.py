@@ -7,7 +7,7 @@ URLs, made by rule from the word lists below; its weights (BUCKETS doubles) ente
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +73,9 @@ def buckets_of(host: Column, path: Column) -> Column:
 def fit(spark: SparkSession) -> tuple[list[float], float]:
     """Weights by bucket and the intercept, from the labelled table."""
     urls = spark.createDataFrame(labelled_urls(), "url string, label int")
-    found = urls.select("label", buckets_of(host_of(F.col("url")), path_of(F.col("url"))).alias("found"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains("found", i).cast("double"))
-    model = LogisticRegression(regParam=0.02, maxIter=60).fit(found.select(F.col("label").cast("double"), array_to_vector(dense).alias("features")))
+    rows = urls.select("label", buckets_of(host_of(F.col("url")), path_of(F.col("url"))).alias("found")).collect()
+    table = [(float(r.label), Vectors.sparse(BUCKETS, sorted(r.found), [1.0] * len(r.found))) for r in rows]
+    model = LogisticRegression(regParam=0.02, maxIter=60).fit(spark.createDataFrame(table, ["label", "features"]))
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
