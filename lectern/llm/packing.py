@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.session import materialize, ship
 
 SEQUENCE = 4096
-CLASS_WIDTH = 8
+CLASS_WIDTH = 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 1_000_000
@@ -45,9 +46,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for word, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = word.endswith("</w>")
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: set[str]) -> None:
@@ -60,32 +58,30 @@ class WordEncoder:
                 tailed.append(w)
             else:
                 rest.append(w)
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            at = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(at) == len(part):
-                raw, s = ids.tobytes(), 0
-                for w, e in zip(part, at, strict=True):
-                    self.known[w], s = raw[s:e], e
-            else:  # some "letters" are more than one token to the tokenizer
-                rest += part
+        tokenize = self.tokenizer.model.tokenize
+        for w in words:
+            if w not in self.known:
+                if w.isascii() and w.islower():  # one pre-token, which neither normalizer nor byte mapping changes
+                    self.known[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+                else:
+                    rest.append(w)
         for w, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(found.ids, "<u4").tobytes()
+            self.known[w] = array("I", found.ids).tobytes()
         for w in tailed:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
+        get, out, new = self.known.get, [], set()
         split = [(t if self.odd.search(t) else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set()
         for words in split:
-            new.update(words)
-        self._learn({w for w in new if w not in self.known})
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            found = list(map(get, words))
+            if None in found:
+                new.update(w for w, f in zip(words, found, strict=True) if f is None)
+            out.append(found)
+        self._learn(new)
+        return [b"".join(map(get, words)) if None in found else b"".join(found) for words, found in zip(split, out, strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
