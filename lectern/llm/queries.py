@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, html_extract, langid, near_dup, packing, topk, url_filter
+from lectern.llm import chat, decontaminate, html_extract, langid, near_dup, packing, suffix_dedup, topk, url_filter
 from lectern.session import table
 
 
@@ -75,6 +75,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -86,5 +92,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format}
+QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format}
 ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL}
