@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, html_extract, langid, near_dup, packing, suffix_dedup, topk, url_filter
+from lectern.llm import chat, decontaminate, html_extract, langid, near_dup, packing, phrases, suffix_dedup, topk, url_filter
 from lectern.session import table
 
 
@@ -92,5 +92,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format}
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.remove_phrases(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format, "op10_repeated_phrases": op10_repeated_phrases}
 ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL}
