@@ -2,14 +2,63 @@
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import decontaminate, langid, near_dup, packing, suffix_dedup
+from lectern.session import materialize, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages labelled in them; texts that no language's model explains go."""
+    models = langid.train(docs, F.lit(True))
+    return langid.predict(docs, models, keep=tuple(COLUMNS[1:])).where("not rejected").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates (five words, similarity 0.8)."""
+    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    first = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return first.dropDuplicates(["doc_id", "text"]) if repeated else first
+
 
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 200 bytes that occur elsewhere; documents of which nothing is left go."""
+    found = suffix_dedup.remove_repeats(docs, keep=("lang", "source", "n_chars"))
+    whole = F.size("spans") == 0
+    # a cut may fall inside a character, whose broken bytes go too
+    text = F.when(whole, F.col("kept").cast("string")).otherwise(F.replace(F.decode_utf8("kept") if hasattr(F, "decode_utf8") else F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    left = found.select("doc_id", text.alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).alias("n_chars"), whole.alias("whole"))
+    return left.where(F.col("whole") | (F.trim("text") != "")).select("doc_id", "text", "lang", "source", F.coalesce("n_chars", F.length("text").cast("long")).alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS[1:]))
+    return found.where("not contaminated").select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated strings", drop_repeated_strings),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from lectern.session import materialize
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

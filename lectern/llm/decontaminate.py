@@ -85,7 +85,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     lengths = [r[0] for r in windows.select(F.least("length", F.lit(SHINGLE))).distinct().collect()]  # at most SHINGLE
     sizes = sorted(lengths, reverse=True)
     rounds = max(1, -(-windows.count() // ROUND))
-    base = documents.select("doc_id", "text", *keep).withColumn("row", F.monotonically_increasing_id())
+    base = documents.select("doc_id", *keep, *([] if "text" in keep else ["text"])).withColumn("row", F.monotonically_increasing_id())
     results = []
     for i in range(rounds):
         part = windows if rounds == 1 else windows.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(rounds)) == i)

@@ -79,13 +79,13 @@ def _emit(units: Callable[[list], list[np.ndarray]], window: int, k: int):
     return run
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, text): row is doc_id where ids are unique, else a number in order of doc_id (null first)."""
-    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def keyed(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, text, doc_id, *keep): row is doc_id where ids are unique, else a number in order of doc_id (null first)."""
+    read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     odd = read.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return read.select(F.col("doc_id").alias("row"), "doc_id", "text")
-    return materialize(read.orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "rows")
+        return read.withColumnRenamed("doc_id", "row").select("row", "text", F.col("row").alias("doc_id"), *keep)
+    return materialize(read.orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "text", "doc_id", *keep), "rows")
 
 
 def repeated_runs(rows: DataFrame, units, window: int, k: int) -> DataFrame:

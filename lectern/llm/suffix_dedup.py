@@ -187,38 +187,40 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"row": row[e[opens]], "start": start[e[opens]] + j[opens], "stop": start[e[opens]] + j[closes] + WINDOW})
 
 
-def _cut(batches):
-    for batch in batches:
-        out: list[tuple] = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            merged: list[list[int]] = []
-            for x in sorted((x["start"], x["stop"]) for x in spans or ()):
-                if merged and x[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], x[1])
-                else:
-                    merged.append([*x])
-            kept, at = [], 0
-            for s, e in merged:
-                kept.append(data[at:s])
-                at = e
-            kept.append(data[at:])
-            out.append((len(data), [{"start": s, "stop": e} for s, e in merged], b"".join(kept)))
-        sizes, spans, kept = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"]
-        )
-
-
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of every row: its UTF-8 bytes without those inside a repeated 200-byte string.
+def _cut(columns: list[str]):
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                merged: list[list[int]] = []
+                for x in sorted((x["start"], x["stop"]) for x in spans or ()):
+                    if merged and x[0] <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], x[1])
+                    else:
+                        merged.append([*x])
+                kept, at = [], 0
+                for s, e in merged:
+                    kept.append(data[at:s])
+                    at = e
+                kept.append(data[at:])
+                out.append((len(data), [{"start": s, "stop": e} for s, e in merged], b"".join(kept)))
+            sizes, spans, kept = zip(*out, strict=True) if out else ((), (), ())
+            made = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "n_bytes", "spans", "kept"])
+
+    return run
+
+
+def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_bytes, spans, kept) of every row: its UTF-8 bytes without those inside a repeated 200-byte string.
 
     Every occurrence goes, the first one too; `spans` are the maximal stretches removed.  A null text is empty; texts of
     fewer than 200 bytes keep all.  Repeated rows are documents of their own and so repeat each other; a null doc_id is as
     good as any; an empty table gives no rows.
     """
     ship(documents.sparkSession)
-    rows = repeats.keyed(documents)
+    rows = repeats.keyed(documents, keep)
     runs = repeats.repeated_runs(rows, units, WINDOW, GRAM)
     contexts = repeats.first_contexts(runs)
     state = contexts.where("mixed").groupBy("heavy").count().collect()  # at most two rows
@@ -234,4 +236,6 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         single = repeats.heavy_windows(rows, contexts.where("mixed"), units, WINDOW).where("copies = 1")
         spans = spans.union(single.select("row", "start", F.col("start") + WINDOW))
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(lists, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    columns, kinds = ["doc_id", *keep], dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    return rows.join(lists, "row", "left").select(*columns, "text", "spans").mapInArrow(_cut(columns), schema)
