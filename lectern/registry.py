@@ -1,6 +1,7 @@
-"""All registered queries and their SQL, gathered from the operator modules."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
