@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands propose pairs, odd sketches sift them, full shingle sets confirm them.
 
 1. Each text becomes its set of word-shingle hashes, MinHash samples of it, their bands, and an odd sketch: a bitmap of
-   the parities of the samples' hashes.  Texts with equal sets are one class from here on.
+   the parities of the samples' hashes.  A second odd sketch, of the whole set, differs in at most as many bits as the sets
+   do in shingles, so that it rules out pairs for certain.  Texts with equal sets are one class from here on.
 2. Within each band bucket every class is paired with one hub (the class with the most copies).  Pairs whose sketches
    differ too much are dropped, the others confirmed on the full sets, and components formed.
 3. Classes of a bucket that are still in different components are paired with each other in the same way.
@@ -24,6 +25,7 @@ from lectern.session import materialize, ship
 ROWS = 4  # MinHash samples a band
 MISS = 1e-8  # chance that a pair right at the threshold shares no band
 SKETCH_LONGS = 4
+PARITY_LONGS = 8  # of the odd sketch of the whole set
 #: Ids of documents to confirm that are broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -49,7 +51,11 @@ def _signatures(n: int, bands: int):
     rng = np.random.default_rng(8)
     samples = bands * ROWS
     factors = rng.integers(0, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    names = ["doc_id", "n_shingles", "key_a", "key_b", "bands", "sketch"]
+    names = ["doc_id", "n_shingles", "key_a", "key_b", "bands", "sketch", "parity"]
+
+    def parities(of: np.ndarray, bits: np.ndarray, n: int, longs: int) -> np.ndarray:
+        seen = np.bincount(of * (64 * longs) + bits.astype(np.int64), minlength=n * 64 * longs) & 1
+        return np.packbits(seen.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64).ravel()
 
     def run(batches):
         for batch in batches:
@@ -72,16 +78,26 @@ def _signatures(n: int, bands: int):
                     bucket = mix(bucket * np.uint64(31) + mins[:, r::ROWS])
                 bucket = mix(bucket + np.arange(bands, dtype=np.uint64))
                 bit = mix(mins + np.arange(samples, dtype=np.uint64)) & np.uint64(64 * SKETCH_LONGS - 1)
-                seen = np.bincount((np.arange(len(sets))[:, None] * (64 * SKETCH_LONGS) + bit.astype(np.int64)).ravel(), minlength=len(sets) * 64 * SKETCH_LONGS) & 1
-                sketch = np.packbits(seen.astype(np.uint8).reshape(len(sets), -1), axis=1).view(np.int64).ravel()
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), k).cast(pa.list_(pa.int64())) for x, k in ((bucket.view(np.int64).ravel(), bands), (sketch, SKETCH_LONGS))]
+                sketch = parities(np.repeat(np.arange(len(sets)), samples), bit.ravel(), len(sets), SKETCH_LONGS)
+                whole = mix(np.concatenate(sets)) & np.uint64(64 * PARITY_LONGS - 1)
+                parity = parities(np.repeat(np.arange(len(sets)), sizes), whole, len(sets), PARITY_LONGS)
+                widths = ((bucket.view(np.int64).ravel(), bands), (sketch, SKETCH_LONGS), (parity, PARITY_LONGS))
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), k).cast(pa.list_(pa.int64())) for x, k in widths]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), *lists], names)
 
     return run
 
 
-def _differing_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_LONGS)), F.lit(0))
+def _differing_bits(a: str, b: str, longs: int) -> Column:
+    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(longs)), F.lit(0))
+
+
+def may_be_similar(percent: int, bands: int) -> Column:
+    """On columns n_a, n_b, sketch_a, sketch_b, parity_a, parity_b: what sizes and sketches leave possible."""
+    sizes = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
+    estimate = _differing_bits("sketch_a", "sketch_b", SKETCH_LONGS) <= most_bits(percent, bands)
+    bound = _differing_bits("parity_a", "parity_b", PARITY_LONGS) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return sizes & estimate & bound
 
 
 def most_bits(percent: int, bands: int) -> int:
@@ -133,35 +149,34 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """
     ship(documents.sparkSession)
     bands = bands_for(percent)
-    schema = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sketch array<long>, parity array<long>"
     read = documents.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(read.mapInArrow(_signatures(shingle, bands), schema), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     heads = full.join(classes, (full.doc_id == classes.node) & (full.key_a == classes.key_a) & (full.key_b == classes.key_b), "left_semi").dropDuplicates(["doc_id"])
-    heads = heads.join(classes.groupBy("node").agg(F.max("copies").alias("copies")), F.col("doc_id") == F.col("node")).select("node", "copies", "bands", "sketch")
+    heads = heads.join(classes.groupBy("node").agg(F.max("copies").alias("copies")), F.col("doc_id") == F.col("node")).select("node", "copies", "bands", F.col("n_shingles").alias("n"), "sketch", "parity")
     nodes = materialize(heads, "nodes")
     buckets = nodes.select("node", "copies", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", (-F.col("top.minus")).alias("hub"))
-    near = F.lit(most_bits(percent, bands))
-    sketches = nodes.select("node", "sketch")
+    hubs = buckets.groupBy("bucket").agg(F.max(F.struct("copies", (-F.col("node")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", (-F.col("top.minus")).alias("hub"))
+    possible = may_be_similar(percent, bands)
 
     def sift(pairs: DataFrame) -> DataFrame:
-        of = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(_differing_bits("sketch_a", "sketch_b") <= near).select("a", "b")
+        of = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "parity")))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(possible).select("a", "b")
 
     stars = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     sifted = materialize(sift(stars), "sifted")
     links = confirm(documents, sifted, shingle, percent)
     first = connected_components(links, "a", "b")
     # what is left: classes of one bucket in different components
-    placed = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch", F.explode("bands").alias("bucket"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = materialize(placed.join(mixed, "bucket", "left_semi"), "rest")
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
-    mine = rest.select("bucket", F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a"))
-    on = (mine.bucket == other.bucket) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (_differing_bits("sketch_a", "sketch_b") <= near)
-    cross = mine.join(other, on).select("a", "b").distinct()
+    placed = nodes.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = placed.select("component", F.explode("bands").alias("bucket"))
+    mixed = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    rest = materialize(placed.select("node", "component", "n", "sketch", "parity", F.explode("bands").alias("bucket")).join(mixed, "bucket", "left_semi"), "rest")
+    side = lambda x: rest.select(F.col("bucket").alias(f"bucket_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "sketch", "parity")))
+    on = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & possible
+    cross = side("a").join(side("b"), on).select("a", "b").distinct()
     cross = cross.join(sifted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = confirm(documents, materialize(cross, "cross"), shingle, percent)
     last = connected_components(links.union(more), "a", "b")
