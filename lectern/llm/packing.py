@@ -25,6 +25,8 @@ SEQUENCE = 4096
 CLASS_WIDTH = 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
+#: Signs that part from letters; an apostrophe may not.
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 CACHED_WORDS = 1_000_000
 GAP = 1e-3  # column generation stops when the program's bound is this close
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -42,46 +44,53 @@ class WordEncoder:
     odd = re.compile("[^\x00-įı-ɏ]")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
+    def _word(self, w: str) -> bytes:
+        """Ids of one pre-token in lower-case letters of the Latin blocks, which the normalizer leaves as it is."""
+        mapped = w if w.isascii() else self.bytes_of.pre_tokenize_str(w)[0][0]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
     def _learn(self, chunks: set[str]) -> None:
-        words, tailed, rest = set(), [], []
+        """Letters with signs around them are three pre-tokens at most, each learned once; other chunks are encoded whole."""
+        known, around, rest = self.known, [], set()
         for w in chunks:
-            if w.isalpha():
-                words.add(w)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha():
-                words |= {w[:-1], w[-1]}
-                tailed.append(w)
-            else:
-                rest.append(w)
-        tokenize = self.tokenizer.model.tokenize
-        for w in words:
-            if w not in self.known:
-                if w.isascii() and w.islower():  # one pre-token, which neither normalizer nor byte mapping changes
-                    self.known[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
-                else:
-                    rest.append(w)
-        for w, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", found.ids).tobytes()
-        for w in tailed:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
+            core = w.strip(SIGNS)
+            if not (core.isalpha() and core == core.lower() and not self.odd.search(core)):
+                rest.add(w)
+                continue
+            if core not in known:
+                known[core] = self._word(core)
+            if len(core) < len(w):
+                at = w.index(core)
+                parts = w[:at], core, w[at + len(core) :]
+                rest.update(p for p in (parts[0], parts[2]) if p and p not in known)
+                around.append((w, parts))
+        for w, found in zip(rest, self.tokenizer.encode_batch(list(rest), add_special_tokens=False), strict=True):
+            known[w] = array("I", found.ids).tobytes()
+        for w, parts in around:
+            known[w] = b"".join(known[p] for p in parts if p)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         get, out, new = self.known.get, [], set()
-        split = [(t if self.odd.search(t) else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
-        for words in split:
+        for t in texts:
+            words = (t if self.odd.search(t) else t.lower()).replace("\n", " ").split(" ") if t else []
             found = list(map(get, words))
-            if None in found:
-                new.update(w for w, f in zip(words, found, strict=True) if f is None)
-            out.append(found)
+            missing = [(i, words[i]) for i, f in enumerate(found) if f is None] if None in found else []
+            new.update(w for _, w in missing)
+            out.append((found, missing))
         self._learn(new)
-        return [b"".join(map(get, words)) if None in found else b"".join(found) for words, found in zip(split, out, strict=True)]
+        for found, missing in out:
+            for i, w in missing:
+                found[i] = self.known[w]
+        return [b"".join(found) for found, _ in out]
 
 
 _encoders: dict[str, WordEncoder] = {}
