@@ -25,7 +25,7 @@ def tagged_records(texts: DataFrame, text: str, ident: str) -> DataFrame:
     upto = Window.partitionBy(ident, "record").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("tag", tag).withColumn("n", F.count("tag").over(upto)).withColumn("tag", F.last("tag", ignorenulls=True).over(upto)).where("tag is not null")
     value = F.trim(F.regexp_replace("value", r"^%?[A-Z][A-Z0-9]\s*-?\s", ""))
-    joined = numbered.withColumn("value", value).groupBy(ident, "record", "n", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), " ").alias("value"))
+    joined = numbered.withColumn("value", value).groupBy(ident, "record", "n", "tag").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), " ")).alias("value"))
     return joined.groupBy(ident, "record", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("values"))
 
 

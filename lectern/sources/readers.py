@@ -141,9 +141,9 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pieces between line-start @ are entries; one that doesn't look like an entry belongs to the one before."""
     held: str | None = None
 
-    def made(texts: list[str]) -> pd.DataFrame:
-        found = [f for t in texts if (f := bib_fields(t))]
-        return pd.DataFrame({"kind": [f.pop("kind") for f in found], "key": [f.pop("key") for f in found], "fields": found})
+    def made(texts: list[str]) -> Iterator[pd.DataFrame]:
+        if found := [f for t in texts if (f := bib_fields(t))]:
+            yield pd.DataFrame({"kind": [f.pop("kind") for f in found], "key": [f.pop("key") for f in found], "fields": found})
 
     for batch in batches:
         done = []
@@ -155,9 +155,9 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held = piece
             else:
                 held += "\n@" + piece
-        yield made(done)
+        yield from made(done)
     if held is not None:
-        yield made([held])
+        yield from made([held])
 
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
