@@ -134,7 +134,7 @@ def parse(page: str) -> list[Node]:
             silent += 1
         if tag == "a":
             open_links += 1
-    text(page[at:] if at < end and not page[at:].startswith("<!--") else "")
+    text(re.sub(r"<[a-zA-Z/!?][^>]*$", "", page[at:]))
     return nodes
 
 

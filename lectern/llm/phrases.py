@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import repeats
+from lectern.llm.suffix_dedup import small
 from lectern.llm.words import word_hashes
 from lectern.session import ship
 
@@ -33,7 +34,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _passages(batches):
-    for batch in batches:
+    for batch in small(batches):
         out: list[tuple] = []
         for row, text, contexts in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("contexts").to_pylist(), strict=True):
             words = _words(text)
@@ -92,7 +93,7 @@ def _scan(batches):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in small(batches):
         out: list[tuple] = []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             words = _words(text)
@@ -130,8 +131,7 @@ def remove_phrases(documents: DataFrame) -> DataFrame:
         passages = repeats.with_text(rows, contexts.where("mixed and not heavy")).mapInArrow(_passages, "gram long, row long, start long, passage binary")
         spans = spans.union(passages.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, "row long, start long, stop long"))
     if state.get(True):
-        again = repeats.heavy_windows(rows, contexts.where("mixed"), units, PHRASE).where("row <> first.row or start <> first.start")
-        spans = spans.union(again.select("row", "start", F.col("start") + PHRASE))
+        spans = spans.union(repeats.heavy_spans(rows, contexts.where("mixed"), units, PHRASE, first_stays=True))
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string"
     return rows.join(lists, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)

@@ -109,26 +109,89 @@ def with_text(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(lists, "row")
 
 
-def _windows(units, window: int):
+def _stretches(row: np.ndarray, start: np.ndarray, window: int) -> pa.Table:
+    """(row, start, stop) of the units that windows at these places cover; windows at consecutive places are one stretch."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(row)] - 1 if len(row) else new
+    return pa.table({"row": row[new], "start": start[new], "stop": start[last] + window})
+
+
+def _split(h: np.ndarray, row: np.ndarray, start: np.ndarray, known: np.ndarray, first_stays: bool):
+    """Of windows, those that repeat another of them (but the first, if that stays), and one of each with what is known."""
+    order = np.lexsort((start, row, h))
+    h, row, start, known = h[order], row[order], start[order], known[order]
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, len(h)])
+    repeated = np.repeat(size > 1, size)
+    if first_stays:
+        repeated[head] = False
+    else:
+        repeated &= ~known
+    return (row[repeated], start[repeated]), (h[head], row[head], start[head], size > 1)
+
+
+_BLOB = "bucket int, h binary, row binary, start binary, known binary"
+
+
+def _window_blobs(units, window: int, buckets: int, first_stays: bool, most: int = 1_000_000):
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        h, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        (r, s), left = _split(h, row, start, np.zeros(len(h), bool), first_stays)
+        found = _stretches(r, s, window)
+        rows = [(-1, b"", found["row"].to_numpy().tobytes(), found["start"].to_numpy().tobytes(), found["stop"].to_numpy().tobytes())]
+        bucket = (left[0] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in range(buckets):
+            mine = order[ends[b] : ends[b + 1]]
+            if len(mine):
+                rows.append((b, *(x[mine].tobytes() for x in left)))
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "h", "row", "start", "known"])
+
     def run(batches):
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                out: list[tuple] = []
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 for row, u, contexts in zip(part.column("row").to_pylist(), units(part.column("text").to_pylist()), part.column("contexts").to_pylist(), strict=True):
                     total, inverse = prefix_sums(u)
                     for c in contexts:
                         start = np.arange(c["start"], c["start"] + c["n"])
-                        out.append((np.full(len(start), row), span(total, inverse, start, start + window).view(np.int64), start, np.full(len(start), c["copies"])))
-                columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "h", "start", "copies"])
+                        held.append((span(total, inverse, start, start + window), np.full(len(start), row), start))
+                        n += len(start)
+                if n >= most:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
-def heavy_windows(rows: DataFrame, contexts: DataFrame, units, window: int) -> DataFrame:
-    """(row, start, times, first) for every window of the contexts of heavy grams: its count among contexts and its first
-    place; rows are counted by the window's hash, so that no gram's contexts meet in one task."""
-    each = materialize(with_text(rows, contexts.where("heavy")).mapInArrow(_windows(units, window), "row long, h long, start long, copies long"), "windows")
-    counted = each.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "start")).alias("first")).where("times > 1")
-    return each.join(counted, "h").select("row", "start", "copies", "times", "first")
+def _local(batches):
+    for batch in batches:
+        parts = [np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("row", "start", "known")]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["row", "start", "stop"])
+
+
+def heavy_spans(rows: DataFrame, contexts: DataFrame, units, window: int, first_stays: bool) -> DataFrame:
+    """(row, start, stop) of repeated windows among the contexts of heavy grams.
+
+    Windows are counted by hash: first within a task, which answers for its own repeats and sends on one of each, in blobs
+    by bucket; then within buckets of about a million windows.  A window in a third of all contexts is sent on once by a
+    task, so no bucket is much larger than another.
+    """
+    heavy = contexts.where("heavy")
+    buckets = max(8, -(-int(heavy.agg(F.sum("n")).first()[0] or 0) // 1_000_000))
+    blobs = materialize(with_text(rows, heavy).mapInArrow(_window_blobs(units, window, buckets, first_stays), _BLOB), "windows")
+
+    def resolve(table: pa.Table) -> pa.Table:
+        h, row, start, known = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("h", np.uint64), ("row", np.int64), ("start", np.int64), ("known", bool)))
+        return _stretches(*_split(h, row, start, known, first_stays)[0], window)
+
+    spans = "row long, start long, stop long"
+    return blobs.where("bucket < 0").mapInArrow(_local, spans).union(blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(resolve, spans))

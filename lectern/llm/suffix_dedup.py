@@ -23,14 +23,21 @@ from lectern.session import ship
 
 WINDOW = 200
 GRAM = 32
-BUCKET = 20_000  # suffixes merged in one group, about
-_BATCH = 50_000  # suffixes sorted in one run, at most
+BUCKET = 8_000  # suffixes merged in one group, about
+_BATCH = 10_000  # suffixes sorted in one run, at most
 
 
 def units(texts: list[str | None]) -> list[np.ndarray]:
     return [_TABLE[np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)] for t in texts]
 
 
+def small(batches, rows: int = 300):
+    """Batches of few rows, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix of a and b, of which `known` bytes are known to be equal."""
     n = min(len(a), len(b))
@@ -128,8 +135,8 @@ def _sorted_runs(buckets: int):
 
     def run(batches):
         held: list[tuple] = []
-        for batch in batches:
-            for row, text, contexts in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("contexts").to_pylist(), strict=True):
+        for part in small(batches):
+            for row, text, contexts in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), part.column("contexts").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for c in contexts:
                     s, a = c["start"], c["start"] + c["anchor"]
@@ -189,7 +196,7 @@ def _resolve(table: pa.Table) -> pa.Table:
 
 def _cut(columns: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -233,8 +240,7 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
         coded = repeats.with_text(rows, contexts.where("mixed and not heavy")).mapInArrow(_sorted_runs(buckets), schema)
         spans = spans.union(coded.groupBy("bucket").applyInArrow(_resolve, "row long, start long, stop long"))
     if counts.get(True):
-        single = repeats.heavy_windows(rows, contexts.where("mixed"), units, WINDOW).where("copies = 1")
-        spans = spans.union(single.select("row", "start", F.col("start") + WINDOW))
+        spans = spans.union(repeats.heavy_spans(rows, contexts.where("mixed"), units, WINDOW, first_stays=False))
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     columns, kinds = ["doc_id", *keep], dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
