@@ -48,33 +48,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     def _word(self, w: str) -> bytes:
         """Ids of one pre-token in lower-case letters of the Latin blocks, which the normalizer leaves as it is."""
         mapped = w if w.isascii() else self.bytes_of.pre_tokenize_str(w)[0][0]
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         """Letters with signs around them are three pre-tokens at most, each learned once; other chunks are encoded whole."""
         known, around, rest = self.known, [], set()
         for w in chunks:
             core = w.strip(SIGNS)
-            if not (core.isalpha() and core == core.lower() and not self.odd.search(core)):
+            if not core.isalpha() or not (core.islower() if core.isascii() else core == core.lower() and not self.odd.search(core)):
                 rest.add(w)
                 continue
             if core not in known:
                 known[core] = self._word(core)
             if len(core) < len(w):
-                at = w.index(core)
-                parts = w[:at], core, w[at + len(core) :]
-                rest.update(p for p in (parts[0], parts[2]) if p and p not in known)
-                around.append((w, parts))
+                head, _, tail = w.partition(core)
+                if head and head not in known:
+                    rest.add(head)
+                if tail and tail not in known:
+                    rest.add(tail)
+                around.append((w, head, core, tail))
         for w, found in zip(rest, self.tokenizer.encode_batch(list(rest), add_special_tokens=False), strict=True):
             known[w] = array("I", found.ids).tobytes()
-        for w, parts in around:
-            known[w] = b"".join(known[p] for p in parts if p)
+        known[""] = b""
+        for w, head, core, tail in around:
+            known[w] = known[head] + known[core] + known[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
