@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,23 +48,32 @@ def marker_hits(tokens: Column, markers: tuple[str, ...]) -> Column:
     return F.size(F.array_intersect(tokens, F.array(*map(F.lit, markers))))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def detect_language(c: Column, short: bool) -> Column:
     """struct<language, confidence>: scripts first, then marker words; without enough evidence unknown, never a guess."""
-    s, ratio, tokens = F.coalesce(c, F.lit("")), cjk_ratio(c), latin_tokens(c)
-    en, idn = marker_hits(tokens, EN_MARKERS), marker_hits(tokens, ID_MARKERS)
-    strong = lambda n: (n >= (1 if short else 2)) | (n / F.greatest(F.size(tokens), F.lit(4)) >= 0.34)
     of = lambda language, confidence: F.struct(F.lit(language).alias("language"), (F.lit(confidence) if isinstance(confidence, str) else confidence).alias("confidence"))
     sure = lambda n: F.when(n >= 3, "high").otherwise("medium")
-    return (
-        F.when(F.trim(s) == "", of("unknown", "low"))
-        .when(s.rlike("[぀-ヿ가-힯]"), of("other", "high"))
-        .when(ratio >= 0.3, of("zh", "high"))
-        .when(ratio > 0.05, of("zh", "medium"))
-        .when(s.rlike("[Ѐ-ӿ؀-ۿ]"), of("other", "high"))
-        .when((idn > en) & strong(idn), of("id", sure(idn)))
-        .when((en > idn) & strong(en), of("en", sure(en)))
-        .otherwise(of("unknown", "low"))
-    )
+    s = F.coalesce(c, F.lit(""))
+
+    def judge(v: Column) -> Column:
+        strong = lambda n: (n >= (1 if short else 2)) | (n / F.greatest(v["n"], F.lit(4)) >= 0.34)
+        return (
+            F.when(F.trim(v["s"]) == "", of("unknown", "low"))
+            .when(v["s"].rlike("[぀-ヿ가-힯]"), of("other", "high"))
+            .when(v["ratio"] >= 0.3, of("zh", "high"))
+            .when(v["ratio"] > 0.05, of("zh", "medium"))
+            .when(v["s"].rlike("[Ѐ-ӿ؀-ۿ]"), of("other", "high"))
+            .when((v["id"] > v["en"]) & strong(v["id"]), of("id", sure(v["id"])))
+            .when((v["en"] > v["id"]) & strong(v["en"]), of("en", sure(v["en"])))
+            .otherwise(of("unknown", "low"))
+        )
+
+    count = lambda t: F.struct(s.alias("s"), cjk_ratio(s).alias("ratio"), marker_hits(t, EN_MARKERS).alias("en"), marker_hits(t, ID_MARKERS).alias("id"), F.size(t).alias("n"))
+    return let(let(latin_tokens(c), count), judge)
 
 
 def normalize_source_language(c: Column) -> Column:
@@ -74,20 +85,25 @@ def normalize_source_language(c: Column) -> Column:
 def resolve_language(title: Column, abstract: Column, source_code: Column, manual: Column) -> Column:
     """struct<language, source, confidence, conflict>: a person's word, the source's code unless the title contradicts it,
     the title, the abstract with less confidence, else unknown."""
-    t, a, code = detect_language(title, True), detect_language(abstract, False), normalize_source_language(source_code)
-    hand = F.coalesce(normalize_source_language(manual), F.when(F.lower(manual) == "unknown", "unknown"))
-    found, sure = t["language"], t["confidence"] == "high"
-    against = ((found == "zh") & (code != "zh")) | ((found == "other") & (code != "other") & sure) | ((found == "id") & (code == "en") & sure)
     of = lambda language, source, confidence, conflict: F.struct(language.alias("language"), F.lit(source).alias("source"), confidence.alias("confidence"), conflict.alias("conflict"))
     no = F.lit(False)
-    return (
-        F.when(hand.isNotNull(), of(hand, "manual", F.lit("high"), F.coalesce(code != hand, no)))
-        .when(code.isNotNull() & against, of(found, "title", t["confidence"], F.lit(True)))
-        .when(code.isNotNull(), of(code, "publisher", F.lit("high"), no))
-        .when(found != "unknown", of(found, "title", t["confidence"], no))
-        .when(a["language"] != "unknown", of(a["language"], "abstract", F.when(a["confidence"] == "high", "medium").otherwise("low"), no))
-        .otherwise(of(F.lit("unknown"), "unknown", F.lit("low"), no))
-    )
+
+    def judge(v: Column) -> Column:
+        t, a, code, hand = v["t"], v["a"], v["code"], v["hand"]
+        found, sure = t["language"], t["confidence"] == "high"
+        against = ((found == "zh") & (code != "zh")) | ((found == "other") & (code != "other") & sure) | ((found == "id") & (code == "en") & sure)
+        return (
+            F.when(hand.isNotNull(), of(hand, "manual", F.lit("high"), F.coalesce(code != hand, no)))
+            .when(code.isNotNull() & against, of(found, "title", t["confidence"], F.lit(True)))
+            .when(code.isNotNull(), of(code, "publisher", F.lit("high"), no))
+            .when(found != "unknown", of(found, "title", t["confidence"], no))
+            .when(a["language"] != "unknown", of(a["language"], "abstract", F.when(a["confidence"] == "high", "medium").otherwise("low"), no))
+            .otherwise(of(F.lit("unknown"), "unknown", F.lit("low"), no))
+        )
+
+    hand = F.coalesce(normalize_source_language(manual), F.when(F.lower(manual) == "unknown", "unknown"))
+    parts = F.struct(detect_language(title, True).alias("t"), detect_language(abstract, False).alias("a"), normalize_source_language(source_code).alias("code"), hand.alias("hand"))
+    return let(parts, judge)
 
 
 def in_scope(language: Column, wanted: str | None = None) -> Column:

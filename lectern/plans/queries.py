@@ -442,6 +442,66 @@ def h2c_detect_language(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", language.detect_language(F.col("text"), False).alias("d")).select("doc_id", "d.language", "d.confidence")
 
 
+@query(f"""
+WITH {PAPERS_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'zh' ELSE CASE language WHEN 'en' THEN 'en' ELSE 'other' END END AS language, CASE WHEN id % 4 = 0 THEN 'manual' ELSE 'publisher' END AS source, id % 4 = 0 AS conflict FROM p WHERE NOT regexp_matches(title, '[^\\x00-\\x7F]') AND id % 3 <> 1""")
+def h2e_resolve_language(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.papers(spark, sf).where(~F.col("title").rlike(r"[^\x00-\x7F]") & (F.col("id") % 3 != 1))
+    found = language.resolve_language(F.lit("zq"), F.col("abstract"), F.col("language"), F.when(F.col("id") % 4 == 0, "ZH"))
+    return p.select("id", found.alias("f")).select("id", "f.language", "f.source", "f.conflict")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS journal_id, lower(regexp_replace(c_mktsegment, ' ', '')) || c_nationkey AS clean, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS issn, c_acctbal > 0 AS official FROM customer),
+s AS (SELECT *, CASE WHEN issn IS NOT NULL THEN 1000 ELSE 0 END + CASE WHEN official THEN 500 ELSE 0 END + 10 AS score FROM c),
+k AS (SELECT clean, arg_max(journal_id, struct_pack(a := score, b := -journal_id)) AS keeper FROM s GROUP BY 1)
+SELECT journal_id, keeper FROM s JOIN k USING (clean)""")
+def d15_merge_journals(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    name = F.concat(F.regexp_replace("c_mktsegment", " ", ""), F.col("c_nationkey").cast("string"))
+    rows = c.select(F.col("c_custkey").alias("journal_id"), name.alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey").cast("string")).alias("issn"))
+    entries = c.select(F.col("c_custkey").alias("journal_id"), F.col("c_mktsegment").alias("catalog"), (F.col("c_acctbal") > 0).alias("official"))
+    return journals.merge_duplicate_journals(rows, entries)[0]
+
+
+@query("""WITH l AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size > 25) SELECT c_custkey AS journal_id, c_custkey % 2 = 0 OR k IS NOT NULL AS ssci_confirmed, c_custkey % 2 <> 0 AND k IS NOT NULL AS changed FROM customer LEFT JOIN l ON k = c_custkey""")
+def h5e_confirm_ssci(spark: SparkSession, sf: str) -> DataFrame:
+    code = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    j = table(spark, sf, "customer").select(F.col("c_custkey").alias("journal_id"), code("c_custkey").alias("issn"), (F.col("c_custkey") % 2 == 0).alias("ssci_confirmed"))
+    listed = table(spark, sf, "part").where("p_size > 25").select(code("p_partkey").alias("issn"))
+    return journals.confirm_ssci(j, listed).select("journal_id", "ssci_confirmed", "changed")
+
+
+@query(f"""WITH {PAPERS_SQL}, c AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN CAST(id AS DOUBLE) END, c_acctbal) AS value FROM p LEFT JOIN c ON c_custkey = journal_id""")
+def a19_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.papers(spark, sf).select("id", "journal_id", F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("value"))
+    lookup = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("journal_id"), F.col("c_acctbal").alias("value"))
+    return imports.enrich(p, lookup, "journal_id", ["value"]).select("id", "value")
+
+
+@query(f"""WITH {_LISTED_SQL}, t AS (SELECT kind, unnest([language, CASE WHEN core THEN 'core' ELSE 'cross' END]) AS topic FROM x) SELECT topic, count(*) AS n, count(*) FILTER (WHERE kind = 'new') AS n_new FROM t GROUP BY 1""")
+def d8_topic_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _listed(spark, sf).withColumn("topics", F.array("language", F.when(F.col("core"), "core").otherwise("cross")))
+    return desk.topic_counts(rows, "topics")
+
+
+@query("""SELECT DISTINCT unnest([role, CAST(turn AS VARCHAR)]) AS tag FROM conversations""")
+def d18_distinct_tags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select(F.array("role", F.col("turn").cast("string")).alias("tags"))
+    return audit.distinct_tags(rows, "tags")
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, count(*) < 300 AS allowed FROM events GROUP BY 1""")
+def d13_daily_cap(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.over_daily_cap(table(spark, sf, "events").select(F.col("ts").alias("at")), 300)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag <> 'A' AND NOT (l_linenumber % 3 = 0 AND l_linestatus = 'O') AS research FROM lineitem""")
+def b12_research_rows(spark: SparkSession, sf: str) -> DataFrame:
+    title = F.when(F.col("l_returnflag") == "A", "Editorial Board").otherwise("A paper")
+    pages = F.concat(F.lit("7-"), F.when(F.col("l_linenumber") % 3 == 0, "7").otherwise("9"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", desk.is_research(title, pages, F.when(F.col("l_linestatus") == "O", "N/A").otherwise("Ann")).alias("research"))
+
+
 @query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'other' WHEN 'fr' THEN 'other' WHEN 'es' THEN 'other' END AS language FROM documents""")
 def h2d_source_language(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", language.normalize_source_language(F.concat(F.upper("lang"), F.lit("_XX"))).alias("language"))
