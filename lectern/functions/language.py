@@ -36,8 +36,10 @@ CJK = "㐀-䶿一-鿿豈-﫿"
 
 
 def cjk_ratio(c: Column) -> Column:
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s　]+", "")
-    return F.when(F.length(bare) > 0, F.length(F.regexp_replace(bare, f"[^{CJK}]", "")) / F.length(bare)).otherwise(0.0)
+    """The share of CJK characters among those that are no space."""
+    text = F.coalesce(c, F.lit(""))
+    cjk = F.regexp_count(text, F.lit(f"[{CJK}]"))
+    return F.when(cjk > 0, cjk / (F.length(text) - F.regexp_count(text, F.lit(r"[\s　]")))).otherwise(0.0)
 
 
 def latin_tokens(c: Column) -> Column:
