@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,37 @@ def evidence_scope(fulltext: Column, abstract: Column) -> Column:
     return F.when(has(fulltext), "fulltext").when(has(abstract), "abstract").otherwise("metadata")
 
 
+def detect_sections(c: Column, heading: str, least: int = 200, drop: int = 40) -> Column:
+    """array<struct<heading, text>> of a text's lines: a heading line opens a section once the current one has over `least`
+    characters; sections of up to `drop` characters go."""
+    empty = F.array().cast("array<struct<heading:string,text:string>>")
+    start = F.struct(empty.alias("done"), F.lit("").alias("heading"), F.lit("").alias("text"))
+    section = lambda a: F.array(F.struct(a["heading"].alias("heading"), a["text"].alias("text")))
+
+    def step(a: Column, line: Column) -> Column:
+        opens = line.rlike(heading) & ((F.length(a["text"]) > least) | (F.size(a["done"]) + F.length(a["text"]) == 0))
+        joined = F.when(a["text"] == "", line).otherwise(F.concat(a["text"], F.lit("\n"), line))
+        done = F.when(opens & (a["text"] != ""), F.concat(a["done"], section(a))).otherwise(a["done"])
+        return F.struct(done.alias("done"), F.when(opens, F.trim(line)).otherwise(a["heading"]).alias("heading"), F.when(opens, F.lit("")).otherwise(joined).alias("text"))
+
+    all_of = F.aggregate(F.split(c, "\n"), start, step, lambda a: F.concat(a["done"], section(a)))
+    return F.filter(all_of, lambda s: F.length(s["text"]) > drop)
+
+
+def apply_model(texts: DataFrame, model: Callable[[list[str]], list[str]], partitions: int = 8) -> DataFrame:
+    """(subject, text, reply): a caller's function on batches of texts; it is called in the executors' tasks.
+
+    Choose the work before (texts without a valid cache row) and check replies after (citations, numbers).
+    """
+
+    def run(batches):
+        for batch in batches:
+            batch["reply"] = model(batch["text"].tolist())
+            yield batch
+
+    return texts.select("subject", "text").repartition(partitions).mapInPandas(run, f"subject {dict(texts.dtypes)['subject']}, text string, reply string")
+
+
 def parse_keyed_reply(c: Column) -> Column:
     """map<id, text> of a reply that holds one JSON object, in code fences or among other words."""
     return F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), "map<string,string>")

@@ -114,3 +114,19 @@ def brief_score(topic: Column, fresh: Column, has_abstract: Column) -> Column:
 def list_score(topic: Column, fresh: Column, has_abstract: Column, is_new: Column) -> Column:
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return F.round(0.55 * topic + 0.33 * fresh + 0.07 * flag(has_abstract) + 0.05 * flag(is_new), 4)
+
+
+def reason(slugs: Column, fresh: Column, has_abstract: Column, open_access: Column) -> Column:
+    """A readable line of why a record was chosen."""
+    return F.concat_ws(
+        "；",
+        F.when(F.size(slugs) > 0, F.concat(F.lit("主题："), F.array_join(slugs, "、"))),
+        F.when(fresh >= 0.85, "近期发表"),
+        F.when(has_abstract, "有摘要"),
+        F.when(open_access, "开放获取"),
+    )
+
+
+def rule_summary(abstract: Column, designs: Column, slugs: Column) -> Column:
+    """A preview, method labels and topics, made without a model."""
+    return F.struct(F.substring(abstract, 1, 300).alias("preview"), designs.alias("designs"), slugs.alias("topics"))

@@ -96,3 +96,29 @@ def only_changed(rows: DataFrame, scored: DataFrame, key: str, context: str) ->
     """Rows whose content or context differs from what was scored: the work that is left."""
     content = F.xxhash64(*[c for c in rows.columns if c != key], F.lit(context))
     return rows.withColumn("content", content).join(scored.select(key, "content"), [key, "content"], "left_anti")
+
+
+def discover_new(articles: DataFrame, known: DataFrame, research: Column) -> DataFrame:
+    """Articles (source_key, article_id, dedup_key) with the reason they are taken or skipped: known, non-research,
+    duplicate (of a stored row or an earlier article of the batch) or new."""
+    seen = known.select("source_key", "article_id").distinct().withColumn("__known", F.lit(True))
+    stored = known.select("dedup_key").where("dedup_key is not null").distinct().withColumn("__stored", F.lit(True))
+    flagged = articles.withColumn("__research", F.coalesce(research, F.lit(False))).join(seen, ["source_key", "article_id"], "left").join(stored, "dedup_key", "left")
+    open_ = F.col("__known").isNull() & F.col("__research") & F.col("__stored").isNull()
+    first = flagged.where(open_).groupBy("dedup_key").agg(F.min("article_id").alias("__first"))
+    found = flagged.join(first, "dedup_key", "left")
+    reason = F.when(F.col("__known").isNotNull(), "known").when(~F.col("__research"), "non-research").when(F.col("__stored").isNotNull() | (F.col("article_id") != F.col("__first")), "duplicate").otherwise("new")
+    return found.withColumn("reason", reason).drop("__known", "__research", "__stored", "__first")
+
+
+def sync_counts(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """How many rows of a batch are new, changed or the same as stored, by a hash of their content."""
+    content = lambda df: df.select(key, F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != key])), 256).alias("content"))
+    both = content(batch).join(content(base).withColumnRenamed("content", "old"), key, "left")
+    return both.agg(F.count(F.lit(1)).alias("parsed"), F.count_if(F.col("old").isNull()).alias("inserted"), F.count_if(F.col("old") != F.col("content")).alias("updated"), F.count_if(F.col("old") == F.col("content")).alias("skipped"))
+
+
+def restore_language(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """rows (id, auto_language) with the language in force: the last change of a person, unless that was to restore."""
+    last = changes.groupBy("id").agg(F.max_by("language", F.struct("at", "ord")).alias("manual"))
+    return rows.join(last, "id", "left").select("id", "auto_language", F.coalesce("manual", "auto_language").alias("language"), F.when(F.col("manual").isNotNull(), "manual").otherwise("auto").alias("language_source"))

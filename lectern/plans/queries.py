@@ -601,3 +601,55 @@ def i8_only_changed(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {LOG_SQL} SELECT topic, CASE WHEN bool_or(ok) THEN 'ok' ELSE 'partial' END AS status, count(*) FILTER (WHERE NOT ok) AS n_failed FROM g GROUP BY 1""")
 def i15_run_status(spark: SparkSession, sf: str) -> DataFrame:
     return audit.run_status(views.log(spark, sf), "topic")
+
+
+@query("""
+WITH a AS (SELECT 's' || p_size % 3 AS source_key, p_partkey AS article_id, p_brand || p_size AS dedup_key, p_partkey % 5 <> 0 AS research FROM part), k AS (SELECT source_key, article_id, CASE WHEN article_id % 2 = 0 THEN dedup_key END AS dedup_key FROM a WHERE article_id % 40 = 1 OR article_id % 40 = 2),
+f AS (SELECT a.*, x.article_id IS NOT NULL AS known, a.dedup_key IN (SELECT dedup_key FROM k WHERE dedup_key IS NOT NULL) AS stored FROM a LEFT JOIN (SELECT DISTINCT source_key, article_id FROM k) x ON x.source_key = a.source_key AND x.article_id = a.article_id),
+m AS (SELECT dedup_key, min(article_id) AS first FROM f WHERE NOT known AND research AND NOT stored GROUP BY 1)
+SELECT article_id, CASE WHEN known THEN 'known' WHEN NOT research THEN 'non-research' WHEN stored OR article_id <> first THEN 'duplicate' ELSE 'new' END AS reason FROM f LEFT JOIN m ON m.dedup_key = f.dedup_key""")
+def i5_discover_new(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "part").select(F.concat(F.lit("s"), (F.col("p_size") % 3).cast("string")).alias("source_key"), F.col("p_partkey").alias("article_id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("dedup_key"))
+    known = a.where("article_id % 40 = 1 or article_id % 40 = 2").withColumn("dedup_key", F.when(F.col("article_id") % 2 == 0, F.col("dedup_key")))
+    return merge.discover_new(a, known, F.col("article_id") % 5 != 0).select("article_id", "reason")
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 4 <> 0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 2 = 0)
+SELECT count(*) AS parsed, count(*) FILTER (WHERE b.k IS NULL) AS inserted, count(*) FILTER (WHERE b.s <> n.s) AS updated, count(*) FILTER (WHERE b.s = n.s) AS skipped FROM n LEFT JOIN b ON b.k = n.k""")
+def i6_sync_counts(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    batch = o.where("k % 2 = 0").withColumn("s", F.when(F.col("k") % 3 == 0, "X").otherwise(F.col("s")))
+    return merge.sync_counts(o.where("k % 4 <> 0"), batch, "k")
+
+
+@query(f"""WITH {PAPERS_SQL}, c AS (SELECT user_id AS id, arg_max(CASE WHEN event_type = 'error' THEN NULL ELSE event_type END, struct_pack(a := ts, b := event_id)) AS x, max(ts) FROM events GROUP BY 1),
+l AS (SELECT user_id AS id, CASE WHEN event_type = 'error' THEN 'auto' ELSE event_type END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT p.id, language AS auto_language, CASE WHEN l.v IS NULL OR l.v = 'auto' THEN language ELSE l.v END AS language, CASE WHEN l.v IS NULL OR l.v = 'auto' THEN 'auto' ELSE 'manual' END AS language_source FROM p LEFT JOIN l ON l.id = p.id AND l.n = 1""")
+def h2f_restore_language(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    changes = e.select(F.col("user_id").alias("id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("language"), F.col("ts").alias("at"), F.col("event_id").alias("ord"))
+    return merge.restore_language(views.papers(spark, sf).select("id", F.col("language").alias("auto_language")), changes)
+
+
+@query()
+def h6i_sections(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.explode(evidence.detect_sections(F.col("text"), r"^(The|La|Der|Le) [^.]{1,60}$|^[^ ]+\\.$")).alias("s"))
+    return d.select("doc_id", "s.heading", F.length("s.text").alias("n_chars"))
+
+
+@query("""SELECT doc_id, length(text) >= 60 AND 1.0 - length(regexp_replace(text, '[^\\p{L}\\p{N}\\p{P}\\s]', '', 'g')) / length(text) > 0.15 AS garbage, length(text) < 200 AS scanned FROM documents""")
+def h6g_text_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", evidence.looks_like_garbage(F.col("text")).alias("garbage"), evidence.looks_scanned(F.length("text"), F.lit(1)).alias("scanned"))
+
+
+@query("""SELECT doc_id, CAST(ceil(length(text) / 2200) AS INTEGER) AS chunks, length(text) AS n_chars FROM documents""")
+def h6b_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    c = evidence.split_chunks(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(c).alias("chunks"), F.length(F.array_join(c, "")).cast("long").alias("n_chars"))
+
+
+@query(f"""WITH {PAPERS_SQL} SELECT id, concat_ws('；', CASE WHEN id % 2 = 0 THEN '主题：' || language END, CASE WHEN discovery_date >= '2000-01-01' THEN '近期发表' END, CASE WHEN length(abstract) > 0 THEN '有摘要' END, CASE WHEN status = 'O' THEN '开放获取' END) AS reason FROM p""")
+def h4l_reason(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.papers(spark, sf)
+    slugs = F.when(F.col("id") % 2 == 0, F.array("language")).otherwise(F.array().cast("array<string>"))
+    return p.select("id", topics.reason(slugs, F.when(F.col("discovery_date") >= "2000-01-01", 1.0).otherwise(0.1), F.length("abstract") > 0, F.col("status") == "O").alias("reason"))

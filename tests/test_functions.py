@@ -92,3 +92,20 @@ def test_grounding(spark):
 def test_numbers_kept(spark):
     df = spark.createDataFrame([("N=42, 3.5% and 7", "42, then 7")], "s string, t string")
     assert df.select(evidence.missing_numbers(F.col("s"), F.col("t")).alias("m")).first().m == ["3.5%"]
+
+
+def test_sections(spark):
+    text = "Title line\n" + "a" * 250 + "\nMETHODS\n" + "b" * 30 + "\nRESULTS\n" + "c" * 100
+    found = apply(spark, [text, "", None], lambda c: evidence.detect_sections(c, "^[A-Z]{4,}$"))
+    assert [(s.heading, len(s.text)) for s in found[0]] == [("", 261), ("METHODS", 139)]
+    assert found[1:] == [[], None]
+
+
+def test_model_hook(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "cd")], "subject long, text string")
+    found = evidence.apply_model(df, lambda texts: [t[::-1] for t in texts], 2).collect()
+    assert {(r.subject, r.reply) for r in found} == {(1, "ba"), (2, "dc")}
+
+
+def test_reply(spark):
+    assert apply(spark, ['```json\n{"1": "a", "2": "b"}\n```'], evidence.parse_keyed_reply) == [{"1": "a", "2": "b"}]
