@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.identifiers import normalize_issn, normalize_journal_name, split_list
+from lectern.functions.identifiers import normalize_issn, normalize_journal_name
 
 #: What marks a catalogue row as a mere reference (fixed values).
 REFERENCE = "待核验|未获|未完成|截图|参考|请勿|待查|pending|unverified|to be verified"
@@ -97,6 +97,3 @@ def catalog_entry(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataF
     kept = rows.where(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in filled]).isNotNull()) if filled else rows
     return kept.select(*((F.trim(F.col(f"`{c}`")) if c else F.lit(None).cast("string")).alias(name) for name, c in picked.items()))
 
-
-def keyword_columns(c: Column) -> Column:
-    return split_list(c)

@@ -36,7 +36,8 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
     for name, rule in policy.items():
         c = F.col(name)
         if rule == "first":
-            filled = c.isNotNull() if not isinstance(records.schema[name].dataType.typeName(), str) or records.schema[name].dataType.typeName() != "string" else c.isNotNull() & (F.trim(c) != "")
+            text = records.schema[name].dataType.typeName() == "string"
+            filled = c.isNotNull() & (F.trim(c) != "") if text else c.isNotNull()
             made.append(first_where(c, filled, o).alias(name))
         elif rule == "value":
             made.append(first_where(c, ~is_placeholder(c), o).alias(name))
@@ -64,13 +65,19 @@ def upsert(base: DataFrame, batch: DataFrame, key: str, policy: dict[str, str])
     out = [F.coalesce(f"b.{key}", f"n.{key}").alias(key)]
     for name, rule in policy.items():
         old, new = F.col(f"b.{name}"), F.col(f"n.{name}")
-        merged = {
-            "fill": F.coalesce(new, old),
-            "overwrite": new,
-            "union": F.array_union(F.coalesce(old, F.expr("array()").cast(base.schema[name].dataType)), F.coalesce(new, F.expr("array()").cast(base.schema[name].dataType))) if rule == "union" else old,
-            "replace": F.when(F.size(new) > 0, new).otherwise(old) if rule == "replace" else old,
-            "keep": F.coalesce(old, new),
-        }[rule]
+        none = F.array().cast(base.schema[name].dataType) if rule in ("union", "replace") else None
+        if rule == "fill":
+            merged = F.coalesce(new, old)
+        elif rule == "overwrite":
+            merged = new
+        elif rule == "union":
+            merged = F.array_union(F.coalesce(old, none), F.coalesce(new, none))
+        elif rule == "replace":
+            merged = F.when(F.size(F.coalesce(new, none)) > 0, new).otherwise(old)
+        elif rule == "keep":
+            merged = F.coalesce(old, new)
+        else:
+            raise ValueError(f"no policy {rule!r}")
         out.append(F.when(there & here, merged).when(there, new).otherwise(old).alias(name))
     return joined.select(*out, F.when(here & there, "updated").when(there, "inserted").otherwise("kept").alias("change"))
 
