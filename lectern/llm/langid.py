@@ -1,25 +1,30 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training counts the ORDER-grams of every labelled text in Spark; from their sums the driver builds one model for each
-language (at most MAX_GRAMS grams each).  A model set is, for each order, one sorted array of gram hashes with the log
-probability of the last character under every language, and one of context hashes with the back-off weights.  A text's
-language is the one of the lowest cross-entropy per character; a logistic calibration turns the margin into a score, and
-texts that no model explains as well as its own training texts are rejected.
+Training counts the ORDER-grams of the labelled texts in Spark, those of the rows that don't calibrate; continuation
+counts, discounts and probabilities are aggregates and joins over all of them.  A model set is, for each order, the sorted
+hashes of grams with the log probability of the last character under every language, and those of contexts with the back-off
+weights, in files of about SHARD rows in the shared folder; the driver holds none.  A text's language is the one of the
+lowest cross-entropy per character; a logistic calibration turns the margin into a score, and texts that no model explains
+as well as its own training texts are rejected.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.fs as pf
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import ship
+from lectern.session import materialize, shared_dir, ship
 
 ORDER = 5
-MAX_GRAMS = 80_000  # of a language: the most frequent
 CALIBRATION_ROWS = 4_000  # about so many labelled rows fit the score and the rejection limits
+SHARD = 50_000  # rows of a model file, about
+RESIDENT = 4_000_000  # rows of one order that a worker keeps; files beyond are read where they are needed
 UNKNOWN = "und"
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.uint32(32)
@@ -86,13 +91,64 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(rows), pa.array(counts)], ["lang", "gram", "n"])
 
 
-def gram_counts(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """(lang, gram, n) over every labelled text; for each language the max_grams most frequent."""
-    from pyspark.sql import Window
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n) over every labelled text."""
+    known = labelled.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return known.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
 
-    counted = labelled.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= max_grams).drop("rank")
+def _keyed(batches):
+    for batch in batches:
+        grams = batch.column("gram").to_pylist()
+        codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(_rows(codes).view(np.int64)), batch.column("v")], ["key", "v"])
+
+
+def _store(grams: DataFrame, path: str) -> None:
+    """Write (gram, v) as (key, v), sorted, in files of about SHARD rows."""
+    files = -(-grams.count() // SHARD) or 1
+    keyed = grams.select("gram", "v").mapInArrow(_keyed, "key long, v array<float>")
+    keyed.repartitionByRange(files, "key").sortWithinPartitions("key").write.parquet(path)
+
+
+def estimate(counts: DataFrame) -> Models:
+    """Models by the Kneser-Ney estimates of (lang, gram, n), as in _Levels, order by order."""
+    spark = counts.sparkSession
+    types = {ORDER: materialize(counts, "grams")}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: in how many types does the shorter gram end?
+        types[n] = materialize(types[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    langs = sorted(r.lang for r in types[1].select("lang").distinct().collect())
+    path = f"{shared_dir(spark)}/language-models-{uuid.uuid4().hex}"
+    if not langs:
+        return Models([], path, np.zeros(0, np.float32))
+    vocabulary = (types[1].select("gram").distinct().count() + 1) * 8
+    of_each = lambda value, other: F.array(*(F.coalesce(F.max(F.when(F.col("lang") == x, value)), other) for x in langs))
+    lower = spark.createDataFrame([(x, "", 1 / vocabulary) for x in langs], "lang string, rest string, below double")
+    vectors = spark.createDataFrame([("", [float(-np.log(vocabulary))] * len(langs))], "rest string, under array<double>")
+    base = None
+    for n in range(1, ORDER + 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.when(ones > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.05), ones / (ones + 2 * twos)))).otherwise(0.5)
+        discounts = types[n].groupBy("lang").agg(discount.alias("discount"))
+        own = types[n].withColumn("context", F.substring("gram", 1, n - 1)).withColumn("rest", F.substring("gram", 2, n - 1))
+        contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).join(F.broadcast(discounts), "lang")
+        contexts = materialize(contexts.withColumn("back", F.col("discount") * F.col("kinds") / F.col("total")), "contexts")
+        p = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("below")
+        found = materialize(own.join(contexts, ["lang", "context"]).join(lower, ["lang", "rest"]).select("lang", "gram", "context", "rest", p.alias("p")), "probabilities")
+        backs = contexts.groupBy("context").agg(of_each(F.log("back"), F.lit(0.0)).alias("back"))
+        if n == 1:
+            base = np.array(backs.collect()[0].back, np.float32) - np.float32(np.log(vocabulary))
+        else:
+            _store(backs.select(F.col("context").alias("gram"), F.col("back").cast("array<float>").alias("v")), f"{path}/contexts-{n}")
+        # every gram that any language knows, with its probability under all of them
+        known = found.groupBy("gram", "context", "rest").agg(of_each(F.log("p"), F.lit(None)).alias("known"))
+        backed_off = F.zip_with("under", "back", lambda u, b: u + b)
+        every = known.join(vectors, "rest").join(backs, "context").select("gram", F.zip_with("known", backed_off, lambda k, u: F.coalesce(k, u)).alias("v"))
+        every = materialize(every, "vectors")
+        _store(every.select("gram", F.col("v").cast("array<float>").alias("v")), f"{path}/grams-{n}")
+        lower = found.select("lang", F.col("gram").alias("rest"), F.col("p").alias("below"))
+        vectors = every.select(F.col("gram").alias("rest"), F.col("v").alias("under"))
+    return Models(langs, path, base)
 
 
 class _Levels:
@@ -136,58 +192,75 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
+_loaded: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, list[str]]] = {}
+_slots: dict[str, tuple[np.uint64, np.ndarray]] = {}
+
+
+def _read(path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    system, at = pf.FileSystem.from_uri(path)
+    with system.open_input_file(at) as f:
+        found = pq.ParquetFile(f).read()
+    values = [x.flatten().to_numpy(zero_copy_only=False) for x in found.column("v").chunks]
+    return found.column("key").to_numpy(), np.concatenate([np.zeros(0, np.float32), *values]).reshape(-1, width)
+
+
 class Models:
-    """All languages' models in shared sorted hash arrays; `entropy` scores texts."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        """counts: language -> (grams as code points, n x ORDER; their counts)"""
-        self.langs = sorted(counts)
-        alphabet = len(np.unique(np.concatenate([g[:, -1] for g, _ in counts.values()]))) + 1 if counts else 1
-        self.floor = np.float32(-np.log(alphabet * 8.0))
-        own = [_Levels(*counts[x], alphabet * 8) for x in self.langs]
-        self.keys: list[np.ndarray] = []
-        self.logp: list[np.ndarray] = []
-        self.context_keys: list[np.ndarray] = []
-        self.back: list[np.ndarray] = []
-        for n in range(1, ORDER + 1):
-            contexts = np.unique(np.concatenate([x.contexts[n - 1][0] for x in own])) if own else np.zeros(0, np.uint64)
-            back = np.zeros((len(contexts), len(own)), np.float32)
-            for j, x in enumerate(own):
-                back[np.searchsorted(contexts, x.contexts[n - 1][0]), j] = np.log(x.contexts[n - 1][1])
-            self.context_keys.append(contexts)
-            self.back.append(back)
-            # every gram that any language knows, with its probability under all of them
-            rows = [_suffixes(counts[x][0], n) for x in self.langs]
-            every = np.concatenate(rows) if rows else np.zeros((0, n), np.uint32)
-            keys, first = np.unique(_rows(every), return_index=True)
-            every = every[first]
-            logp = self._below(every, n)
-            for j, x in enumerate(own):
-                at, hit = _find(x.grams[n - 1][0], keys)
-                logp[hit, j] = np.log(x.grams[n - 1][1][at[hit]])
-            self.keys.append(keys)
-            self.logp.append(logp.astype(np.float32))
-        bits = max(8, min(22, int(np.ceil(np.log2(len(self.keys[-1]) * 4 + 1)))))
-        self.shift = np.uint64(64 - bits)
-        self.slots = np.zeros(1 << bits, np.int32)
-        if len(self.keys[-1]):
-            self.slots[(self.keys[-1] * _M) >> self.shift] = np.arange(len(self.keys[-1]))
+    """All languages' models in files of sorted hashes; `entropy` scores texts."""
+
+    def __init__(self, langs: list[str], path: str, base: np.ndarray):
+        """base: for each language the log probability of a character that none knows"""
+        self.langs, self.path, self.base = langs, path, base
         self.calibration = np.array([0.0, 0.0, 0.0])
         self.limits = {x: np.inf for x in self.langs}
 
+    def _table(self, name: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Keys and values of the first files, up to RESIDENT rows, and the paths of the other ones."""
+        if (self.path, name) not in _loaded:
+            for old in [k for k in _loaded if k[0] != self.path]:
+                del _loaded[old]
+            system, at = pf.FileSystem.from_uri(f"{self.path}/{name}")
+            names = sorted(x.base_name for x in system.get_file_info(pf.FileSelector(at)) if x.base_name.endswith(".parquet"))
+            files, parts, n = [f"{self.path}/{name}/{x}" for x in names], [], 0
+            while files and n < RESIDENT:
+                parts.append(_read(files.pop(0), len(self.langs)))
+                n += len(parts[-1][0])
+            keys, values = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
+            order = np.argsort(keys)
+            _loaded[self.path, name] = keys[order], values[order], files
+        return _loaded[self.path, name]
+
+    def _look(self, name: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the wanted hashes, 0 where there are none, and whether there are."""
+        wanted = wanted.view(np.int64)
+        keys, values, files = self._table(name)
+        out, hits = np.zeros((len(wanted), len(self.langs)), np.float32), np.zeros(len(wanted), bool)
+        for k, v in [(keys, values), *((None, f) for f in files)]:
+            if k is None:
+                k, v = _read(v, len(self.langs))
+            at, hit = _find(k, wanted)
+            out[hit] = v[at[hit]]
+            hits |= hit
+        return out, hits
+
+    def _quick(self) -> tuple[np.uint64, np.ndarray]:
+        """Where in the resident grams of the highest order a hash is most likely to be, by its first bits once mixed."""
+        if self.path not in _slots:
+            keys = self._table(f"grams-{ORDER}")[0].view(np.uint64)
+            bits = max(8, min(22, int(np.ceil(np.log2(len(keys) * 4 + 1)))))
+            shift, slots = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
+            slots[(keys * _M) >> shift] = np.arange(len(keys))
+            _slots.clear()
+            _slots[self.path] = shift, slots
+        return _slots[self.path]
+
     def _below(self, grams: np.ndarray, n: int) -> np.ndarray:
         """Log probabilities of grams of order n where the gram itself isn't known: back-off weight and the order below."""
         if n == 1:
-            return np.full((len(grams), len(self.langs)), self.floor) + self.back[0]
-        found = self._of(grams[:, 1:], n - 1)
-        at, hit = _find(self.context_keys[n - 1], _rows(grams[:, :-1]))
-        found[hit] += self.back[n - 1][at[hit]]
-        return found
+            return np.repeat(self.base[None], len(grams), axis=0)
+        return self._of(grams[:, 1:], n - 1) + self._look(f"contexts-{n}", _rows(grams[:, :-1]))[0]
 
     def _of(self, grams: np.ndarray, n: int) -> np.ndarray:
-        at, hit = _find(self.keys[n - 1], _rows(grams))
-        found = np.empty((len(grams), len(self.langs)), np.float32)
-        found[hit] = self.logp[n - 1][at[hit]]
+        found, hit = self._look(f"grams-{n}", _rows(grams))
         if not hit.all():
             found[~hit] = self._below(grams[~hit], n)
         return found
@@ -198,18 +271,18 @@ class Models:
         total = np.zeros((len(texts), len(self.langs)))
         ends = np.r_[starts[1:] - (ORDER - 1), len(codes)] if len(texts) else starts
         sizes = ends - starts
-        if len(codes) >= ORDER and self.langs and len(self.keys[-1]):
+        if len(codes) >= ORDER and self.langs:
             h = hashes(codes, ORDER)  # of the gram that ends at place i + ORDER - 1
-            at = self.slots[(h * _M) >> self.shift]
-            keys, logp = self.keys[-1], self.logp[-1]
+            shift, slots = self._quick()
+            at = slots[(h * _M) >> shift]
+            keys, logp, _ = self._table(f"grams-{ORDER}")
+            keys = keys.view(np.uint64)
             miss = np.flatnonzero(keys[at] != h)
             if len(miss):
                 distinct, inverse = np.unique(h[miss], return_inverse=True)
-                found, hit = _find(keys, distinct)
                 first = np.empty(len(distinct), np.int64)
                 first[inverse] = miss
-                extra = np.empty((len(distinct), len(self.langs)), np.float32)
-                extra[hit] = logp[found[hit]]
+                extra, hit = self._look(f"grams-{ORDER}", distinct)
                 if not hit.all():
                     extra[~hit] = self._below(codes[first[~hit][:, None] + np.arange(ORDER)], ORDER)
             full = sizes > 0
@@ -243,28 +316,16 @@ def features(margin: float, size: int) -> np.ndarray:
     return np.array([1.0, margin, margin * min(size, 2000) ** 0.5])
 
 
-def _suffixes(grams: np.ndarray, n: int) -> np.ndarray:
-    tail = grams[:, ORDER - n :]
-    _, first = np.unique(_rows(tail), return_index=True)
-    return tail[first]
-
-
-def train(documents: DataFrame, usable, max_grams: int = MAX_GRAMS) -> Models:
+def train(documents: DataFrame, usable) -> Models:
     """Models and their calibration from rows with text and lang; `usable` is a condition on rows.
 
     Of the usable rows those whose crc32(doc_id) is odd calibrate, the rest are counted.  A label needs rows among the
     counted ones to be learned; without any, every text is `und`.
     """
+    ship(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
-    table = gram_counts(rows.where(~F.coalesce(odd, F.lit(False))), max_grams).toArrow()
-    counts = {}
-    for lang in table.column("lang").unique().to_pylist():
-        own = table.filter(pc.equal(table.column("lang"), lang))
-        codes = np.frombuffer("".join(own.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
-        counts[lang] = codes, own.column("n").to_numpy()
-    del table
-    models = Models(counts)
+    models = estimate(gram_counts(rows.where(~F.coalesce(odd, F.lit(False)))))
     held = rows.where(odd)
     n = held.select("doc_id").count()
     sample = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < CALIBRATION_ROWS)

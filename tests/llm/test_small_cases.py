@@ -204,6 +204,34 @@ def test_kneser_ney_sums_to_one():
     assert p.sum() <= 1.0 + 1e-9 and (p > 0).all()
 
 
+def test_language_models_of_all_grams(spark):
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "".join(rng.choice(letters) for _ in range(40_000)), "xx") for i in range(4)] + [(9, "abra cadabra", "yy")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.gram_counts(labelled)
+    found = {(r.lang, r.gram): r.n for r in counts.collect()}
+    want = Counter()
+    for _, text, lang in rows:
+        padded = "    " + text
+        want.update((lang, padded[i : i + 5]) for i in range(len(padded) - 4))
+    assert found == dict(want) and len(found) > 150_000
+    models = langid.estimate(counts)
+    for j, lang in enumerate(models.langs):
+        own = [(g, n) for (x, g), n in want.items() if x == lang]
+        grams = np.frombuffer("".join(g for g, _ in own).encode("utf-32-le"), "<u4").reshape(-1, 5)
+        level = langid._Levels(grams, np.array([n for _, n in own]), (27 + 1) * 8 if " " in {g[-1] for _, g in want} else (26 + 1) * 8)
+        for n in range(1, 6):
+            keys, p = level.grams[n - 1]
+            values, hit = models._look(f"grams-{n}", keys)
+            assert hit.all() and np.allclose(values[:, j], np.log(p), atol=1e-4)
+    texts = ["abra cadabra", "qqqéé zz", "a"]
+    whole = models.entropy(texts)[0]
+    resident, langid.RESIDENT = langid.RESIDENT, 60_000
+    langid._loaded.clear(), langid._slots.clear()
+    assert models._table("grams-5")[2] and np.allclose(models.entropy(texts)[0], whole)
+    langid.RESIDENT = resident
+
+
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
 
