@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training counts the ORDER-grams of the labelled texts in Spark, those of the rows that don't calibrate; continuation
+Training counts the ORDER-grams of the labelled texts in Spark, all but a bounded slice that calibrates; continuation
 counts, discounts and probabilities are aggregates and joins over all of them.  A model set is, for each order, the sorted
 hashes of grams with the log probability of the last character under every language, and those of contexts with the back-off
 weights, in files of about SHARD rows in the shared folder; the driver holds none.  A text's language is the one of the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.session import materialize, shared_dir, ship
 
 ORDER = 5
-CALIBRATION_ROWS = 4_000  # about so many labelled rows fit the score and the rejection limits
+CALIBRATION_ROWS = 1_000  # about so many rows of a language, a fifth of them at most, fit the score and the rejection limits
 SHARD = 50_000  # rows of a model file, about
 RESIDENT = 4_000_000  # rows of one order that a worker keeps; files beyond are read where they are needed
 UNKNOWN = "und"
@@ -319,20 +319,26 @@ def features(margin: float, size: int) -> np.ndarray:
 def train(documents: DataFrame, usable) -> Models:
     """Models and their calibration from rows with text and lang; `usable` is a condition on rows.
 
-    Of the usable rows those whose crc32(doc_id) is odd calibrate, the rest are counted.  A label needs rows among the
-    counted ones to be learned; without any, every text is `und`.
+    All usable rows are counted but those that calibrate: of each language about CALIBRATION_ROWS, at most a fifth, by a
+    hash of doc_id; of one with less than five rows none.  Without any counted row every text is `und`.
     """
     ship(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
-    models = estimate(gram_counts(rows.where(~F.coalesce(odd, F.lit(False)))))
-    held = rows.where(odd)
-    n = held.select("doc_id").count()
-    sample = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < CALIBRATION_ROWS)
-    _calibrate(models, predict(sample, models, keep=("lang",)).toPandas())
+    held = held_out({r.lang: r["count"] for r in rows.groupBy("lang").count().collect()})
+    models = estimate(gram_counts(rows.where(~held)))
+    _calibrate(models, predict(rows.where(held), models, keep=("lang",)).select("lang", "lang_pred", "margin", "entropy", "size").toPandas())
     return models
 
 
+def held_out(sizes: dict[str, int]):
+    """Whether a row calibrates, from the number of rows of each language."""
+    held = F.lit(False)
+    for lang, n in sorted(sizes.items()):
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(n)) < min(CALIBRATION_ROWS, n // 5)
+        held = F.when(F.col("lang") == lang, F.col("doc_id").isNotNull() & own).otherwise(held)
+    return held
+
+
 def _calibrate(models: Models, seen) -> None:
     """Logistic fit of "the prediction is right" on the margin; entropy limits from right predictions."""
     seen = seen[seen["lang_pred"] != UNKNOWN]
@@ -346,10 +352,15 @@ def _calibrate(models: Models, seen) -> None:
         step = np.linalg.solve(hessian, gradient)
         w = w + step * min(1, 2 / max(1e-9, float(np.abs(step).max())))
     models.calibration = w
+    right = seen["entropy"][(seen["lang"] == seen["lang_pred"]) & (seen["size"] >= 50)]
+    limits = {}
     for lang in models.langs:
         own = seen["entropy"][(seen["lang_pred"] == lang) & (seen["lang"] == lang) & (seen["size"] >= 50)]
         if len(own) >= 20:
-            models.limits[lang] = float(own.quantile(0.99)) + 1.0
+            limits[lang] = float(own.quantile(0.99)) + 1.0
+    # a language of too few rows takes the widest of the others' limits and of all right predictions together
+    pooled = max([*limits.values(), *([float(right.quantile(0.99)) + 1.0] if len(right) >= 20 else [])], default=np.inf)
+    models.limits = {x: limits.get(x, pooled) for x in models.langs}
 
 
 def predict(documents: DataFrame, models: Models, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -232,6 +232,20 @@ def test_language_models_of_all_grams(spark):
     langid.RESIDENT = resident
 
 
+def test_language_of_few_rows_is_learned(spark):
+    odd = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 2]
+    rng, words = random.Random(3), {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["kveld", "morgen", "natt", "dager"]}
+    say = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    rows = [(i, say("aa"), "aa") for i in range(2000, 2300)] + [(i, say("bb"), "bb") for i in odd[:4]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.train(d, F.lit(True))
+    found = langid.predict(d, models, keep=("lang",))
+    assert models.langs == ["aa", "bb"] and not found.where("lang <> lang_pred or rejected").count()
+    assert np.isfinite(models.limits["bb"])
+    held = langid.held_out({"aa": 300, "bb": 4})
+    assert 0 < d.where(held).count() <= 100 and not d.where(held).where("lang = 'bb'").count()
+
+
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
 
