@@ -25,6 +25,8 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of a page.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist audio video map".split())
+#: Elements that stand in a head; any other ends it.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: Elements that end a block of text.
 BLOCK = frozenset(
@@ -40,7 +42,7 @@ CLOSES = {
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 _STOP = frozenset("article section main aside nav header footer div table td th body html form".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0  -     　]+")
 
 #: Attribute tokens that tell of page furniture, and of main text.
@@ -71,6 +73,8 @@ def parse(page: str) -> list[Node]:
     open_links = 0
 
     def text(piece: str) -> None:
+        if nodes[here].tag == "head" and piece.strip():
+            close(nodes[here].parent)
         if piece and not silent:
             nodes[here].items.append(html.unescape(piece) if "&" in piece else piece)
 
@@ -103,6 +107,12 @@ def parse(page: str) -> list[Node]:
             if k:
                 close(nodes[k].parent)
             continue
+        if silent and tag not in HEAD:
+            k = here
+            while k and nodes[k].tag not in ("head", "template"):
+                k = nodes[k].parent
+            if nodes[k].tag == "head":
+                close(nodes[k].parent)
         if closes := CLOSES.get(tag):
             stop = BARRIER.get(tag, _STOP)
             k, found = here, -1

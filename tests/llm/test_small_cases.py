@@ -66,6 +66,18 @@ def test_html(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_attributes_and_open_head():
+    told = lambda page: " ".join(x.strip() for v in html_extract.parse(page) for x in v.items if isinstance(x, str) and x.strip())
+    for kept in ('href="/hidden-gems"', 'title="the hidden city"', 'data-hidden="false"', "alt='x hidden'", "href=/a/hidden", 'data-style="display:none"', 'data-aria-hidden="true"'):
+        assert told(f"<body><p {kept}>some text</p>") == "some text", kept
+    for lost in ("hidden", 'class="a" hidden', "HIDDEN=''", 'aria-hidden = "true"', "style='display: none'", "style=display:none"):
+        assert told(f"<body><p {lost}>some text</p><p>rest") == "rest", lost
+    node = html_extract.parse("<div title='class=ad' CLASS=content>x</div>")[1]
+    assert node.good and not node.bad
+    for page in ("<html><head><title>t</title><body><article>text</article>", "<html><head><meta charset=x><title>t</title><article>text</article>", "<head><style>a</style>text</head>", "<head><template><p>no</p></template></head><body>text"):
+        assert told(page) == "text", page
+
+
 def test_html_on_generated_pages():
     model, rng, scores = html_extract.train(), random.Random(123), []
     for _ in range(80):
