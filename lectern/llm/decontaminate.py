@@ -33,7 +33,7 @@ def fold(text: Column) -> Column:
 
 
 def _shingle(words: Column, at: Column, n: int) -> Column:
-    """A hash that shingles equal after fold() share; it folds more than that, and the window test decides."""
+    """A hash of words after fold(), the same on both sides; the window test decides."""
     return F.xxhash64(*(F.get(words, at + i) for i in range(n)))
 
 
@@ -43,16 +43,15 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     length = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(0), F.size("w") - length)
     cut = words.select("item_id", length.alias("length"), F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, length))).alias("v"))
-    low = F.transform("v", lambda x: F.lower(x))
     at_once = F.least(F.col("length"), F.lit(SHINGLE))
-    of = lambda i: reduce(lambda e, n: F.when(at_once == n, _shingle(F.col("low"), i, n)).otherwise(e), range(1, SHINGLE), _shingle(F.col("low"), i, SHINGLE))
+    of = lambda i: reduce(lambda e, n: F.when(at_once == n, _shingle(F.col("v"), i, n)).otherwise(e), range(1, SHINGLE), _shingle(F.col("v"), i, SHINGLE))
     spread = F.transform(F.sequence(F.lit(0), F.col("length") - at_once), lambda i: F.struct(of(i).alias("h"), i.alias("offset")))
-    return cut.withColumn("low", low).select("item_id", F.array_join("v", " ").alias("window"), "length", spread.alias("shingles")).distinct()
+    return cut.select("item_id", F.array_join("v", " ").alias("window"), "length", spread.alias("shingles")).distinct()
 
 
 def _shingles_of_documents(documents: DataFrame, sizes: list[int], columns: list[str]) -> DataFrame:
     """One row for each word (one for a document without): columns, raw words w, pos, and for each shingle size its hash."""
-    read = documents.select(*columns, words_of(F.col("text")).alias("w"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), F.lit(0)).alias("low"))
+    read = documents.select(*columns, words_of(F.col("text")).alias("w"), words_of(fold(F.col("text"))).alias("low"))
     spread = read.select(*columns, "w", "low", F.posexplode_outer("low").alias("pos", "word"))
     return spread.select(*columns, "w", "pos", F.array(*(_shingle(F.col("low"), F.col("pos"), n) for n in sizes)).alias("h") if len(sizes) > 1 else _shingle(F.col("low"), F.col("pos"), sizes[0] if sizes else SHINGLE).alias("h"))
 

@@ -134,6 +134,15 @@ def test_decontamination(spark):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in again) == sorted((str(r.doc_id), r.n_words, r.n_hit) for r in found)
 
 
+def test_decontamination_folds_words_without_context(spark):
+    items = [(1, "Ο Α.Σ. Β"), (2, "ΟΔΟΣ.ΑΒ ΓΔ"), (3, "İΣ' end OF it")]
+    rows = [(1, "x Ο Α.Σ. Β y"), (2, "ΟΔΟΣ.ΑΒ ΓΔ"), (3, "İΣ' End of IT"), (4, "ο α.σ. β"), (5, "ΟΔΟΣ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.decontaminate(docs(spark, rows), bench).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found), key=str) == brute_contaminated(rows, items)
+    assert sorted((r.doc_id, r.n_hit) for r in found) == [(1, 4), (2, 3), (3, 4), (4, 0), (5, 0)]
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
