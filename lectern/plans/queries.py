@@ -413,6 +413,11 @@ def h1c_normalize_title(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", identifiers.normalize_title(F.col("title")).alias("title"))
 
 
+@query()
+def h1c_normalize_title_all(spark: SparkSession, sf: str) -> DataFrame:
+    return views.papers(spark, sf).select("id", identifiers.normalize_title(F.col("title")).alias("title"))
+
+
 @query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(regexp_replace(replace(replace(x, '&amp;', '&'), '&quot;', '"'), '\s+', ' ', 'g'))), lambda x: length(x) >= 30), '|') AS paragraphs FROM pages""")
 def h1h_clean_abstract(spark: SparkSession, sf: str) -> DataFrame:
     found = F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1)), identifiers.clean_abstract)
@@ -450,6 +455,13 @@ def h2e_resolve_language(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", found.alias("f")).select("id", "f.language", "f.source", "f.conflict")
 
 
+@query()
+def h2e_resolve_language_all(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.papers(spark, sf)
+    found = language.resolve_language(F.col("title"), F.col("abstract"), F.col("language"), F.when(F.col("id") % 4 == 0, "ZH"))
+    return p.select("id", found.alias("f")).select("id", "f.language", "f.source", "f.conflict")
+
+
 @query("""
 WITH c AS (SELECT c_custkey AS journal_id, lower(regexp_replace(c_mktsegment, ' ', '')) || c_nationkey AS clean, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS issn, c_acctbal > 0 AS official FROM customer),
 s AS (SELECT *, CASE WHEN issn IS NOT NULL THEN 1000 ELSE 0 END + CASE WHEN official THEN 500 ELSE 0 END + 10 AS score FROM c),
@@ -560,6 +572,11 @@ def h6c_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.build_evidence(table(spark, sf, "documents").select("doc_id", "text"), 2000)
 
 
+@query()
+def h6c_evidence_all(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.build_evidence(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%?')), lambda x: NOT contains(substr(text, 1, 500), x))) AS missing FROM documents""")
 def h6f_missing_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(evidence.missing_numbers(F.col("text"), F.substring("text", 1, 500))).cast("long").alias("missing"))

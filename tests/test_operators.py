@@ -126,3 +126,14 @@ def test_rolling_health(spark, tmp_path):
     query = rolling_health(spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))).writeStream.format("memory").queryName("health").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.requests, r.n_failed) for r in spark.table("health").collect()] == [(1, 0)]
+
+
+def test_queries_of_whole_tables(spark, sf):
+    from lectern import registry
+    from lectern.plans import views
+
+    ids = sorted(r.id for r in views.papers(spark, sf).select("id").collect())
+    for name in ("h1c_normalize_title_all", "h2e_resolve_language_all"):
+        assert sorted(r.id for r in registry.QUERIES[name](spark, sf).select("id").collect()) == ids
+    longest = lambda name: registry.QUERIES[name](spark, sf).selectExpr("doc_id", "length(sentence) n").groupBy("doc_id").sum("n").agg({"sum(n)": "max"}).first()[0]
+    assert longest("h6c_evidence") <= 2000 < longest("h6c_evidence_all") <= 46_000
