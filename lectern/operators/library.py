@@ -20,8 +20,8 @@ def judgment_counts(judgments: DataFrame) -> DataFrame:
 
 def can_undo(log: DataFrame) -> DataFrame:
     """Actions that may be undone: no later action of the same kind touches one of their ids."""
-    later = log.select(F.col("subject"), F.col("kind"), F.col("at").alias("later_at"))
-    blocked = log.join(later, ["subject", "kind"]).where("later_at > at").select("action_id").distinct()
+    last = log.groupBy("subject", "kind").agg(F.max("at").alias("last_at"))
+    blocked = log.join(last, ["subject", "kind"]).where("last_at > at").select("action_id").distinct()
     return log.select("action_id", "kind").distinct().join(blocked, "action_id", "left_anti")
 
 

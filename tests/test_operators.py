@@ -137,3 +137,12 @@ def test_queries_of_whole_tables(spark, sf):
         assert sorted(r.id for r in registry.QUERIES[name](spark, sf).select("id").collect()) == ids
     longest = lambda name: registry.QUERIES[name](spark, sf).selectExpr("doc_id", "length(sentence) n").groupBy("doc_id").sum("n").agg({"sum(n)": "max"}).first()[0]
     assert longest("h6c_evidence") <= 2000 < longest("h6c_evidence_all") <= 46_000
+
+
+def test_undo_joins_one_row_a_group(spark):
+    from lectern.operators import library
+
+    log = spark.createDataFrame([(1, "k", "a", 1), (2, "k", "a", 2), (2, "k", "b", 1), (3, "k", "b", 1), (4, "m", "a", 0), (5, "k", None, 0)], "action_id int, kind string, subject string, at int")
+    found = library.can_undo(log)
+    assert sorted(r.action_id for r in found.collect()) == [2, 3, 4, 5]
+    assert "max(at" in found._jdf.queryExecution().optimizedPlan().toString()
