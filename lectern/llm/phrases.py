@@ -1,9 +1,10 @@
 """Removal of repeated phrases of PHRASE words by Aho-Corasick automata.
 
-Candidate passages come from repeats.py: runs of windows around an anchor that stands in several places.  Copies of a whole
-passage are confirmed by its hash.  Where an anchor stands in different passages, these are dealt by anchor to shards;
-a shard confirms the windows that recur in it, compiles them into one automaton over word numbers and streams its passages
-through it, which finds every occurrence of each window and so its first one.
+Documents are cut into passages around anchors (see repeats.py); passages are dealt by anchor to shards, so that every
+occurrence of a phrase comes to the shard that knows it.  Passages of the same words are one, the first of them (known by
+128-bit BLAKE2b digests of their words); the others are repeats as a whole.  A shard confirms the windows that recur in it,
+compiles them into one automaton over word numbers and streams its passages through it, which finds every occurrence of
+each window and so its first one.
 """
 
 from __future__ import annotations
@@ -24,9 +25,19 @@ GRAM = 6
 SHARD = 2_000  # passages of an automaton
 
 
-def units(texts: list[str | None]) -> list[np.ndarray]:
-    hashes, _, _, at = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
-    return [hashes[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+class Words:
+    """A text's words as units of repeats.py."""
+
+    @staticmethod
+    def hashes(texts: list[str | None]) -> list[np.ndarray]:
+        hashes, _, _, at = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+        return [hashes[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    @staticmethod
+    def cutter(text: str | None):
+        words = _words(text)
+        joined, begins = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+        return lambda start, stop: joined[begins[start] : begins[stop] - 1]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -92,6 +103,11 @@ def _scan(batches):
     yield located()
 
 
+def _compare(texts: DataFrame, n: int) -> DataFrame:
+    passages = texts.mapInArrow(_passages, "gram long, row long, start long, passage binary")
+    return passages.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, "row long, start long, stop long")
+
+
 def _cut(batches):
     for batch in small(batches):
         out: list[tuple] = []
@@ -121,17 +137,7 @@ def remove_phrases(documents: DataFrame) -> DataFrame:
     """
     ship(documents.sparkSession)
     rows = repeats.keyed(documents)
-    runs = repeats.repeated_runs(rows, units, PHRASE, GRAM)
-    contexts = repeats.first_contexts(runs)
-    state = {r["heavy"]: r["count"] for r in contexts.where("mixed").groupBy("heavy").count().collect()}  # at most two rows
-    firsts = contexts.where("copies > 1").select("gram", "ctx", F.col("row").alias("first_row"), F.col("start").alias("first_start"))
-    later = runs.join(firsts, ["gram", "ctx"]).where("row <> first_row or start <> first_start")
-    spans = later.select("row", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (PHRASE - 1)).cast("long").alias("stop"))
-    if state.get(False):
-        passages = repeats.with_text(rows, contexts.where("mixed and not heavy")).mapInArrow(_passages, "gram long, row long, start long, passage binary")
-        spans = spans.union(passages.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, "row long, start long, stop long"))
-    if state.get(True):
-        spans = spans.union(repeats.heavy_spans(rows, contexts.where("mixed"), units, PHRASE, first_stays=True))
+    spans = repeats.repeated_spans(rows, Words, PHRASE, GRAM, _compare, first_stays=True)
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string"
     return rows.join(lists, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)

@@ -2,31 +2,53 @@
 
 Each window has an anchor, the leftmost of its k-grams with the smallest hash, so equal windows have equal anchors at equal
 places.  Windows that follow each other and share an anchor are a run (at most W - k + 1 windows); a run is known by its
-anchor's hash (`gram`) and the hash of all its units (`ctx`).  Then
+anchor's hash (`gram`) and its content, the 128-bit BLAKE2b digest of all its units (`ctx_a`, `ctx_b`).  Then
 
 - runs whose gram occurs once hold no repeated window, and are dropped by one count over all grams;
-- runs of equal ctx repeat each other as a whole; of each ctx only the first occurrence goes on;
-- where one gram stands in different contexts, the contexts themselves are compared by the caller ("mixed" grams), but for
-  grams with more than HEAVY contexts, whose windows are counted one by one in Spark.
+- runs of equal content repeat each other as a whole; of each content only the first occurrence goes on;
+- where one gram stands in different contexts, the caller compares the contexts themselves, anchor by anchor;
+- an anchor in more than GROUP contexts is split by what stands around it: its windows are dealt to classes by their
+  distance from the anchor, and the units that all windows of a class share are the key in place of the gram.  Classes are
+  narrowed until no group is larger; one of a single distance shares whole windows, so that equal keys are equal contents.
+
+Hashes of grams and keys only bring together what may be equal.  Grams that hold over a thousandth of all runs are joined
+in SALTS parts, so that no key is one task's alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from hashlib import blake2b
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.words import _power_arrays, mix
 from lectern.session import materialize
 
-HEAVY = 256
-RUN_SCHEMA = "row long, gram long, ctx long, start int, n int, anchor int"
+GROUP = 4_096  # contexts of one key that are compared in one group, at most
+NARROW = 8  # by how much a class of windows is narrowed at a time
+SALTS = 32
+RUN_SCHEMA = "row long, gram long, ctx_a long, ctx_b long, start int, n int, anchor int"
+_RUN = ["row", "gram", "ctx_a", "ctx_b", "start", "n", "anchor"]
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF)
 
 
+class Units(Protocol):
+    """How a text is cut into units."""
+
+    @staticmethod
+    def hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
+        """A 64-bit hash of every unit of every text."""
+
+    @staticmethod
+    def cutter(text: str | None) -> Callable[[int, int], bytes]:
+        """The units from start to stop as bytes, equal only for equal units."""
+
+
 def prefix_sums(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and inverse powers from which span() hashes any stretch of the units."""
     power, inverse = _power_arrays(len(units) + 1)
@@ -40,7 +62,7 @@ def span(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, stop: np.nda
 
 
 def runs_of(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...] | None:
-    """gram, ctx, start, n (windows), anchor (its place after start) of each run of one text's units."""
+    """gram, start, n (windows), anchor (its place after start) of each run of one text's units."""
     if len(units) < window:
         return None
     total, inverse = prefix_sums(units)
@@ -55,143 +77,169 @@ def runs_of(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...] |
     anchor = (m & _LOW).astype(np.int64)
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     stop = np.r_[start[1:], len(anchor)]
-    return g[anchor[start]], span(total, inverse, start, stop + (window - 1)), start, stop - start, anchor[start] - start
+    return g[anchor[start]], start, stop - start, anchor[start] - start
+
+
+def _parts(batches, size: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
+def _emit_grams(units: Units, window: int, k: int):
+    def run(batches):
+        for part in _parts(batches, 500):
+            found = [r[0] for u in units.hashes(part.column("text").to_pylist()) if (r := runs_of(u, window, k))]
+            if found:
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    return run
+
+
+def _digests(cut: Callable[[int, int], bytes], starts: list[int], stops: list[int]) -> bytes:
+    return b"".join([blake2b(cut(s, e), digest_size=16).digest() for s, e in zip(starts, stops, strict=True)])
+
+
+def _batch(rows: list[np.ndarray], digests: list[bytes], found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    gram, start, n, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+    ctx = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    longs = (np.concatenate(rows), gram.view(np.int64), np.ascontiguousarray(ctx[:, 0]), np.ascontiguousarray(ctx[:, 1]))
+    return pa.RecordBatch.from_arrays([*map(pa.array, longs), *(pa.array(x.astype(np.int32)) for x in (start, n, anchor))], _RUN)
 
 
-def _emit(units: Callable[[list], list[np.ndarray]], window: int, k: int):
+def _emit_runs(units: Units, window: int, k: int):
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows, parts = [], []
-                for row, u in zip(part.column("row").to_pylist(), units(part.column("text").to_pylist()), strict=True):
-                    found = runs_of(u, window, k)
-                    if found:
-                        parts.append(found)
-                        rows.append(np.full(len(found[0]), row))
-                if not parts:
-                    continue
-                gram, ctx, start, n, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rows)), pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (start, n, anchor))], ["row", "gram", "ctx", "start", "n", "anchor"]
-                )
+        for part in _parts(batches, 500):
+            rows, digests, parts = [], [], []
+            texts = part.column("text").to_pylist()
+            for row, text, u in zip(part.column("row").to_pylist(), texts, units.hashes(texts), strict=True):
+                if found := runs_of(u, window, k):
+                    _, start, n, _ = found
+                    digests.append(_digests(units.cutter(text), start.tolist(), (start + n + (window - 1)).tolist()))
+                    rows.append(np.full(len(start), row))
+                    parts.append(found)
+            if parts:
+                yield _batch(rows, digests, parts)
 
     return run
 
 
-def keyed(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row, text, doc_id, *keep): row is doc_id where ids are unique, else a number in order of doc_id (null first)."""
+def keyed(documents: DataFrame, keep: tuple[str, ...] = (), nulls_last: bool = False) -> DataFrame:
+    """(row, text, doc_id, *keep): row is doc_id where ids are unique; else rows are numbered in order of doc_id and text.
+
+    Numbering is a range sort of the table; `row` then has the metadata `numbered`.
+    """
     read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     odd = read.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return read.withColumnRenamed("doc_id", "row").select("row", "text", F.col("row").alias("doc_id"), *keep)
-    return materialize(read.orderBy("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).select("row", "text", "doc_id", *keep), "rows")
+        return read.select(F.col("doc_id").alias("row"), "text", "doc_id", *keep)
+    order = F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first()
+    ordered = materialize(read.orderBy(order, "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    return ordered.select(F.col("row").alias("row", metadata={"numbered": True}), "text", "doc_id", *keep)
+
+
+class Hot:
+    """Keys that hold more than a thousandth of all rows, so at most a thousand; joins on them are dealt in SALTS parts."""
+
+    def __init__(self, counts: DataFrame):
+        """counts: (gram, n), written."""
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        self.grams = [r.gram for r in counts.where(F.col("n") * 1000 > total).select("gram").collect()]
+
+    def is_hot(self) -> Column:
+        return F.col("gram").isin(self.grams) if self.grams else F.lit(False)
+
+    def dealt(self, rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("salt", F.when(self.is_hot(), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        every = F.array(*(F.lit(i) for i in range(SALTS)))
+        return rows.withColumn("salt", F.explode(F.when(self.is_hot(), every).otherwise(F.array(F.lit(0)))))
 
 
-def repeated_runs(rows: DataFrame, units, window: int, k: int) -> DataFrame:
-    """Runs whose gram occurs more than once, written out: RUN_SCHEMA and `mixed` (the gram has several contexts)."""
-    runs = rows.select("row", "text").mapInArrow(_emit(units, window, k), RUN_SCHEMA)
-    grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("ctx").alias("low"), F.max("ctx").alias("high")).where("c > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
-    return materialize(runs.join(grams, "gram"), "runs")
+def recurring_runs(rows: DataFrame, units: Units, window: int, k: int) -> tuple[DataFrame, Hot]:
+    """Runs whose gram occurs more than once, written out, and the hot grams."""
+    grams = rows.select("text").mapInArrow(_emit_grams(units, window, k), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    grams = materialize(grams, "grams")
+    hot = Hot(grams)
+    runs = hot.dealt(rows.select("row", "text").mapInArrow(_emit_runs(units, window, k), RUN_SCHEMA), "row", "start")
+    return materialize(runs.join(hot.spread(grams.select("gram")), ["gram", "salt"], "left_semi").select(*_RUN), "runs"), hot
 
 
 def first_contexts(runs: DataFrame) -> DataFrame:
-    """One row for each (gram, ctx), written out: its first row and start, its count, n, anchor, mixed, heavy."""
-    first = runs.groupBy("gram", "ctx", "n", "anchor", "mixed").agg(F.min(F.struct("row", "start")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    flat = materialize(first.select("gram", "ctx", "n", "anchor", "mixed", "first.row", "first.start", "copies"), "contexts")
-    heavy = flat.where("mixed").groupBy("gram").count().where(F.col("count") > HEAVY).select("gram", F.lit(True).alias("heavy"))
-    return materialize(flat.join(heavy, "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))), "contexts")
+    """One row for each content of each gram, written out: its first row and start, n, anchor and its count."""
+    first = runs.groupBy("gram", "ctx_a", "ctx_b").agg(F.min(F.struct("row", "start", "n", "anchor")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    return materialize(first.select("gram", "ctx_a", "ctx_b", "first.*", "copies"), "contexts")
+
+
+def mixed_contexts(contexts: DataFrame, hot: Hot) -> DataFrame:
+    """Contexts whose gram stands in others too, written out, with `heavy`: it stands in more than GROUP."""
+    kinds = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    flagged = hot.spread(kinds.select("gram", (F.col("kinds") > GROUP).alias("heavy")))
+    return materialize(hot.dealt(contexts, "ctx_a").join(flagged, ["gram", "salt"]).select("row", "gram", "start", "n", "anchor", "heavy"), "mixed")
 
 
 def with_text(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """The text of each row that has contexts, with the list of them."""
-    lists = contexts.groupBy("row").agg(F.collect_list(F.struct("gram", "ctx", "start", "n", "anchor", "copies")).alias("contexts"))
+    lists = contexts.groupBy("row").agg(F.collect_list(F.struct("gram", "start", "n", "anchor")).alias("contexts"))
     return rows.select("row", "text").join(lists, "row")
 
 
-def _stretches(row: np.ndarray, start: np.ndarray, window: int) -> pa.Table:
-    """(row, start, stop) of the units that windows at these places cover; windows at consecutive places are one stretch."""
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)]) if len(row) else np.zeros(0, np.int64)
-    last = np.r_[new[1:], len(row)] - 1 if len(row) else new
-    return pa.table({"row": row[new], "start": start[new], "stop": start[last] + window})
-
-
-def _split(h: np.ndarray, row: np.ndarray, start: np.ndarray, known: np.ndarray, first_stays: bool):
-    """Of windows, those that repeat another of them (but the first, if that stays), and one of each with what is known."""
-    order = np.lexsort((start, row, h))
-    h, row, start, known = h[order], row[order], start[order], known[order]
-    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[head, len(h)])
-    repeated = np.repeat(size > 1, size)
-    if first_stays:
-        repeated[head] = False
-    else:
-        repeated &= ~known
-    return (row[repeated], start[repeated]), (h[head], row[head], start[head], size > 1)
-
-
-_BLOB = "bucket int, h binary, row binary, start binary, known binary"
-
-
-def _window_blobs(units, window: int, buckets: int, first_stays: bool, most: int = 1_000_000):
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        h, row, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        (r, s), left = _split(h, row, start, np.zeros(len(h), bool), first_stays)
-        found = _stretches(r, s, window)
-        rows = [(-1, b"", found["row"].to_numpy().tobytes(), found["start"].to_numpy().tobytes(), found["stop"].to_numpy().tobytes())]
-        bucket = (left[0] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            mine = order[ends[b] : ends[b + 1]]
-            if len(mine):
-                rows.append((b, *(x[mine].tobytes() for x in left)))
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "h", "row", "start", "known"])
+def _narrower(units: Units, window: int, k: int, width: int):
+    """Each context in pieces of windows whose distances from the anchor are of one class, `width` distances wide."""
+    last = window - k
 
     def run(batches):
-        held: list[tuple] = []
-        n = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                for row, u, contexts in zip(part.column("row").to_pylist(), units(part.column("text").to_pylist()), part.column("contexts").to_pylist(), strict=True):
-                    total, inverse = prefix_sums(u)
-                    for c in contexts:
-                        start = np.arange(c["start"], c["start"] + c["n"])
-                        held.append((span(total, inverse, start, start + window), np.full(len(start), row), start))
-                        n += len(start)
-                if n >= most:
-                    yield flush(held)
-                    held, n = [], 0
-        if held:
-            yield flush(held)
+        for part in _parts(batches, 100):
+            rows, digests, parts = [], [], []
+            texts = part.column("text").to_pylist()
+            for row, text, u, contexts in zip(part.column("row").to_pylist(), texts, units.hashes(texts), part.column("contexts").to_pylist(), strict=True):
+                total, inverse = prefix_sums(u)
+                at, low, high, number = [], [], [], []
+                for c in contexts:
+                    for j in range((c["anchor"] - c["n"] + 1) // width, c["anchor"] // width + 1):
+                        at.append(c["start"] + c["anchor"])
+                        low.append(max(c["anchor"] - c["n"] + 1, j * width))
+                        high.append(min(c["anchor"], j * width + width - 1))
+                        number.append(j)
+                a, low, high, j = (np.array(x, np.int64) for x in (at, low, high, number))
+                shared = span(total, inverse, a - j * width, a - np.minimum(j * width + width - 1, last) + window)
+                start, n = a - high, high - low + 1
+                digests.append(_digests(units.cutter(text), start.tolist(), (start + n + (window - 1)).tolist()))
+                key = mix(shared + (j * window + width).astype(np.uint64)) if width > 1 else np.frombuffer(digests[-1], np.uint64)[::2]
+                rows.append(np.full(len(a), row))
+                parts.append((key, start, n, high))
+            if parts:
+                yield _batch(rows, digests, parts)
 
     return run
 
 
-def _local(batches):
-    for batch in batches:
-        parts = [np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("row", "start", "known")]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["row", "start", "stop"])
-
+def repeated_spans(rows: DataFrame, units: Units, window: int, k: int, compare: Callable[[DataFrame, int], DataFrame], first_stays: bool) -> DataFrame:
+    """(row, start, stop), in units, of stretches whose windows occur elsewhere too, or earlier too if the first one stays.
 
-def heavy_spans(rows: DataFrame, contexts: DataFrame, units, window: int, first_stays: bool) -> DataFrame:
-    """(row, start, stop) of repeated windows among the contexts of heavy grams.
-
-    Windows are counted by hash: first within a task, which answers for its own repeats and sends on one of each, in blobs
-    by bucket; then within buckets of about a million windows.  A window in a third of all contexts is sent on once by a
-    task, so no bucket is much larger than another.
+    `compare(texts, n)` gives the same for n contexts (row, text, contexts) with different contents around shared anchors.
     """
-    heavy = contexts.where("heavy")
-    buckets = max(8, -(-int(heavy.agg(F.sum("n")).first()[0] or 0) // 1_000_000))
-    blobs = materialize(with_text(rows, heavy).mapInArrow(_window_blobs(units, window, buckets, first_stays), _BLOB), "windows")
-
-    def resolve(table: pa.Table) -> pa.Table:
-        h, row, start, known = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("h", np.uint64), ("row", np.int64), ("start", np.int64), ("known", bool)))
-        return _stretches(*_split(h, row, start, known, first_stays)[0], window)
-
-    spans = "row long, start long, stop long"
-    return blobs.where("bucket < 0").mapInArrow(_local, spans).union(blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(resolve, spans))
+    runs, hot = recurring_runs(rows, units, window, k)
+    width, found = window - k + 1, []
+    while True:
+        contexts = first_contexts(runs)
+        whole = hot.spread(contexts.where("copies > 1").select("gram", "ctx_a", "ctx_b", F.col("row").alias("first_row"), F.col("start").alias("first_start")))
+        copies = hot.dealt(runs, "row", "start").join(whole, ["gram", "ctx_a", "ctx_b", "salt"])
+        if first_stays:
+            copies = copies.where("row <> first_row or start <> first_start")
+        found.append(copies.select("row", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (window - 1)).cast("long").alias("stop")))
+        mixed = mixed_contexts(contexts, hot)
+        sizes = {r["heavy"]: r["count"] for r in mixed.groupBy("heavy").count().collect()}  # at most two rows
+        if sizes.get(False):
+            found.append(compare(with_text(rows, mixed.where("not heavy")), sizes[False]))
+        if not sizes.get(True):
+            break
+        width = -(-width // NARROW)
+        runs = materialize(with_text(rows, mixed.where("heavy")).mapInArrow(_narrower(units, window, k, width), RUN_SCHEMA), "runs")
+        hot = Hot(materialize(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams"))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    return spans

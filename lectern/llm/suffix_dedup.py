@@ -1,16 +1,20 @@
 """Exact substring deduplication on bytes by a distributed merge sort of suffixes.
 
 Only suffixes that can begin inside a repeated string are sorted: those at anchors (see repeats.py) that stand in several
-contexts.  Each task sorts its suffixes and front-codes the sorted run (length of the prefix shared with the one before,
-and the rest); runs are exchanged by anchor, so that suffixes that share WINDOW bytes around an anchor meet, and merged by
-a loser tree that carries common-prefix lengths and never compares a known prefix again.  In the merged order the
-common prefixes with both neighbours bound how far to the right a suffix is shared at all; within that bound the windows
-themselves decide.
+contexts, one for each content.  Each task sorts its suffixes and front-codes the sorted run (length of the prefix shared
+with the one before, and the rest); runs are exchanged by anchor, so that suffixes that share WINDOW bytes around an anchor
+meet, and merged by a loser tree that carries common-prefix lengths and never compares a known prefix again.
+
+The merged order decides what is repeated.  Suffixes are joined in order of falling common prefix, as in an LCP-interval
+tree: when two sets meet at a prefix of L bytes, the nearest neighbours by what stands left of the anchor share M bytes
+there, and all windows from W - L to M bytes before the anchor are in both.  The smaller set goes into the larger one, so
+n suffixes take about n log n steps and no pairs.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,21 @@ BUCKET = 8_000  # suffixes merged in one group, about
 _BATCH = 10_000  # suffixes sorted in one run, at most
 
 
-def units(texts: list[str | None]) -> list[np.ndarray]:
-    return [_TABLE[np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)] for t in texts]
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+class Bytes:
+    """A text's UTF-8 bytes as units of repeats.py."""
+
+    @staticmethod
+    def hashes(texts: list[str | None]) -> list[np.ndarray]:
+        return [_TABLE[np.frombuffer(_bytes(t), np.uint8)] for t in texts]
+
+    @staticmethod
+    def cutter(text: str | None):
+        data = _bytes(text)
+        return lambda start, stop: data[start:stop]
 
 
 def small(batches, rows: int = 300):
@@ -116,7 +133,7 @@ def merge(runs: list):
 
 # --- tasks --------------------------------------------------------------------------------------------------------
 
-_RUN_FIELDS = ("shared", "lengths", "rests", "left_lengths", "lefts", "row", "start", "n", "copies")
+_RUN_FIELDS = ("shared", "lengths", "rests", "left_lengths", "lefts", "row", "at")
 
 
 def _sorted_runs(buckets: int):
@@ -128,7 +145,7 @@ def _sorted_runs(buckets: int):
         rows = []
         for bucket, own in sorted(by.items()):
             shared, lengths, rests = front_code([x[0] for x in own])
-            numbers = [np.array([x[i] for x in own], np.int64).tobytes() for i in (3, 4, 5, 6)]
+            numbers = [np.array([x[i] for x in own], np.int64).tobytes() for i in (3, 4)]
             rows.append((bucket, shared.tobytes(), lengths.tobytes(), rests, np.array([len(x[2]) for x in own], np.int32).tobytes(), b"".join(x[2] for x in own), *numbers))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *_RUN_FIELDS])
@@ -137,10 +154,10 @@ def _sorted_runs(buckets: int):
         held: list[tuple] = []
         for part in small(batches):
             for row, text, contexts in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), part.column("contexts").to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+                data = _bytes(text)
                 for c in contexts:
                     s, a = c["start"], c["start"] + c["anchor"]
-                    held.append((data[a : s + c["n"] - 1 + WINDOW], c["gram"] % buckets, data[s:a], row, s, c["n"], c["copies"]))
+                    held.append((data[a : s + c["n"] - 1 + WINDOW], c["gram"] % buckets, data[s:a], row, a))
                 if len(held) >= _BATCH:
                     yield flush(held)
                     held = []
@@ -150,48 +167,93 @@ def _sorted_runs(buckets: int):
     return run
 
 
+def repeated_windows(prefixes: list[int], lefts: list[bytes], window: int):
+    """(i, x, y) of sorted suffixes: windows that begin x to y bytes left of suffix i's anchor stand in another one too.
+
+    prefixes[i] is the common prefix of suffixes i - 1 and i, lefts[i] the bytes before the anchor, reversed.
+    """
+    n = len(lefts)
+    if n < 2:
+        return
+    if n == 2:
+        both = shared_prefix(lefts[0], lefts[1])
+        if both + prefixes[1] >= window:
+            yield 0, window - prefixes[1], both
+            yield 1, window - prefixes[1], both
+        return
+    order = sorted(range(n), key=lefts.__getitem__)
+    rank = [0] * n
+    for r, i in enumerate(order):
+        rank[i] = r
+    sets: dict[int, list[int]] = {i: [rank[i]] for i in range(n)}  # ranks by left side, sorted; of the set that ends or begins here
+    begin, end = list(range(n)), list(range(n))
+    for k in sorted(range(1, n), key=lambda k: -prefixes[k]):
+        least = window - prefixes[k]
+        first, last = begin[k - 1], end[k]
+        large, few = sets.pop(first), sets.pop(k)
+        if len(large) < len(few):
+            large, few = few, large
+        for r in few:
+            at = bisect_left(large, r)
+            best = -1
+            for other in large[max(0, at - 1) : at + 1]:
+                both = shared_prefix(lefts[order[r]], lefts[order[other]])
+                if both >= least:
+                    yield order[other], least, both
+                best = max(best, both)
+            if best >= least:
+                yield order[r], least, best
+            large.insert(at, r)
+        sets[first] = large
+        begin[last], end[first] = first, last
+
+
 def _resolve(table: pa.Table) -> pa.Table:
     """Of one bucket's runs: (row, start, stop) of stretches of windows that occur in another context too."""
     columns = {f: table.column(f).to_pylist() for f in _RUN_FIELDS}
-    runs, lefts, numbers = [], [], {f: [] for f in ("row", "start", "n", "copies")}
+    runs, lefts, rows, places = [], [], [], []
     for i in range(table.num_rows):
         runs.append(decode(np.frombuffer(columns["shared"][i], np.int32), np.frombuffer(columns["lengths"][i], np.int32), columns["rests"][i]))
         ends = np.cumsum(np.r_[0, np.frombuffer(columns["left_lengths"][i], np.int32)]).tolist()
-        lefts.append([columns["lefts"][i][s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)])
-        for f in numbers:
-            numbers[f].append(np.frombuffer(columns[f][i], np.int64))
-    shared, strings, of_run, place = [], [], [], []
+        lefts.append([columns["lefts"][i][s:e][::-1] for s, e in zip(ends[:-1], ends[1:], strict=True)])
+        rows.append(np.frombuffer(columns["row"][i], np.int64).tolist())
+        places.append(np.frombuffer(columns["at"][i], np.int64).tolist())
     taken = [0] * len(runs)
-    for n, s, r in merge(runs):
-        shared.append(n)
-        strings.append(lefts[r][taken[r]] + s)
-        of_run.append(r)
-        place.append(taken[r])
+    found: list[tuple[int, int, int]] = []
+    prefixes: list[int] = []
+    group: list[tuple[int, int]] = []
+
+    def close() -> None:
+        stretches: dict[int, list[list[int]]] = {}
+        for i, x, y in repeated_windows(prefixes, [lefts[r][p] for r, p in group], WINDOW):
+            stretches.setdefault(i, []).append([x, y])
+        for i, own in stretches.items():
+            r, p = group[i]
+            own.sort()
+            x, y = own[0]
+            for a, b in [*own[1:], (WINDOW * 2, 0)]:
+                if a > y + 1:
+                    found.append((rows[r][p], places[r][p] - y, places[r][p] - x + WINDOW))
+                    x, y = a, b
+                else:
+                    y = max(y, b)
+
+    for n, _, r in merge(runs):
+        if n < GRAM and group:  # another gram
+            close()
+            prefixes, group = [], []
+        prefixes.append(n)
+        group.append((r, taken[r]))
         taken[r] += 1
-    begins = np.cumsum([0, *map(len, numbers["row"])])
-    at = begins[np.array(of_run, int)] + np.array(place, int)
-    row, start, n, copies = (np.concatenate(numbers[f])[at] for f in ("row", "start", "n", "copies"))
-    left = np.array([len(lefts[r][p]) for r, p in zip(of_run, place, strict=True)], np.int64)
-    before = np.array(shared)
-    group = np.cumsum(before < GRAM)
-    reach = np.maximum(before, np.r_[before[1:], 0])
-    # the windows a suffix may share: those whose part from the anchor on is within reach
-    size = np.clip(reach + left - WINDOW + 1, 0, n)
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    base = np.cumsum([0, *map(len, strings)])[:-1]
-    entry = np.repeat(np.arange(len(n)), size)
-    j = np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
-    total, inverse = repeats.prefix_sums(_TABLE[data])
-    begin = base[entry] + j
-    h = repeats.span(total, inverse, begin, begin + WINDOW)
-    h = h * np.uint64(31) + (left[entry] - j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + group[entry].astype(np.uint64)
-    _, inverse_of, times = np.unique(h, return_inverse=True, return_counts=True)
-    hit = (times[inverse_of] > 1) & (copies[entry] == 1)
-    e, j = entry[hit], j[hit]
-    new = np.r_[True, (e[1:] != e[:-1]) | (j[1:] != j[:-1] + 1)] if len(e) else np.zeros(0, bool)
-    opens = np.flatnonzero(new)
-    closes = np.r_[opens[1:], len(e)] - 1 if len(e) else opens
-    return pa.table({"row": row[e[opens]], "start": start[e[opens]] + j[opens], "stop": start[e[opens]] + j[closes] + WINDOW})
+    close()
+    row, start, stop = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"row": pa.array(row, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64())})
+
+
+def _compare(texts: DataFrame, n: int) -> DataFrame:
+    buckets = max(8, math.ceil(n / BUCKET))
+    schema = "bucket int, shared binary, lengths binary, rests binary, left_lengths binary, lefts binary, row binary, at binary"
+    return texts.mapInArrow(_sorted_runs(buckets), schema).groupBy("bucket").applyInArrow(_resolve, "row long, start long, stop long")
 
 
 def _cut(columns: list[str]):
@@ -199,7 +261,7 @@ def _cut(columns: list[str]):
         for batch in small(batches):
             out: list[tuple] = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+                data = _bytes(text)
                 merged: list[list[int]] = []
                 for x in sorted((x["start"], x["stop"]) for x in spans or ()):
                     if merged and x[0] <= merged[-1][1]:
@@ -228,19 +290,7 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFram
     """
     ship(documents.sparkSession)
     rows = repeats.keyed(documents, keep)
-    runs = repeats.repeated_runs(rows, units, WINDOW, GRAM)
-    contexts = repeats.first_contexts(runs)
-    state = contexts.where("mixed").groupBy("heavy").count().collect()  # at most two rows
-    counts = {r["heavy"]: r["count"] for r in state}
-    whole = contexts.where("copies > 1").select("gram", "ctx")
-    spans = runs.join(whole, ["gram", "ctx"], "left_semi").select("row", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (WINDOW - 1)).cast("long").alias("stop"))
-    if counts.get(False):
-        buckets = max(8, math.ceil(counts[False] / BUCKET))
-        schema = "bucket int, shared binary, lengths binary, rests binary, left_lengths binary, lefts binary, row binary, start binary, n binary, copies binary"
-        coded = repeats.with_text(rows, contexts.where("mixed and not heavy")).mapInArrow(_sorted_runs(buckets), schema)
-        spans = spans.union(coded.groupBy("bucket").applyInArrow(_resolve, "row long, start long, stop long"))
-    if counts.get(True):
-        spans = spans.union(repeats.heavy_spans(rows, contexts.where("mixed"), units, WINDOW, first_stays=False))
+    spans = repeats.repeated_spans(rows, Bytes, WINDOW, GRAM, _compare, first_stays=False)
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     columns, kinds = ["doc_id", *keep], dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"

@@ -1,7 +1,10 @@
-"""Word hashes of many texts at once, for operators on white-space words (inside tasks)."""
+"""Words and shingles of many texts at once, for operators on white-space words (inside tasks)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 
 _rng = np.random.default_rng(20240229)
@@ -77,3 +80,87 @@ def combine(h: np.ndarray, n: int) -> np.ndarray:
             out = mix(out[:m] * c + h[k : k + m] + np.uint64(k)) if m > 0 else out[:0]
             k += 1
     return out
+
+
+_digests: dict[bytes, bytes] = {}
+
+
+def digest_of(word: bytes) -> bytes:
+    """A word's 128-bit BLAKE2b digest, remembered for the words met last."""
+    found = _digests.get(word)
+    if found is None:
+        if len(_digests) > 300_000:
+            _digests.clear()
+        found = _digests[word] = blake2b(word, digest_size=16).digest()
+    return found
+
+
+def chunks(texts: list[str | None], rows: int, size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, up to `rows` and about `size` bytes at a time, and the place of the first of them."""
+    at, held, n = 0, [], 0
+    for i, text in enumerate(texts):
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if held and (len(held) >= rows or n + len(data) > size):
+            yield at, held
+            at, held, n = i, [], 0
+        held.append(data)
+        n += len(data)
+    if held:
+        yield at, held
+
+
+class Shingles:
+    """The sets of n consecutive words (A-Z as a-z) of some texts: numbers that are equal just for equal words.
+
+    A text of fewer words has its whole sequence as one.  `sets` are sorted arrays of numbers, `first` the place of each
+    in `words`; word i is number words[i] in `known`, and `begins` says where each text's words begin.
+    """
+
+    def __init__(self, texts: list[bytes], n: int):
+        numbers: dict[bytes, int] = {}
+        number = numbers.setdefault
+        lists = [[number(w, len(numbers)) for w in t.lower().split()] for t in texts]
+        self.n, self.known = n, list(numbers)
+        self.begins = np.cumsum([0, *map(len, lists)])
+        self.words = np.fromiter((w for own in lists for w in own), np.int64, int(self.begins[-1]))
+        codes = self._codes(len(numbers))
+        short: dict[tuple[int, ...], int] = {}
+        self.sets, self.first = [], []
+        for s, e, own in zip(self.begins[:-1].tolist(), self.begins[1:].tolist(), lists, strict=True):
+            if e - s >= n:
+                found, at = np.unique(codes[s : e - n + 1], return_index=True)
+                self.sets.append(found)
+                self.first.append(at + s)
+            else:
+                self.sets.append(np.array([-1 - short.setdefault(tuple(own), len(short))] if own else [], np.int64))
+                self.first.append(np.array([s] if own else [], np.int64))
+
+    def _codes(self, kinds: int) -> np.ndarray:
+        codes, size = self.words, kinds
+        for j in range(1, self.n):
+            if size * kinds >= 2**63:  # numbers anew, in the order of the old ones
+                codes = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+                size = len(codes)
+            codes = codes[:-1] * kinds + self.words[j:] if len(codes) > 1 else codes[:0]
+            size *= kinds
+        return codes
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each shingle of each set, all in a row; from 128-bit digests of the words."""
+        lanes = np.frombuffer(b"".join(map(digest_of, self.known)), np.uint64).reshape(-1, 2)
+        at = np.concatenate([np.zeros(0, np.int64), *self.first])
+        found = []
+        for lane in (0, 1):
+            of_word = np.ascontiguousarray(lanes[:, lane])[self.words]
+            every = combine(of_word, self.n)
+            out = np.zeros(len(at), np.uint64)
+            whole = at < len(every)
+            out[whole] = every[at[whole]]
+            place = 0
+            for i, own in enumerate(self.first):
+                s, e = int(self.begins[i]), int(self.begins[i + 1])
+                if e > s and e - s < self.n:
+                    out[place] = combine(of_word[s:e], e - s)[0] ^ np.uint64(e - s)
+                place += len(own)
+            found.append(out)
+        return found[0], found[1]

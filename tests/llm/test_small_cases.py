@@ -321,11 +321,42 @@ def brute_words(rows):
     return sorted(out, key=str)
 
 
-@pytest.fixture(params=[256, 4])
+@pytest.fixture(params=[4096, 2])
 def heavy(request):
-    before, repeats.HEAVY = repeats.HEAVY, request.param
+    before, repeats.GROUP = repeats.GROUP, request.param
     yield
-    repeats.HEAVY = before
+    repeats.GROUP = before
+
+
+def twins(size: int = 1024) -> tuple[str, str]:
+    """Two words that any polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_equal_hashes_are_not_equal_texts(spark):
+    x, y = twins()
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}")]
+    assert [r.n_removed for r in phrases.remove_phrases(docs(spark, rows)).collect()] == [0, 0]
+    found = near_dup.near_duplicates(docs(spark, [(1, f"{x} one two"), (2, f"{y} one two")]), 3, 85).collect()
+    assert all(r.kept for r in found)
+    rows = [(1, x), (2, y), (3, x[:300] + "c" + y[:300])]
+    found = suffix_dedup.remove_repeats(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found), key=str) == brute_bytes(rows)
+
+
+def test_windows_by_common_prefixes():
+    rng = random.Random(9)
+    for turn in range(300):
+        window = rng.choice([4, 6, 9])
+        at = [(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, window))), bytes(rng.choice(b"ab") for _ in range(rng.randint(0, window)))) for _ in range(rng.randint(2, 12))]
+        at.sort(key=lambda x: x[1])
+        prefixes = [0] + [suffix_dedup.shared_prefix(a[1], b[1]) for a, b in zip(at, at[1:])]
+        found = {(i, x) for i, low, high in suffix_dedup.repeated_windows(prefixes, [left[::-1] for left, _ in at], window) for x in range(low, high + 1)}
+        have = [{x: left[len(left) - x :] + right[: window - x] for x in range(len(left) + 1) if 0 <= window - x <= len(right)} for left, right in at]
+        want = {(i, x) for i, own in enumerate(have) for x, w in own.items() if any(have[j].get(x) == w for j in range(len(at)) if j != i)}
+        assert found == want, turn
 
 
 def test_suffix_dedup(spark, heavy):
@@ -334,6 +365,7 @@ def test_suffix_dedup(spark, heavy):
     noise = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 200)))
     rows = [(1, p[:500]), (2, "x" * 350), (3, "y" * 200), (4, "y" * 201), (5, None), (6, ""), (7, p[100:420] + "Q" + p[421:]), (7, p[100:420] + "Q" + p[421:]), (7, "other " + p[300:]), (None, p[200:600]), (8, "ab" * 4000)]
     rows += [(100 + i, noise() + p[i % 5 * 10 :][: rng.randint(150, 400)] + noise()) for i in range(30)]
+    rows += [(200 + i, noise() + p[:150] + noise() + p[50 : 50 + rng.randint(120, 230)] + noise()) for i in range(20)]
     found = suffix_dedup.remove_repeats(docs(spark, rows), keep=("word",)).collect()
     assert sorted(((r.doc_id, r.n_bytes, sum(x.stop - x.start for x in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found), key=str) == brute_bytes(rows)
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
@@ -435,3 +467,28 @@ def test_templates():
     for bad in ("{% for x %}{% endfor %}", "{{ a.__class__ }}", "{{ f() }}", "{% if a %}", "{{ x|system }}"):
         with pytest.raises(ValueError):
             chat.compile_template(bad)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Each row is linked by its own text, whatever its id; large buckets are compared in blocks."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " x"), (9, b + " y"), (None, b + " z"), (3, "alone here now")]
+    before, near_dup.BLOCK = near_dup.BLOCK, 1
+    found = near_dup.near_duplicates(docs(spark, rows), 3, 85).collect()
+    near_dup.BLOCK = before
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in found) == [("3", 3, True), ("5", 5, True), ("5", 5, True), ("7", 5, False), ("9", 5, False), ("None", 5, True)]
+
+
+def test_recall_around_the_threshold(spark):
+    """Pairs of texts whose similarity lies between 0.8 and 0.9: those at 0.85 or more are found, the others are not linked."""
+    rng, rows, want = random.Random(12), [], {}
+    for i in range(1500):
+        words = [f"w{i}x{j}" for j in range(120)]
+        other = words[:]
+        for j in rng.sample(range(0, 120, 3), rng.randint(1, 7)):
+            other[j] = f"v{i}y{j}"
+        sets = [{tuple(w[j : j + 3]) for j in range(118)} for w in (words, other)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want[2 * i + 1] = 2 * i if 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1]) else 2 * i + 1
+    found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows), 3, 85).collect() if r.doc_id % 2}
+    assert found == want and 200 < sum(i != c for i, c in want.items()) < 1400
