@@ -2,8 +2,9 @@
 
 A window is WINDOW consecutive words of an item (all words of a shorter one).  Its shingles of three words are ordered by
 how often they occur in the documents; the rarest is its necessary prefix, since a document that contains the window
-contains that shingle.  Documents are joined on prefixes only; of a match the length and position bounds are tested
-first and then the window's words, exactly.
+contains that shingle.  One scan of the documents counts their words and finds all places of shingles that stand in any
+window; rarity and the join on prefixes work on these places.  Of a match the length and position bounds are tested first
+and then, on the texts of the documents that are left, the window's words, exactly.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.repeats import keyed
 from lectern.session import materialize
 
 WINDOW = 13
 SHINGLE = 3
-#: Windows joined at a time, so that what is broadcast stays below about 50 MB; a larger benchmark takes more rounds.
-ROUND = 200_000
+#: Rows of shingles, prefixes or candidates that are broadcast at most (about 50 MB); beyond, these joins shuffle.
+BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -33,8 +35,13 @@ def fold(text: Column) -> Column:
 
 
 def _shingle(words: Column, at: Column, n: int) -> Column:
-    """A hash of words after fold(), the same on both sides; the window test decides."""
-    return F.xxhash64(*(F.get(words, at + i) for i in range(n)))
+    """A hash of words, the same for words that fold() makes equal, each lower-cased alone; the window test decides."""
+    return F.xxhash64(*(F.lower(F.get(words, at + i)) for i in range(n)))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -49,63 +56,74 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.select("item_id", F.array_join("v", " ").alias("window"), "length", spread.alias("shingles")).distinct()
 
 
-def _shingles_of_documents(documents: DataFrame, sizes: list[int], columns: list[str]) -> DataFrame:
-    """One row for each word (one for a document without): columns, raw words w, pos, and for each shingle size its hash."""
-    read = documents.select(*columns, words_of(F.col("text")).alias("w"), words_of(fold(F.col("text"))).alias("low"))
-    spread = read.select(*columns, "w", "low", F.posexplode_outer("low").alias("pos", "word"))
-    return spread.select(*columns, "w", "pos", F.array(*(_shingle(F.col("low"), F.col("pos"), n) for n in sizes)).alias("h") if len(sizes) > 1 else _shingle(F.col("low"), F.col("pos"), sizes[0] if sizes else SHINGLE).alias("h"))
-
+def places(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(row, doc_id, n_words, pos, h): where shingles of windows stand in the documents, and one row of null h for each document."""
+    wanted = _bounded(materialize(windows.select(F.explode("shingles.h").alias("h")).distinct(), "shingles"))
+    read = rows.select("row", "doc_id", words_of(F.col("text")).alias("w")).select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "w")
+    spread = read.select("row", "doc_id", "n_words", "w", F.posexplode_outer("w").alias("pos", "word"))
+    hashes = [_shingle(F.col("w"), F.col("pos"), n) for n in sizes]
+    each = spread.select("row", "doc_id", "n_words", "pos", F.explode(F.array(*hashes)).alias("h") if len(sizes) > 1 else hashes[0].alias("h"))
+    found = each.join(wanted.select("h", F.lit(True).alias("in_window")), "h", "left")
+    first = F.coalesce(F.col("pos") == 0, F.lit(True))
+    kept = found.select("row", "doc_id", "n_words", "pos", F.when(F.col("in_window"), F.col("h")).alias("h"), first.alias("first")).where("first or h is not null")
+    return materialize(kept.drop("first"), "places")
 
-def _hashed(documents: DataFrame, sizes: list[int], columns: list[str]) -> DataFrame:
-    rows = _shingles_of_documents(documents, sizes, columns)
-    return rows.select(*columns, "w", "pos", F.explode("h").alias("h")) if len(sizes) > 1 else rows
 
-
-def prefixes(documents: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(item_id, window, length, h, offset): of each window the shingle that is rarest in the documents."""
+def prefixes(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(item_id, window, length, h, offset), written: of each window the shingle that is rarest in the documents."""
     spread = windows.select("item_id", "window", "length", F.explode("shingles").alias("s")).select("item_id", "window", "length", "s.h", "s.offset")
-    wanted = spread.select("h").distinct()
-    found = _hashed(documents.select("text"), sizes, []).select("h").join(F.broadcast(wanted), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rarity = spread.join(found, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = found.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rarity = spread.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("item_id", "window").orderBy("n", "h", "offset"))
-    return rarity.withColumn("rank", rank).where("rank = 1").select("item_id", "window", "length", "h", "offset")
+    return materialize(rarity.withColumn("rank", rank).where("rank = 1 and n > 0").select("item_id", "window", "length", "h", "offset"), "prefixes")
+
+
+def hits(rows: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, n_hit, spans, items), written, of the documents in which a window stands."""
+    start = F.col("pos") - F.col("offset")
+    joined = found.where("h is not null").join(_bounded(prefixes(found, windows)), "h").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    candidates = materialize(joined.select("row", start.cast("int").alias("start"), "length", "window", "item_id"), "candidates")
+    lists = candidates.groupBy("row").agg(F.collect_list(F.struct("start", "length", "window", "item_id")).alias("candidates"))
+    texts = rows.select("row", "text").join(_bounded(materialize(lists, "candidates")), "row").select("row", words_of(F.col("text")).alias("w"), "candidates")
+    same = lambda c: fold(F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ")) == c["window"]
+    real = texts.select("row", F.filter("candidates", same).alias("hits")).where(F.size("hits") > 0)
+    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["item_id"])))
+    end = lambda s: s["start"] + s["length"]
+    nothing = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))
+    covered = F.aggregate(
+        "spans", nothing, lambda a, s: F.struct((a["hit"] + F.greatest(end(s) - F.greatest(a["end"], s["start"]), F.lit(0))).cast("long").alias("hit"), F.greatest(a["end"], end(s)).alias("end"))
+    )["hit"]
+    return materialize(real.select("row", spans.alias("spans"), items.alias("items")).select("row", covered.alias("n_hit"), "spans", "items"), "hits")
+
+
+def judge(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """decontaminate() of keyed rows (row, text, doc_id), with `row`."""
+    windows = materialize(item_windows(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), window), "windows")
+    lengths = [r[0] for r in windows.select(F.least("length", F.lit(SHINGLE))).distinct().collect()]  # at most SHINGLE
+    found = places(rows, windows, sorted(lengths, reverse=True) or [SHINGLE])
+    marked = hits(rows, found, windows)
+    each = found.where("pos is null or pos = 0").select("row", "doc_id", "n_words").distinct()
+    none = lambda kind: F.array().cast(kind)
+    joined = each.join(_bounded(marked), "row", "left")
+    counted = joined.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("spans", none("array<struct<start:int,length:int>>")).alias("spans"), F.coalesce("items", none("array<string>")).alias("items"))
+    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words")))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_words, n_hit, spans, items, contaminated) for each row of documents.
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """(doc_id, n_words, n_hit, spans, items, contaminated) for each row of documents.
 
     `spans` are (start, length) of the windows found, in words; `items` the ids of items with a window found, sorted as
     strings; a document is contaminated if at least `share` of its words, and at least one, lie inside a window.
     A null or empty text has no words and so no hit; rows are judged one by one, those that repeat a doc_id (or have
     none) too; items without words, or with a null text, have no window, and a null item_id counts as an item `null`.
-    An empty benchmark hits nothing; no documents give no rows.
+    Whole texts count, however long.  An empty benchmark hits nothing; no documents give no rows; other columns are ignored.
     """
-    windows = materialize(item_windows(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), window), "windows")
-    lengths = [r[0] for r in windows.select(F.least("length", F.lit(SHINGLE))).distinct().collect()]  # at most SHINGLE
-    sizes = sorted(lengths, reverse=True)
-    rounds = max(1, -(-windows.count() // ROUND))
-    base = documents.select("doc_id", *keep, *([] if "text" in keep else ["text"])).withColumn("row", F.monotonically_increasing_id())
-    results = []
-    for i in range(rounds):
-        part = windows if rounds == 1 else windows.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(rounds)) == i)
-        needed = materialize(prefixes(documents, part, sizes), "prefixes")
-        columns = ["row", "doc_id", *([] if i else keep)]
-        rows = _hashed(base, sizes, columns).join(F.broadcast(needed), "h", "left")
-        start = F.col("pos") - F.col("offset")
-        fits = (start >= 0) & (start + F.col("length") <= F.size("w"))
-        same = fold(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest("length", F.lit(1))), " ")) == F.col("window")
-        hit = F.coalesce(fits & F.when(fits, same), F.lit(False))
-        first = F.col("pos").isNull() | (F.col("pos") == 0)
-        kept = rows.select(*columns, F.size("w").cast("long").alias("n_words"), first.alias("first"), hit.alias("hit"), F.when(hit, F.struct(start.alias("start"), F.col("length").alias("length"))).alias("span"), F.when(hit, F.col("item_id")).alias("item")).where("first or hit")
-        payload = [F.first(F.when(F.col("first"), F.struct(*columns[1:])), ignorenulls=True).alias("payload")] if i == 0 else []
-        results.append(kept.groupBy("row").agg(*payload, F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("item").alias("items")))
-    found = results[0]
-    for more in results[1:]:  # the same scan of the same files gives the same row numbers
-        found = found.join(more.select("row", F.col("spans").alias("s"), F.col("items").alias("t")), "row").select("row", "payload", "n_words", F.array_union("spans", "s").alias("spans"), F.array_union("items", "t").alias("items"))
-    end = lambda s: s["start"] + s["length"]
-    start_at = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).alias("end"))
-    covered = F.aggregate(
-        F.array_sort("spans"), start_at, lambda a, s: F.struct((a["hit"] + F.greatest(end(s) - F.greatest(a["end"], s["start"]), F.lit(0))).cast("long").alias("hit"), F.greatest(a["end"], end(s)).alias("end"))
-    )["hit"]
-    counted = found.select("payload.*", "n_words", covered.alias("n_hit"), F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"))
-    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words")))
+    return judge(keyed(documents), benchmark, window, share).drop("row")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], window: int = WINDOW, share: float = 0.05) -> DataFrame:
+    """The rows of documents (doc_id, text, *keep) that decontaminate() doesn't find contaminated."""
+    rows = keyed(documents, keep)
+    bad = materialize(judge(rows, benchmark, window, share).where("contaminated").select("row"), "contaminated")
+    return rows.join(_bounded(bad), "row", "left_anti").select("doc_id", "text", *keep)

@@ -256,42 +256,48 @@ def _compare(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(_sorted_runs(buckets), schema).groupBy("bucket").applyInArrow(_resolve, "row long, start long, stop long")
 
 
-def _cut(columns: list[str]):
+def _cut(columns: list[str], whole_characters: bool):
     def run(batches):
         for batch in small(batches):
             out: list[tuple] = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = _bytes(text)
                 merged: list[list[int]] = []
-                for x in sorted((x["start"], x["stop"]) for x in spans or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
+                for s, e in sorted((x["start"], x["stop"]) for x in spans or ()):
+                    if whole_characters:
+                        while s and data[s] & 0xC0 == 0x80:
+                            s -= 1
+                        while e < len(data) and data[e] & 0xC0 == 0x80:
+                            e += 1
+                    if merged and s <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], e)
                     else:
-                        merged.append([*x])
+                        merged.append([s, e])
                 kept, at = [], 0
                 for s, e in merged:
                     kept.append(data[at:s])
                     at = e
                 kept.append(data[at:])
-                out.append((len(data), [{"start": s, "stop": e} for s, e in merged], b"".join(kept)))
-            sizes, spans, kept = zip(*out, strict=True) if out else ((), (), ())
-            made = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "n_bytes", "spans", "kept"])
+                out.append((text is None, len(data), [{"start": s, "stop": e} for s, e in merged], b"".join(kept)))
+            empty, sizes, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
+            made = [pa.array(empty, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, "empty", "n_bytes", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_bytes, spans, kept) of every row: its UTF-8 bytes without those inside a repeated 200-byte string.
+def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """(doc_id, *keep, empty, n_bytes, spans, kept) of every row: its UTF-8 bytes without those inside a repeated 200-byte string.
 
-    Every occurrence goes, the first one too; `spans` are the maximal stretches removed.  A null text is empty; texts of
-    fewer than 200 bytes keep all.  Repeated rows are documents of their own and so repeat each other; a null doc_id is as
-    good as any; an empty table gives no rows.
+    Every occurrence goes, the first one too; `spans` are the maximal stretches removed, widened to whole characters if so
+    asked; `empty` says that the text is null, which counts as an empty one.  Texts of fewer than 200 bytes keep all; whole
+    texts count, however long.  Repeated rows are documents of their own and so repeat each other; a null doc_id is as
+    good as any; an empty table gives no rows; columns beside doc_id, text and `keep` are ignored.
     """
     ship(documents.sparkSession)
     rows = repeats.keyed(documents, keep)
     spans = repeats.repeated_spans(rows, Bytes, WINDOW, GRAM, _compare, first_stays=False)
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     columns, kinds = ["doc_id", *keep], dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
-    return rows.join(lists, "row", "left").select(*columns, "text", "spans").mapInArrow(_cut(columns), schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", empty boolean, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    return rows.join(lists, "row", "left").select(*columns, "text", "spans").mapInArrow(_cut(columns, whole_characters), schema)

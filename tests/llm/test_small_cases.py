@@ -128,10 +128,13 @@ def test_decontamination(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found), key=str) == brute_contaminated(rows, items)
     assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
     assert not decontaminate.decontaminate(docs(spark, rows), bench.where("false")).where("n_hit > 0").count()
-    decontaminate.ROUND, before = 5, decontaminate.ROUND
+    decontaminate.BROADCAST_ROWS, before = 1, decontaminate.BROADCAST_ROWS
     again = decontaminate.decontaminate(docs(spark, rows).coalesce(1), bench).collect()
-    decontaminate.ROUND = before
+    decontaminate.BROADCAST_ROWS = before
     assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in again) == sorted((str(r.doc_id), r.n_words, r.n_hit) for r in found)
+    bad = Counter((r.doc_id, r.n_words) for r in found if not r.contaminated)
+    kept = decontaminate.clean(docs(spark, rows), bench, ("word", "rank")).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(i for i, _ in bad.elements()) and kept[0].asDict().keys() == {"doc_id", "text", "word", "rank"}
 
 
 def test_decontamination_folds_words_without_context(spark):
@@ -270,6 +273,18 @@ def test_language_of_few_rows_is_learned(spark):
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
 
+def brute_rule(url):
+    """Host, path, rule and the rule's verdict, by the contract's words."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+
 def test_url_filter(spark):
     cases = {
         "https://WWW.Example.com/en/1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
@@ -277,20 +292,29 @@ def test_url_filter(spark):
         "http://example.com/de/": ("example.com", "/de/", "com/", "allow"),
         "http://notexample.com": ("notexample.com", "", None, None),
         "http://x.net/fr/1": ("x.net", "/fr/1", "net/fr/", "block"),
-        "https://www.cheap-pills.example.org/en/4": ("www.cheap-pills.example.org", "/en/4", None, "block"),
-        "https://www.city-library.example.org/en/4": ("www.city-library.example.org", "/en/4", None, "allow"),
+        "https://gambling-hub.org/en/4": ("gambling-hub.org", "/en/4", None, "block"),
+        "https://megawin777.org/": ("megawin777.org", "/", None, "block"),
+        "https://www.city-library.org/en/4": ("www.city-library.org", "/en/4", None, "allow"),
+        "https://spamalot-musical.org/": ("spamalot-musical.org", "/", None, "allow"),
         "no url": ("", "", None, None), "": ("", "", None, None), None: ("", "", None, None),
         "a://b://c/d": ("b:", "//c/d", None, None),
+        "http://x.net/es/" + "long/" * 20_000: ("x.net", "/es/" + "long/" * 20_000, "net/es/", "block"),
     }
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)] + [(0, next(iter(cases)), "h")], "page_id long, url string, host string")
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)] + [(0, next(iter(cases)), "h"), (None, "http://x.net/es/", "h")], "page_id long, url string, host string")
     found = {r.page_id: r for r in url_filter.judge(df).collect()}
-    for i, (host, path, rule, verdict) in enumerate(cases.values()):
-        assert (found[i].host, found[i].path, found[i].rule) == (host, path, rule)
+    for i, (url, (host, path, rule, verdict)) in enumerate(cases.items()):
+        assert (found[i].host, found[i].path, found[i].rule) == (host, path, rule) == brute_rule(url)[:3]
         assert found[i].verdict == verdict if verdict else found[i].verdict in ("allow", "block")
-    assert url_filter.judge(df).count() == len(cases) + 1
+    assert url_filter.judge(df).count() == len(cases) + 2
     assert url_filter.judge(df.where("false")).count() == 0
 
 
+def test_url_model_on_held_out_urls(spark):
+    blocked, allowed, n = url_filter.held_out_accuracy(spark)
+    assert n > 200 and blocked > 0.75 and allowed > 0.9
+    assert not set(url_filter.BAD_WORDS) & set(url_filter.GOOD_WORDS)
+
+
 # --- 7 and 10 -------------------------------------------------------------------------------------------------------
 
 
