@@ -154,8 +154,9 @@ class Hot:
         return rows.withColumn("salt", F.when(self.is_hot(), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
 
     def spread(self, rows: DataFrame) -> DataFrame:
+        """The other side of a join with dealt() rows; as a merge join at every size, since it grows with the corpus."""
         every = F.array(*(F.lit(i) for i in range(SALTS)))
-        return rows.withColumn("salt", F.explode(F.when(self.is_hot(), every).otherwise(F.array(F.lit(0)))))
+        return rows.withColumn("salt", F.explode(F.when(self.is_hot(), every).otherwise(F.array(F.lit(0))))).hint("merge")
 
 
 def recurring_runs(rows: DataFrame, units: Units, window: int, k: int) -> tuple[DataFrame, Hot]:
