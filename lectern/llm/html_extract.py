@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from lectern.session import ship
 
 TRAINING_PAGES = 700
+PART_CHARS = 2_000_000
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,7 +43,9 @@ CLOSES = {
 }
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 _STOP = frozenset("article section main aside nav header footer div table td th body html form".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_STOP = re.compile(r"[\"'>]")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0  -     　]+")
 
@@ -66,11 +70,72 @@ class Node:
         self.n = self.linked = self.tags = self.paras = self.stops = self.index = self.below = 0
 
 
+class _Scanner:
+    """Tags of a page, found by places that only move on: time grows with the page's length, whatever stands in it."""
+
+    def __init__(self, page: str):
+        self.page, self.end = page, len(page)
+        self.absent: set[str] = set()  # what no longer occurs in the rest of the page
+        self.quotes = True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > of a tag whose attributes begin at `at`; one inside a quoted value doesn't count."""
+        here = at
+        while self.quotes and (m := _TAG_STOP.search(self.page, here)):
+            here = m.end()
+            if m[0] == ">":
+                return m.start()
+            if self.page[max(at, m.start() - 40) : m.start()].rstrip()[-1:] == "=" and (shut := self.find(m[0], here)) >= 0:
+                here = shut + 1
+        self.quotes = False  # an open quote swallowed the rest: from here on quotes don't count
+        return self.find(">", at)
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Start and stop of the end tag of an element of raw text; None if there is none."""
+        key = f"</{tag}"
+        if key in self.absent:
+            return None
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, at)
+        stop = self.find(">", m.end()) if m else -1
+        if stop < 0:
+            self.absent.add(key)
+            return None
+        return m.start(), stop + 1
+
+
 def parse(page: str) -> list[Node]:
-    """The elements of a page in order of their start; 0 is the root.  Unclosed and unknown elements are lived with."""
+    """The elements of a page in order of their start; 0 is the root.
+
+    Unclosed and unknown elements are lived with: a raw element (script, title, ...) without an end tag ends at the next
+    tag, a comment without an end hides the rest, a tag without > is no text.
+    """
     nodes = [Node("#root", -1, 0)]
-    at, here, silent, end = 0, 0, 0, len(page)
-    open_links = 0
+    scan = _Scanner(page)
+    at, here, silent = 0, 0, 0
+    path: dict[str, list[int]] = {}  # open elements by tag, outermost first; their numbers grow inwards
+    stops: list[int] = []
+
+    def close(to: int) -> None:
+        nonlocal here, silent
+        while here != to:
+            v = nodes[here]
+            path[v.tag].pop()
+            if v.tag in _STOP:
+                stops.pop()
+            if v.tag in SILENT or v.hidden:
+                silent -= 1
+            here = v.parent
+
+    def innermost(tags) -> int:
+        return max((path[t][-1] for t in tags if path.get(t)), default=0)
 
     def text(piece: str) -> None:
         if nodes[here].tag == "head" and piece.strip():
@@ -78,73 +143,72 @@ def parse(page: str) -> list[Node]:
         if piece and not silent:
             nodes[here].items.append(html.unescape(piece) if "&" in piece else piece)
 
-    def close(to: int) -> None:
-        nonlocal here, silent, open_links
-        while here != to:
-            if nodes[here].tag in SILENT or nodes[here].hidden:
-                silent -= 1
-            if nodes[here].tag == "a":
-                open_links -= 1
-            here = nodes[here].parent
-
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
+    begin = 0  # of the text not yet told
+    while (at := scan.find("<", at)) >= 0:
+        start, after = at, page[at + 1 : at + 2]
+        shut = after == "/"
+        name = _NAME.match(page, at + 1 + shut)
+        if page.startswith("<!--", at):
+            stop = scan.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else scan.end
+            text(page[begin:start])
+            begin = at
+            continue
+        if not name and after not in ("!", "?", "/"):
+            at += 1  # a lone < is text
+            continue
+        stop = scan.find(">", at) if not name else scan.tag_end(name.end())
+        text(page[begin:start])
+        if stop < 0:  # no tag ends any more: what follows a < is no text up to the next one
+            rest = page[start:].split("<")
+            begin = scan.end
+            text("".join(x for x in rest[1:] if not re.match(r"[a-zA-Z/!?]", x)))
             break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        at = begin = stop + 1
+        if not name:
             continue
-        tag = tag.lower()
-        if m[1]:
-            k = here
-            while k and nodes[k].tag != tag:
-                if tag not in _STOP and nodes[k].tag in _STOP:
-                    k = 0
-                    break
-                k = nodes[k].parent
-            if k:
-                close(nodes[k].parent)
+        tag, inside = name[0].lower(), page[name.end() : stop]
+        if shut:
+            own = path.get(tag)
+            if own and (tag in _STOP or not stops or stops[-1] < own[-1]):
+                close(nodes[own[-1]].parent)
             continue
-        if silent and tag not in HEAD:
-            k = here
-            while k and nodes[k].tag not in ("head", "template"):
-                k = nodes[k].parent
-            if nodes[k].tag == "head":
-                close(nodes[k].parent)
+        if silent and tag not in HEAD and (k := innermost(("head", "template"))) and nodes[k].tag == "head":
+            close(nodes[k].parent)
         if closes := CLOSES.get(tag):
-            stop = BARRIER.get(tag, _STOP)
-            k, found = here, -1
-            while k and nodes[k].tag not in stop:
-                if nodes[k].tag in closes:
-                    found = k
-                k = nodes[k].parent
-            if found > 0:
-                close(nodes[found].parent)
+            barrier = innermost(BARRIER[tag]) if tag in BARRIER else stops[-1] if stops else 0
+            outer = [own[k] for t in closes if (own := path.get(t)) and (k := bisect_right(own, barrier)) < len(own)]
+            if outer:
+                close(nodes[min(outer)].parent)
         node = Node(tag, here, nodes[here].depth + 1)
-        for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
-            name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        for a in _ATTRIBUTE.finditer(inside) if inside else ():
+            attribute, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+            if attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "style" and _HIDING.search(value):
                 node.hidden = True
-            elif name in ("class", "id", "role", "itemprop"):
+            elif attribute in ("class", "id", "role", "itemprop"):
                 tokens = set(re.split(r"[^a-z0-9]+", value))
                 node.bad |= not tokens.isdisjoint(BAD_TOKENS)
                 node.good |= not tokens.isdisjoint(GOOD_TOKENS)
         nodes.append(node)
         nodes[here].items.append(len(nodes) - 1)
-        if tag in VOID or m[3].endswith("/") and tag in ("path", "circle", "rect"):
+        if tag in VOID or inside.endswith("/") and tag in ("path", "circle", "rect"):
             continue
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            found = scan.raw_end(tag, at)
+            if found:
+                at = found[1]
+            else:
+                following = scan.find("<", at)
+                at = following if following >= 0 else scan.end
+            begin = at
             continue
         here = len(nodes) - 1
+        path.setdefault(tag, []).append(here)
+        if tag in _STOP:
+            stops.append(here)
         if tag in SILENT or node.hidden:
             silent += 1
-        if tag == "a":
-            open_links += 1
-    text(re.sub(r"<[a-zA-Z/!?][^>]*$", "", page[at:]))
+    text(page[begin:])
     return nodes
 
 
@@ -165,7 +229,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                 v.tags += c.tags + 1
                 v.paras += c.paras + (c.tag == "p")
                 v.stops += c.stops
-    out = np.zeros((len(nodes), N_FEATURES))
+    out = np.zeros((len(nodes), N_FEATURES), np.float32)
     total = max(1, nodes[0].n)
     seen = 0
     bad_above, good_above, furniture = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
@@ -234,7 +298,10 @@ class Boosted:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], axis=1)
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
+    def log_odds(self, x: np.ndarray, most: int = 50_000) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._log_odds(x[i : i + most]) for i in range(0, len(x), most))])
+
+    def _log_odds(self, x: np.ndarray) -> np.ndarray:
         b, rows = self._bin(x), np.arange(len(x))
         out = np.full(len(x), self.base)
         for feature, cut, leaf in self.trees:
@@ -415,10 +482,22 @@ def main_text(page: str | None, model: Boosted) -> str:
     return text_of(nodes, choose(nodes, odds), odds)
 
 
+def _cuts(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first page, pages) of stretches of about PART_CHARS characters, or of one page."""
+    out, at, n = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and (n + size > PART_CHARS or i - at >= 200):
+            out.append((at, i - at))
+            at, n = i, 0
+        n += size
+    return [*out, (at, len(sizes) - at)] if sizes else []
+
+
 def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """(page_id, url, text) of every row: the main text of its html, empty if it has none or is null.
 
-    Rows stay rows, repeated ones and null ids too; an empty table gives none.
+    Rows stay rows, repeated ones and null ids too; an empty table gives none; columns beside page_id, url and html are
+    ignored.  Time and memory grow with a page's length, however malformed it is; pages are read PART_CHARS at a time.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -427,8 +506,8 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at, size in _cuts([len(p or "") for p in batch.column("html").to_pylist()]):
+                part = batch.slice(at, size)
                 pages = [parse(p) if p else [] for p in part.column("html").to_pylist()]
                 rows = [features(n) for n in pages if n]
                 odds = np.split(shared.value.log_odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1]) if rows else []

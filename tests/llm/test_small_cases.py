@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -516,3 +517,50 @@ def test_recall_around_the_threshold(spark):
         want[2 * i + 1] = 2 * i if 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1]) else 2 * i + 1
     found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows), 3, 85).collect() if r.doc_id % 2}
     assert found == want and 200 < sum(i != c for i, c in want.items()) < 1400
+
+
+@pytest.mark.parametrize("unit", ['<a href="x" ', "<b>", "</i>", "<p>", "<title>", "<a b='x ", "<svg><g>", "<!-- ", '<a "=<b>', "</title<title>", "&amp;&lt;", "<div class='a b'>x", "<td><tr>x"])
+def test_html_of_hostile_pages(unit):
+    """Work grows with the length of a page, whatever it consists of (a quadratic parser would take minutes here)."""
+    page = "<b>" * 20_000 + unit * (600_000 // len(unit))
+    began = time.time()
+    nodes = html_extract.parse(page)
+    html_extract.features(nodes)
+    assert time.time() - began < 30
+
+
+def test_html_drops_no_tails():
+    told = lambda page: " ".join(x.strip() for v in html_extract.parse(page) for x in v.items if isinstance(x, str) and x.strip())
+    for tag in ("title", "noscript", "iframe", "textarea", "script", "style"):
+        assert told(f"<p>one</p><{tag}>x<p>two</p><p>three") == "one two three", tag
+    assert told("<p>a < b and 3 > 2</p>") == "a < b and 3 > 2"
+    assert told('<p title="a > b">text</p>') == "text" and told("<p title=it's>text</p><p>more</p>") == "text more"
+    assert told("<script>if (a < b) '</p>'</script >text") == "text" and told("text <b") == "text" and told("one <!-- two") == "one"
+
+
+#: Pages written by hand, not by the generator, with the text a reader would copy from them.
+PAGES = [
+    ("""<html><head><title>Tides - Coast Almanac</title></head><body><div id="top"><a href="/">Home</a> | <a href="/log">Log</a></div>
+     <div class="content"><h1>Why tides turn</h1><p>The moon pulls the sea towards it, and the sea follows a little late.</p><p>Twice a day the water rises, rests, and falls again along most coasts.</p></div>
+     <div class="sidebar"><h3>Related</h3><ul><li><a href="/a">Moon phases</a></li><li><a href="/b">Harbours</a></li></ul></div><footer>Copyright 2019 Coast Almanac</footer></body></html>""",
+     "Why tides turn\nThe moon pulls the sea towards it, and the sea follows a little late.\nTwice a day the water rises, rests, and falls again along most coasts."),
+    ("""<!doctype html><body><header class=masthead><h2>The Baker</h2><nav><ul><li><a href=/r>Recipes</a><li><a href=/c>Contact</a></ul></nav></header>
+     <main><article><h1>Rye bread</h1><p>Mix flour, water and salt. Leave the dough for a night.</p><ul><li>500 g rye flour</li><li>400 g water, lukewarm</li></ul><p>Bake it hot for an hour, then let it cool on a rack.</p></article></main>
+     <section class="comments"><h3>2 comments</h3><ol><li><p>Great loaf, thank you!</p></li><li><p>Mine was too dry.</p></li></ol></section></body>""",
+     "Rye bread\nMix flour, water and salt. Leave the dough for a night.\n500 g rye flour\n400 g water, lukewarm\nBake it hot for an hour, then let it cool on a rack."),
+    ("""<html><body><div class="cookie-notice"><p>We use cookies to improve this site. Accept them or leave.</p><button>OK</button></div><nav class="breadcrumbs"><a href="/">Start</a> <a href="/h">History</a></nav>
+     <article class="post"><h2>The old bridge</h2><p>It was built in 1742 &mdash; and rebuilt twice since, once after a flood.</p><blockquote><p>No stone of it is where it was, wrote the mayor.</p></blockquote><p>Today it carries the market road, and nothing heavier.</p></article>
+     <aside><p>Subscribe to our newsletter for more stories like this one.</p></aside></body></html>""",
+     "The old bridge\nIt was built in 1742 — and rebuilt twice since, once after a flood.\nNo stone of it is where it was, wrote the mayor.\nToday it carries the market road, and nothing heavier."),
+    ("""<body><div class="wrapper"><div class="ad banner">Buy two lamps, get one free, today only.</div><div class="entry-content"><h1>Owls at night</h1>
+     <p>Owls hear a mouse under snow. <a href="/ears">Their ears</a> sit at different heights, which tells them how high a sound is.</p><p>They fly without a sound because their feathers break the air.</p></div>
+     <form action="/search"><label>Search</label><input name=q><p>Find more on birds here</p></form><div class="footer">All rights reserved</div></div></body>""",
+     "Owls at night\nOwls hear a mouse under snow. Their ears sit at different heights, which tells them how high a sound is.\nThey fly without a sound because their feathers break the air."),
+    ("<html><body><nav><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li><li><a href='/3'>Three</a></li></ul></nav><footer>Imprint, privacy, contact</footer></body></html>", ""),
+]
+
+
+def test_html_on_pages_written_by_hand():
+    model = html_extract.train()
+    found = [html_extract.main_text(page, model) for page, _ in PAGES]
+    assert found == [text for _, text in PAGES]
