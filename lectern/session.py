@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
+_written: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; a local one where that is unset and the master local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         found = _own[0]
@@ -29,13 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it back; release() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once the results made from them are stored; how many there were."""
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    n = len(_written)
+    while _written:
+        path = files(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, for functions that run in Python workers there."""
     context = spark.sparkContext
