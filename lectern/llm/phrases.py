@@ -138,6 +138,6 @@ def remove_phrases(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
     rows = repeats.keyed(documents)
     spans = repeats.repeated_spans(rows, Words, PHRASE, GRAM, _compare, first_stays=True)
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("merge")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string"
     return rows.join(lists, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)

@@ -182,9 +182,9 @@ def mixed_contexts(contexts: DataFrame, hot: Hot) -> DataFrame:
 
 
 def with_text(rows: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The text of each row that has contexts, with the list of them."""
+    """The text of each row that has contexts, with the list of them; a merge join at every size, as the lists grow with the corpus."""
     lists = contexts.groupBy("row").agg(F.collect_list(F.struct("gram", "start", "n", "anchor")).alias("contexts"))
-    return rows.select("row", "text").join(lists, "row")
+    return rows.select("row", "text").join(lists.hint("merge"), "row")
 
 
 def _narrower(units: Units, window: int, k: int, width: int):

@@ -297,7 +297,7 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = (), whole_chara
     ship(documents.sparkSession)
     rows = repeats.keyed(documents, keep)
     spans = repeats.repeated_spans(rows, Bytes, WINDOW, GRAM, _compare, first_stays=False)
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("merge")
     columns, kinds = ["doc_id", *keep], dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", empty boolean, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
     return rows.join(lists, "row", "left").select(*columns, "text", "spans").mapInArrow(_cut(columns, whole_characters), schema)
