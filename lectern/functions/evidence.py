@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import ship
+
 EVIDENCE_CHARS = 46_000
 
 
@@ -90,9 +92,42 @@ def apply_model(texts: DataFrame, model: Callable[[list[str]], list[str]], parti
             batch["reply"] = model(batch["text"].tolist())
             yield batch
 
+    ship(texts.sparkSession)
     return texts.select("subject", "text").repartition(partitions).mapInPandas(run, f"subject {dict(texts.dtypes)['subject']}, text string, reply string")
 
 
 def parse_keyed_reply(c: Column) -> Column:
     """map<id, text> of a reply that holds one JSON object, in code fences or among other words."""
     return F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), "map<string,string>")
+
+
+def numbered_sentences(parts: DataFrame, most_chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """(doc_id, sid, section, sentence) of parts (doc_id, place, section, text) in order of place: the abstract, then sections.
+
+    Sentences are numbered S1.. over all parts until their characters would exceed the limit.  What comes after is left out
+    by sums over places first, so that only what may be kept is numbered.
+    """
+    each = parts.select("doc_id", "place", "section", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
+    upto = Window.partitionBy("doc_id").orderBy("place", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    running = each.withColumn("chars", F.sum(F.length("sentence")).over(upto)).withColumn("n", F.count(F.lit(1)).over(upto))
+    return running.where(F.col("chars") <= most_chars).select("doc_id", F.concat(F.lit("S"), F.col("n").cast("string")).alias("sid"), "section", "sentence")
+
+
+def replace_bogus(reply: Column, sids: Column, mark: str = "[?]") -> Column:
+    """The reply with citations of numbers that don't exist replaced."""
+    bogus = F.array_except(cited(reply), sids)
+    return F.aggregate(bogus, reply, lambda text, sid: F.replace(text, F.concat(F.lit("["), sid, F.lit("]")), F.lit(mark)))
+
+
+def material_rows(evidence: DataFrame, replies: DataFrame) -> DataFrame:
+    """One row for each sentence that a reply was given (doc_id, sid, sentence), with whether the reply cites it."""
+    found = replies.select("doc_id", cited(F.col("reply")).alias("__cited"))
+    joined = evidence.join(found, "doc_id")
+    return joined.select("doc_id", "sid", "sentence", F.length("sentence").alias("chars"), F.array_contains("__cited", F.col("sid")).alias("cited"))
+
+
+def fulltext_rows(texts: DataFrame, heading: str, pages: str = "pages") -> DataFrame:
+    """texts (paper_id, text, pages) worth keeping, one row a paper, with their sections; scans and garbage are left out."""
+    good = texts.where(F.col("text").isNotNull() & ~looks_scanned(F.length("text"), F.col(pages)) & ~looks_like_garbage(F.col("text")))
+    longest = good.groupBy("paper_id").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"))
+    return longest.withColumn("sections", detect_sections(F.col("text"), heading))

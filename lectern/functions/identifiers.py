@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\s  -​　]+"
 #: Entities that occur in records (fixed values).
 ENTITIES = {
-    "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘",
+    "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&middot;": "·", "&times;": "×", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&deg;": "°", "&amp;": "&",
 }
 #: Words that stand for "no value" in volume, issue and page fields (fixed values).
 PLACEHOLDER = r"(?i)^(none|null|nil|nan|undefined|n/?a|unknown|-+|—+|–+|\?+|\.+)$"
@@ -56,7 +57,18 @@ def strip_diacritics(c: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), c)
+    """Named entities of the list and numeric ones, decimal or hexadecimal; &amp; last, so that nothing is decoded twice."""
+    number = lambda hexadecimal, digits: F.conv(digits, 16, 10).cast("int") if hexadecimal else digits.cast("int")
+
+    def numeric(x: Column, hexadecimal: bool) -> Column:
+        mark, digits = ("&#[xX]", "[0-9a-fA-F]{1,6}") if hexadecimal else ("&#", "[0-9]{1,7}")
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(f"{mark}({digits});"), F.lit(0)))
+        code = lambda e: number(hexadecimal, F.regexp_extract(e, f"({digits});$", 1))
+        sign = lambda e: F.when(code(e).between(1, 0x10FFFF) & ~code(e).between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32BE")).otherwise(e)
+        return F.when(F.contains(x, F.lit("&#")), F.aggregate(found, x, lambda t, e: F.replace(t, e, sign(e)))).otherwise(x)
+
+    named = {k: v for k, v in ENTITIES.items() if k != "&amp;"}
+    return F.replace(reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), named.items(), numeric(numeric(c, True), False)), F.lit("&amp;"), F.lit("&"))
 
 
 def normalize_title(c: Column) -> Column:
@@ -155,3 +167,99 @@ def classify_failure(message: Column, status: Column) -> Column:
 def prune_fields(c: Column, longest: int = 2000) -> Column:
     """Of a map of fields: without the abstract and blank values, the others cut to `longest` characters."""
     return F.transform_values(F.map_filter(c, lambda k, v: (k != "abstract") & (F.trim(v) != "")), lambda k, v: F.substring(v, 1, longest))
+
+
+# --- keys, titles and dates of other streams ------------------------------------------------------------------------
+
+
+def stream_key(doi: Column, title: Column, year: Column, source: Column, source_id: Column) -> Column:
+    """A record's key in the stream of new work: its DOI, else title and year, else the source's own number."""
+    t = normalize_title(title)
+    return F.when(normalize_doi(doi).isNotNull(), F.concat(F.lit("doi:"), normalize_doi(doi))).when(t != "", F.concat(F.lit("ft:"), F.substring(t, 1, 140), F.lit(":"), F.coalesce(year.cast("string"), F.lit("")))).otherwise(
+        F.concat(F.lit("fs:"), source, F.lit(":"), source_id)
+    )
+
+
+def bulk_key(doi: Column, anthology_id: Column, key: Column) -> Column:
+    """A record's key in a bulk file: its DOI, else its number in the anthology, else its BibTeX key."""
+    return F.coalesce(F.concat(F.lit("doi:"), normalize_doi(doi)), F.concat(F.lit("acid:"), F.nullif(anthology_id, F.lit(""))), F.concat(F.lit("aclbib:"), key))
+
+
+def catalog_key(title: Column, year: Column) -> Column:
+    """A contents row's key, the same as dedup_key() of a record without DOI and ISSN."""
+    none = F.lit(None).cast("string")
+    return dedup_key(none, none, title, year, F.coalesce(title, F.lit("")))
+
+
+def collapse_ws(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def clean_title(c: Column) -> Column:
+    """A title for display: no tags, entities decoded, single spaces; null if nothing is left."""
+    return F.nullif(collapse_ws(decode_entities(F.regexp_replace(c, "<[^>]+>", ""))), F.lit(""))
+
+
+def clean_authors(c: Column) -> Column:
+    """Authors of one string, parted by semicolons, without the numbers of their institutions as [1,2]."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[;；]"), lambda a: trimmed(F.regexp_replace(a, r"\[[0-9,，\s]*\]", ""))), lambda a: a != "")
+
+
+def split_authors(c: Column) -> Column:
+    """Authors of a BibTeX field, parted by `and`."""
+    return F.filter(F.transform(F.split(collapse_ws(c), r"(?i)\s+and\s+"), F.trim), lambda a: a != "")
+
+
+def anthology_id(url: Column) -> Column:
+    """The number of a paper in an anthology's address, such as 2020.acl-main.1 or P19-1001."""
+    return F.nullif(F.regexp_extract(url, r"(?i)/((?:[0-9]{4}\.[a-z0-9_-]+\.[0-9]+)|(?:[a-z][0-9]{2}-[0-9]{4,5}))/?(?:\.pdf|\.bib)?$", 1), F.lit(""))
+
+
+def norm_year(c: Column, anthology: Column | None = None) -> Column:
+    """The first four digits of a year field, else those that begin an anthology's number."""
+    own = F.nullif(F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), "([0-9]{4})", 1), F.lit(""))
+    other = F.nullif(F.regexp_extract(F.coalesce(anthology, F.lit("")), r"^([0-9]{4})\.", 1), F.lit("")) if anthology is not None else F.lit(None).cast("string")
+    return F.coalesce(own, other).cast("int")
+
+
+#: English names of months in BibTeX files (fixed values).
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def norm_month(c: Column) -> Column:
+    """A month as two digits from its name, the three letters of it, or its number; null for anything else."""
+    s = F.regexp_replace(F.lower(collapse_ws(c)), r"\.$", "")
+    names = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for name in {m, m[:3]} for x in (name, f"{i:02d}")))
+    number = F.when(s.rlike("^[0-9]{1,2}$"), s.cast("int"))
+    return F.coalesce(F.element_at(names, s), F.when(number.between(1, 12), F.lpad(number.cast("string"), 2, "0")))
+
+
+def published_date_of(year: Column, month: Column) -> Column:
+    """YYYY-MM, or YYYY without a month; never a day."""
+    return F.when(year > 0, F.concat_ws("-", year.cast("string"), month))
+
+
+def parse_issue(html: Column) -> Column:
+    """struct<year, issue, label> of `2026年 第2期` in a page; null without one."""
+    pattern = "([0-9]{4})\\s*年\\s*第\\s*([0-9]{1,2})\\s*期"
+    year, issue = F.regexp_extract(html, pattern, 1), F.regexp_extract(html, pattern, 2)
+    return F.when(year != "", F.struct(year.alias("year"), issue.alias("issue"), F.concat(year, F.lit("年第"), issue, F.lit("期")).alias("label")))
+
+
+def parse_catalog_date(html: Column) -> Column:
+    """The first day written as `2026年3月5日`, as an ISO date."""
+    pattern = "([0-9]{4})年\\s*([0-9]{1,2})月\\s*([0-9]{1,2})日"
+    part = lambda i: F.regexp_extract(html, pattern, i)
+    return F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
+
+
+def keyword_list(c: Column) -> Column:
+    """Names of array<struct<name, display_name>>, trimmed, without empty ones."""
+    name = lambda k: F.trim(F.coalesce(F.nullif(k["name"], F.lit("")), k["display_name"], F.lit("")))
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<struct<name:string,display_name:string>>")), name), lambda x: x != "")
+
+
+def bib_doc_type(kind: Column) -> Column:
+    """The kind of a record by its BibTeX type."""
+    k = F.lower(kind)
+    return F.when(k == "article", "journal-article").when(k.isin("inproceedings", "conference"), "conference-paper").when(k.isin("proceedings", "book"), k).when(k.isin("incollection", "inbook"), "book-chapter").when(k.isin("phdthesis", "mastersthesis"), "dissertation").otherwise("other")

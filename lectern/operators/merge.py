@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.identifiers import is_placeholder
+from lectern.functions.identifiers import is_placeholder, normalize_doi, normalize_title
+from lectern.operators.journals import keyed_join
 
 
 def first_where(c: Column, ok: Column, order: Column) -> Column:
@@ -28,8 +29,8 @@ def ordered_union(c: Column, order: Column, most: int | None = None) -> Column:
 def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, str]) -> DataFrame:
     """One row for each key, merged column by column.
 
-    Policies: `first` (first non-empty), `value` (first that is no placeholder), `longest`, `any`, `max` (0 is null),
-    `union` (arrays), `union:n` (the first n).  `order` makes every choice certain; give it no ties within a key.
+    Policies: `first` (first non-empty), `value` (first that is no placeholder), `longest`, `with:x` (what stands beside
+    the longest x), `any`, `max` (0 is null), `map` (first of a key), `union` (arrays), `union:n` (the first n).  `order` makes every choice certain; give it no ties within a key.
     """
     o = F.col(order)
     made = []
@@ -43,6 +44,13 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
             made.append(first_where(c, ~is_placeholder(c), o).alias(name))
         elif rule == "longest":
             made.append(longest(c, o).alias(name))
+        elif rule.startswith("with:"):  # the value that stands beside the longest text of another column
+            other = F.col(rule.removeprefix("with:"))
+            made.append(F.max_by(c, F.when(other.isNotNull(), F.struct(F.length(other), (-o)))).alias(name))
+        elif rule == "map":  # entries of all maps, the first of a key wins
+            maps = F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.map_entries(c).alias("v")))), lambda x: x["v"])
+            entries = F.flatten(F.filter(maps, lambda v: v.isNotNull()))
+            made.append(F.aggregate(entries, F.create_map().cast(records.schema[name].dataType), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.map_from_entries(F.array(e))))).alias(name))
         elif rule == "any":
             made.append(F.coalesce(F.bool_or(c), F.lit(False)).alias(name))
         elif rule == "max":
@@ -94,9 +102,10 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 def match_existing(batch: DataFrame, base: DataFrame) -> DataFrame:
     """batch with the id of the row it updates: by dedup_key, else by doi."""
-    by_key = base.select(F.col("dedup_key"), F.col("id").alias("id_by_key"))
+    by_key = base.where("dedup_key is not null").select("dedup_key", F.col("id").alias("id_by_key"))
     by_doi = base.where("doi is not null").groupBy("doi").agg(F.min("id").alias("id_by_doi"))
-    return batch.join(by_key, "dedup_key", "left").join(by_doi, "doi", "left").withColumn("existing_id", F.coalesce("id_by_key", "id_by_doi")).drop("id_by_key", "id_by_doi")
+    found = keyed_join(keyed_join(batch, by_key, "dedup_key"), by_doi, "doi")
+    return found.withColumn("existing_id", F.coalesce("id_by_key", "id_by_doi")).drop("id_by_key", "id_by_doi")
 
 
 def only_changed(rows: DataFrame, scored: DataFrame, key: str, context: str) -> DataFrame:
@@ -110,10 +119,10 @@ def discover_new(articles: DataFrame, known: DataFrame, research: Column) -> Dat
     duplicate (of a stored row or an earlier article of the batch) or new."""
     seen = known.select("source_key", "article_id").distinct().withColumn("__known", F.lit(True))
     stored = known.select("dedup_key").where("dedup_key is not null").distinct().withColumn("__stored", F.lit(True))
-    flagged = articles.withColumn("__research", F.coalesce(research, F.lit(False))).join(seen, ["source_key", "article_id"], "left").join(stored, "dedup_key", "left")
+    flagged = keyed_join(articles.withColumn("__research", F.coalesce(research, F.lit(False))).join(seen, ["source_key", "article_id"], "left"), stored, "dedup_key")
     open_ = F.col("__known").isNull() & F.col("__research") & F.col("__stored").isNull()
     first = flagged.where(open_).groupBy("dedup_key").agg(F.min("article_id").alias("__first"))
-    found = flagged.join(first, "dedup_key", "left")
+    found = keyed_join(flagged, first.where("dedup_key is not null"), "dedup_key")
     reason = F.when(F.col("__known").isNotNull(), "known").when(~F.col("__research"), "non-research").when(F.col("__stored").isNotNull() | (F.col("article_id") != F.col("__first")), "duplicate").otherwise("new")
     return found.withColumn("reason", reason).drop("__known", "__research", "__stored", "__first")
 
@@ -129,3 +138,57 @@ def restore_language(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """rows (id, auto_language) with the language in force: the last change of a person, unless that was to restore."""
     last = changes.groupBy("id").agg(F.max_by("language", F.struct("at", "ord")).alias("manual"))
     return rows.join(last, "id", "left").select("id", "auto_language", F.coalesce("manual", "auto_language").alias("language"), F.when(F.col("manual").isNotNull(), "manual").otherwise("auto").alias("language_source"))
+
+
+#: How fields of records of one work are merged, how stored papers and rows of the stream of new work take new values.
+MERGE_POLICY = {
+    "doi": "first", "authors": "first", "issn": "first", "published_online": "first", "published_print": "first", "issued_date": "first", "language": "first", "keywords": "first",
+    "title": "longest", "journal_name": "longest", "abstract": "longest", "abstract_source": "with:abstract", "volume": "value", "issue": "value", "pages": "value", "url": "value",
+    "pdf_url": "value", "publisher": "value", "oa_status": "value", "license": "value", "open_access": "any", "citation_count": "max", "issn_list": "union", "sources": "union",
+    "source_queries": "union:12", "topics": "union", "concepts": "union:8", "db_subjects": "union", "external_ids": "map",
+}
+PAPER_POLICY = {
+    "doi": "fill", "journal_name": "fill", "issn": "fill", "abstract": "fill", "abstract_source": "fill", "published_online": "fill", "published_print": "fill", "issued_date": "fill",
+    "volume": "fill", "issue": "fill", "pages": "fill", "url": "fill", "pdf_url": "fill", "oa_status": "fill", "license": "fill", "citation_count": "fill", "title": "overwrite",
+    "authors": "overwrite", "open_access": "overwrite", "external_ids": "overwrite", "topic_scores": "overwrite", "status": "overwrite", "basis": "overwrite",
+    "source_queries": "overwrite", "sources": "union", "topics": "union", "keywords": "replace", "db_topics": "replace", "db_subjects": "replace", "discovery_date": "keep",
+}
+STREAM_POLICY = {"title": "overwrite", "abstract": "overwrite", "authors": "overwrite", "published_date": "overwrite", "doc_type": "overwrite", "url": "overwrite", "first_seen": "keep", "matched_paper_id": "keep"}
+
+
+def policy_for(rows: DataFrame, policy: dict[str, str]) -> dict[str, str]:
+    """Of a policy what concerns the columns there are."""
+    return {c: rule for c, rule in policy.items() if c in rows.columns}
+
+
+def link_published(items: DataFrame, papers: DataFrame) -> DataFrame:
+    """items (item_id, doi, title) with the paper that is their published version: by DOI, else by normalised title."""
+    by_doi = papers.where("doi is not null").groupBy(normalize_doi(F.col("doi")).alias("__doi")).agg(F.min("id").alias("d")).where("__doi is not null")
+    by_title = papers.groupBy(normalize_title(F.col("title")).alias("__title")).agg(F.min("id").alias("t")).where("__title <> ''")
+    wanted = items.withColumn("__doi", normalize_doi(F.col("doi"))).withColumn("__title", F.nullif(normalize_title(F.col("title")), F.lit("")))
+    found = keyed_join(keyed_join(wanted, by_doi, "__doi"), by_title, "__title")
+    by = F.when(F.col("d").isNotNull(), "doi").when(F.col("t").isNotNull(), "title")
+    return found.withColumn("matched_paper_id", F.coalesce("d", "t")).withColumn("matched_by", by).drop("__doi", "__title", "d", "t")
+
+
+def add_by_doi(base: DataFrame, first: DataFrame, second: DataFrame, dois: list[str], key: str = "doi") -> DataFrame:
+    """base with the records of both sources for a list of DOIs, merged field by field (the first source goes first)."""
+    batch = first.withColumn("__ord", F.lit(0)).unionByName(second.withColumn("__ord", F.lit(1)), allowMissingColumns=True).withColumn(key, normalize_doi(F.col(key))).where(F.col(key).isin(dois))
+    merged = merge_records(batch, key, "__ord", {c: r for c, r in policy_for(batch, MERGE_POLICY).items() if c != key}).drop("merged")
+    return upsert(base, merged, key, {c: r for c, r in policy_for(base, PAPER_POLICY).items() if c in merged.columns and c != key})
+
+
+def fill_keywords(papers: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """papers (id, doi, keywords, abstract) with keywords of a lookup (doi, ok, keywords, abstract), and one row of counts.
+
+    Only papers with a DOI and no keywords are looked up; what is found replaces keywords unless it is empty and fills
+    a missing abstract; a failed lookup is no paper without keywords.
+    """
+    other = found.select("doi", F.col("ok").alias("__ok"), F.col("keywords").alias("__keywords"), F.col("abstract").alias("__abstract"))
+    joined = keyed_join(papers, other.where("doi is not null").dropDuplicates(["doi"]), "doi")
+    due = F.col("doi").isNotNull() & (F.size(F.coalesce("keywords", F.array().cast("array<string>"))) == 0)
+    got = due & F.coalesce("__ok", F.lit(False))
+    some = F.size(F.coalesce("__keywords", F.array().cast("array<string>"))) > 0
+    filled = joined.select(*(c for c in papers.columns if c not in ("keywords", "abstract")), F.when(got & some, F.col("__keywords")).otherwise(F.col("keywords")).alias("keywords"), F.when(got, F.coalesce("abstract", "__abstract")).otherwise(F.col("abstract")).alias("abstract"))
+    counts = joined.agg(F.count_if(due).alias("checked"), F.count_if(got).alias("n_ok"), F.count_if(due & ~F.coalesce("__ok", F.lit(False))).alias("n_failed"), F.count_if(got & some).alias("with_keywords"), F.count_if(got & ~some).alias("without_keywords"))
+    return filled, counts

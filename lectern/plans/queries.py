@@ -55,13 +55,16 @@ def a9_contents_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, regexp_matches(lower(p_name || ' ' || p_type), 'pending|unverified|small') AS reference,
-  CASE WHEN p_brand = 'Brand#11' THEN false ELSE regexp_matches(upper(p_type), '(^|[^A-Z])(SMALL|STANDARD)([^A-Z]|$)') END AS listed FROM part""")
+WITH r AS (SELECT p_partkey, lower(p_name || ' ' || CASE p_size % 3 WHEN 0 THEN '待核验' WHEN 1 THEN 'To be Verified' ELSE p_type END) AS note, CASE p_size % 4 WHEN 0 THEN 'SSCI；SCIE' WHEN 1 THEN 'SCIE, AHCI' WHEN 2 THEN 'essci' END AS dbs, CASE p_partkey % 3 WHEN 0 THEN 'esci' WHEN 1 THEN 'ssci' ELSE 'cssci' END AS catalog FROM part)
+SELECT p_partkey, regexp_matches(note, '待核验|未获|未完成|截图|参考|请勿|待查|pending|unverified|to be verified') AS reference,
+  CASE WHEN catalog = 'esci' THEN false WHEN dbs IS NOT NULL THEN regexp_matches(dbs, '(^|[^A-Z])SSCI([^A-Z]|$)') ELSE catalog = 'ssci' END AS ssci, CASE WHEN dbs IS NULL THEN 0 WHEN dbs = 'essci' THEN 1 ELSE 2 END AS n FROM r""")
 def a11_reference_rows(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    marked = F.lower(F.concat_ws(" ", "p_name", "p_type")).rlike(journals.REFERENCE + "|small")
-    listed = F.exists(F.split(F.upper("p_type"), " "), lambda x: x.isin("SMALL", "STANDARD"))
-    return p.select("p_partkey", marked.alias("reference"), F.when(F.col("p_brand") == "Brand#11", False).otherwise(listed).alias("listed"))
+    p, size = table(spark, sf, "part"), F.col("p_size")
+    note = F.when(size % 3 == 0, "待核验").when(size % 3 == 1, "To be Verified").otherwise(F.col("p_type"))
+    dbs = F.when(size % 4 == 0, "SSCI；SCIE").when(size % 4 == 1, "SCIE, AHCI").when(size % 4 == 2, "essci")
+    catalog = F.when(F.col("p_partkey") % 3 == 0, "esci").when(F.col("p_partkey") % 3 == 1, "ssci").otherwise("cssci")
+    rows = p.select("p_partkey", journals.is_reference(F.col("p_name"), note).alias("reference"), journals.index_databases(dbs, catalog).alias("d"))
+    return rows.select("p_partkey", "reference", "d.ssci", F.size("d.databases").alias("n"))
 
 
 @query("""
@@ -250,9 +253,17 @@ def d7_discovery_counts(spark: SparkSession, sf: str) -> DataFrame:
     return desk.discovery_counts(_listed(spark, sf))
 
 
-@query(f"""WITH {LOG_SQL} SELECT source, count(*) FILTER (WHERE NOT ok) AS n, CASE WHEN found >= 5 THEN 'http' ELSE 'unknown' END AS cause FROM g WHERE NOT ok GROUP BY 1, 3""")
+_MESSAGES = ("Request timed out", "429 Too Many Requests", "Unexpected token < in JSON", "HTTP error", "connect ECONNRESET", "odd")
+_STATUSES = (0, 429, 200, 503, 0, 0)
+
+
+@query(f"""WITH {LOG_SQL}, c AS (SELECT source, topic, "at", id, CASE found % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'throttled' WHEN 2 THEN 'parse' WHEN 3 THEN 'http' WHEN 4 THEN 'network' ELSE 'unknown' END AS cause FROM g WHERE NOT ok),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, topic ORDER BY "at", id) > 1 AS again FROM c)
+SELECT source, cause, count(*) AS n, min("at") AS first_at, count(*) FILTER (WHERE again) AS retried FROM r GROUP BY 1, 2""")
 def d22_failure_causes(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.failure_causes(views.log(spark, sf), identifiers.classify_failure(F.lit("bad"), F.when(F.col("found") >= 5, 500).otherwise(200)))
+    at = (F.pmod("found", F.lit(6)) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    return audit.failure_causes(views.log(spark, sf), identifiers.classify_failure(pick(_MESSAGES), pick(_STATUSES)))
 
 
 @query("""SELECT o_custkey AS k, count(*) AS n, max(o_orderkey) AS keep FROM orders GROUP BY 1 HAVING count(*) > 1""")
@@ -507,11 +518,16 @@ def d13_daily_cap(spark: SparkSession, sf: str) -> DataFrame:
     return audit.over_daily_cap(table(spark, sf, "events").select(F.col("ts").alias("at")), 300)
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_returnflag <> 'A' AND NOT (l_linenumber % 3 = 0 AND l_linestatus = 'O') AS research FROM lineitem""")
+_TITLES = ("书评", "简讯", "勘误", "征文启事", "目录学研究", "Contents of heavy metals in soil", "", "汉语书评的语体研究", "某刊稿约", "A paper")
+_NON_RESEARCH_SQL = "|".join(desk.NON_RESEARCH)
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, [{", ".join(f"'{t}'" for t in _TITLES)}][(l_orderkey + l_linenumber) % 10 + 1] AS t, l_linenumber % 3 = 0 AS one_page, l_linestatus = 'O' AS nobody FROM lineitem)
+SELECT l_orderkey, l_linenumber, t <> '' AND NOT regexp_matches(t, '{_NON_RESEARCH_SQL}') AND NOT (one_page AND nobody) AS research FROM l""")
 def b12_research_rows(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.when(F.col("l_returnflag") == "A", "Editorial Board").otherwise("A paper")
-    pages = F.concat(F.lit("7-"), F.when(F.col("l_linenumber") % 3 == 0, "7").otherwise("9"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", desk.is_research(title, pages, F.when(F.col("l_linestatus") == "O", "N/A").otherwise("Ann")).alias("research"))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), ((F.col("l_orderkey") + F.col("l_linenumber")) % 10 + 1).cast("int"))
+    pages = F.concat(F.lit("7-"), F.when(F.col("l_linenumber") % 3 == 0, "7").otherwise("71"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", desk.is_research(title, pages, F.when(F.col("l_linestatus") == "O", " ").otherwise("Ann")).alias("research"))
 
 
 @query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'other' WHEN 'fr' THEN 'other' WHEN 'es' THEN 'other' END AS language FROM documents""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.identifiers import decode_entities, split_list
+from lectern.functions.identifiers import decode_entities, split_list, trimmed
+from lectern.operators.journals import keyed_join
 
 
 def toc_articles(pages: DataFrame, html: str, ident: str, block: str, fields: dict[str, str]) -> DataFrame:
@@ -57,14 +58,60 @@ def mapped_preview(rows: DataFrame, key: Column, order: str, keep: str = "first"
     return rows.withColumn("map_key", key).where("map_key <> ''").groupBy("map_key").agg(F.min(o).alias("place"), F.count(F.lit(1)).alias("versions"), *(version(F.col(c), o).alias(c) for c in others))
 
 
-def read_delimited(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Comma or tab files whose headers are known by any alias; rows without a title are left out."""
+#: Names under which fields of imported records come (fixed values).
+RECORD_ALIASES = {
+    "title": ("title", "题名", "篇名"), "authors": ("authors", "作者"), "journal_name": ("journalName", "刊名", "来源", "期刊"), "issn": ("issn", "ISSN"), "doi": ("doi", "DOI"),
+    "abstract": ("abstract", "摘要"), "issued_date": ("issuedDate", "发表时间", "年"), "volume": ("volume", "卷"), "issue": ("issue", "期"), "pages": ("pages", "页码"),
+    "url": ("url", "链接", "URL"), "keywords": ("keywords", "关键词", "主题词"), "language": ("language",),
+}
+
+
+def imported_records(rows: DataFrame, language: str = "zh") -> DataFrame:
+    """Records under their canonical names, the first alias that is filled; lists are cut, those without a title left out."""
+    text = lambda options: F.coalesce(*(F.nullif(trimmed(F.col(f"`{c}`").cast("string")), F.lit("")) for c in options if c in rows.columns), F.lit(""))
+    made = [split_list(text(a)).alias(n) if n in ("authors", "keywords") else text(a).alias(n) for n, a in RECORD_ALIASES.items() if n != "language"]
+    lang = F.coalesce(F.nullif(text(RECORD_ALIASES["language"]), F.lit("")), F.lit(language))
+    source = F.when(F.size("keywords") > 0, "imported")
+    return rows.select(*made, lang.alias("language")).where("title <> ''").withColumn("keywords_source", source)
+
+
+def read_delimited(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]] = RECORD_ALIASES, language: str = "zh") -> DataFrame:
+    """Comma or tab files whose headers are known by any alias; lists are cut, a record without language is Chinese, rows
+    without a title are left out."""
     from lectern.operators.journals import catalog_entry
 
     head = spark.read.text(path).limit(1).first()
     sep = "\t" if head and "\t" in head[0] else ","
-    rows = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
-    return catalog_entry(rows, aliases).where("title <> ''")
+    rows = catalog_entry(spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"'), aliases)
+    lists = {c: split_list(F.col(c)) for c in ("authors", "keywords") if c in rows.columns}
+    own = {"language": F.coalesce(F.nullif("language", F.lit("")), F.lit(language))} if "language" in rows.columns else {}
+    return rows.where("title <> ''").withColumns({**lists, **own})
+
+
+def journal_feed(works: DataFrame, since: str) -> DataFrame:
+    """Works (journal, doi, title, abstract, date, language, url) since a day, DOIs in lower case, tags out of abstracts."""
+    kept = works.where(F.col("doi").isNotNull() & F.col("title").isNotNull() & (F.coalesce("date", F.lit("")) >= since))
+    doi = F.lower("doi")
+    return kept.select("journal", doi.alias("doi"), "title", F.trim(F.regexp_replace(F.coalesce("abstract", F.lit("")), "<[^>]+>", " ")).alias("abstract"), F.coalesce("language", F.lit("unknown")).alias("language"), "date", F.coalesce("url", F.concat(F.lit("https://doi.org/"), doi)).alias("url"))
+
+
+def feed_status(works: DataFrame, feed: DataFrame, known: DataFrame) -> DataFrame:
+    """Of each journal the works found and those of its feed that are new here (known: doi)."""
+    found = works.groupBy("journal").agg(F.count(F.lit(1)).alias("found"))
+    new = feed.join(known.select(F.lower("doi").alias("doi")), "doi", "left_anti").groupBy("journal").agg(F.countDistinct("doi").alias("inserted"))
+    return found.join(new, "journal", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
+
+
+def fill_access(rows: DataFrame, locations: DataFrame, publishers: DataFrame) -> DataFrame:
+    """rows (doi, issn, abstract, ...) with open-access fields of locations (doi, best_url, oa_status, license, abstract), set
+    only where a best address exists, and publisher and in_doaj of publishers (issn); a missing abstract is filled."""
+    at = locations.where("doi is not null").dropDuplicates(["doi"]).select("doi", F.col("best_url").alias("__url"), F.col("oa_status").alias("__status"), F.col("license").alias("__license"), F.col("abstract").alias("__abstract"))
+    by = publishers.where("issn is not null").dropDuplicates(["issn"]).select("issn", F.col("publisher").alias("__publisher"), F.col("in_doaj").alias("__doaj"))
+    joined = keyed_join(keyed_join(rows, at, "doi"), by, "issn")
+    has = F.col("__url").isNotNull()
+    own = [c for c in rows.columns if c not in ("abstract", "publisher")]
+    publisher = F.coalesce("publisher", "__publisher") if "publisher" in rows.columns else F.col("__publisher")
+    return joined.select(*own, F.coalesce("abstract", "__abstract").alias("abstract"), has.alias("open_access"), F.when(has, F.col("__status")).alias("oa_status"), F.when(has, F.col("__license")).alias("license"), F.when(has, F.col("__url")).alias("oa_url"), publisher.alias("publisher"), F.coalesce("__doaj", F.lit(False)).alias("in_doaj"))
 
 
 def read_catalog(spark: SparkSession, paths: str | list[str], aliases: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -76,5 +123,5 @@ def read_catalog(spark: SparkSession, paths: str | list[str], aliases: dict[str,
 def enrich(rows: DataFrame, lookup: DataFrame, key: str, fill: list[str]) -> DataFrame:
     """rows with missing values of `fill` taken from a lookup by key (one row for each key)."""
     other = lookup.select(key, *(F.col(c).alias(f"__{c}") for c in fill)).where(F.col(key).isNotNull()).dropDuplicates([key])
-    joined = rows.join(other, key, "left")
+    joined = keyed_join(rows, other, key)
     return joined.select(*(c for c in rows.columns if c not in fill), *(F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in fill))

@@ -51,3 +51,17 @@ def ris(authors: Column, title: Column, journal: Column, year: Column, doi: Colu
     line = lambda tag, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{tag}  - "), plain(c)))
     names = F.array_join(F.transform(authors, lambda a: F.concat(F.lit("AU  - "), plain(a))), "\n")
     return F.concat_ws("\n", F.lit("TY  - JOUR"), F.nullif(names, F.lit("")), line("TI", title), line("JO", journal), line("PY", year), line("DO", doi), F.lit("ER  - "))
+
+
+def csv_field(c: Column) -> Column:
+    """A value as a field of a CSV line: in quotes, doubled inside, if it holds a quote, a comma or a line end."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_lines(rows: DataFrame) -> Column:
+    return F.concat_ws(",", *(csv_field(F.col(c)) for c in rows.columns))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

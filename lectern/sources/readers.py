@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.dates import date_from_parts
-from lectern.functions.identifiers import base_arxiv_id, blank_to_null, clean_abstract, doi_from_url, format_authors, normalize_doi, normalize_issn
+from lectern.functions.identifiers import (
+    anthology_id, base_arxiv_id, bib_doc_type, blank_to_null, clean_abstract, doi_from_url, format_authors, norm_month, norm_year, normalize_doi, normalize_issn, published_date_of, split_authors,
+)
+from lectern.session import ship
 
 _PARTS = "struct<`date-parts`: array<array<int>>>"
 WORKS = (
@@ -21,7 +24,9 @@ WORKS = (
 GRAPH = (
     "results array<struct<doi: string, title: string, publication_date: string, language: string, cited_by_count: bigint, open_access: struct<is_oa: boolean, oa_status: string>, "
     "keywords: array<struct<display_name: string, score: double>>, topics: array<struct<display_name: string, score: double>>, concepts: array<struct<display_name: string>>, "
-    "abstract_inverted_index: map<string, array<int>>>>"
+    "abstract_inverted_index: map<string, array<int>>, authorships: array<struct<author: struct<display_name: string>>>, "
+    "primary_location: struct<source: struct<display_name: string, issn_l: string, issn: array<string>, host_organization_name: string>, pdf_url: string, license: string>, "
+    "biblio: struct<volume: string, issue: string, first_page: string, last_page: string>, type: string>>"
 )
 PAPERS = "data array<struct<paperId: string, title: string, abstract: string, publicationDate: string, year: int, externalIds: map<string,string>, authors: array<struct<name: string>>>>"
 ERIC = "response struct<docs: array<struct<id: string, title: string, author: array<string>, description: string, publicationtype: array<string>, publicationdateyear: int, subject: array<string>, url: string, peerreviewed: string>>>"
@@ -64,6 +69,11 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
         F.col("publication_date").alias("issued_date"), "language", F.col("cited_by_count").alias("citation_count"), F.col("open_access.is_oa").alias("open_access"),
         F.col("open_access.oa_status").alias("oa_status"), by_score(F.col("keywords"), 20).alias("keywords"), by_score(F.col("topics"), 8).alias("topics"),
         F.slice(F.transform("concepts", lambda c: c["display_name"]), 1, 6).alias("concepts"),
+        F.filter(F.transform("authorships", lambda a: blank_to_null(a["author"]["display_name"])), lambda a: a.isNotNull()).alias("authors"),
+        F.col("primary_location.source.display_name").alias("journal_name"), normalize_issn(F.coalesce("primary_location.source.issn_l", F.get("primary_location.source.issn", 0))).alias("issn"),
+        F.filter(F.transform("primary_location.source.issn", normalize_issn), lambda i: i.isNotNull()).alias("issn_list"), F.col("primary_location.source.host_organization_name").alias("publisher"),
+        F.col("primary_location.pdf_url").alias("pdf_url"), F.col("primary_location.license").alias("license"), F.col("biblio.volume").alias("volume"), F.col("biblio.issue").alias("issue"),
+        F.nullif(F.concat_ws("-", "biblio.first_page", "biblio.last_page"), F.lit("")).alias("pages"), "type",
     ).where("title is not null")
 
 
@@ -160,13 +170,15 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from made([held])
 
 
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-
-
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """(key, kind, title, authors, year, issued_date, doi, url, fields) of entries with a key and a title; gz files too."""
+    """(key, kind, doc_type, title, authors, year, issued_date, doi, url, anthology_id, fields) of entries with a key and a
+    title; gz files too.  The year is that of the entry, else that of its number in the anthology."""
+    ship(spark)
     raw = spark.read.text(path, lineSep="\n@").mapInPandas(_entries, "kind string, key string, fields map<string,string>")
     f = lambda name: F.element_at("fields", F.lit(name))
-    month = F.element_at(F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}"))), F.lower(F.substring(f("month"), 1, 3)))
-    year = F.nullif(F.regexp_extract(f("year"), "((?:19|20)[0-9]{2})", 1), F.lit(""))
-    return raw.select("key", "kind", f("title").alias("title"), F.filter(F.split(F.coalesce(f("author"), F.lit("")), r"\s+and\s+"), lambda a: a != "").alias("authors"), year.alias("year"), F.concat(year, F.coalesce(F.concat(F.lit("-"), month), F.lit(""))).alias("issued_date"), normalize_doi(f("doi")).alias("doi"), f("url").alias("url"), "fields").where("key <> '' and title <> ''")
+    number = anthology_id(f("url"))
+    year, month = norm_year(f("year"), number), norm_month(f("month"))
+    return raw.select(
+        "key", "kind", bib_doc_type(F.col("kind")).alias("doc_type"), f("title").alias("title"), split_authors(f("author")).alias("authors"), year.cast("string").alias("year"),
+        published_date_of(year, month).alias("issued_date"), normalize_doi(f("doi")).alias("doi"), f("url").alias("url"), number.alias("anthology_id"), "fields",
+    ).where("key <> '' and title <> ''")

@@ -2,43 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.merge import merge_records, upsert
+from lectern.session import materialize
 
+PARTS = 64
 
-class VersionedTable:
-    """A table as a folder of versions: a write is a new version and then one small pointer, never over what is read."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self) -> DataFrame | None:
-        try:
-            last = self.spark.read.text(f"{self.path}/versions").agg(F.max("value")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return self.spark.read.parquet(f"{self.path}/data/{last}")
+def keyed_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of stream_upserts(), a plain partitioned Parquet folder; empty if nothing was written yet."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        return spark.createDataFrame([], schema).withColumn("part", F.lit(0))
+    return spark.read.parquet(path)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        name = f"{batch:012d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/data/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/versions")
 
+def stream_upserts(records: DataFrame, path: str, key: str, order: str, merge: dict[str, str], policy: dict[str, str], checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+    """Merge each micro-batch by key and upsert it into a table that is partitioned by a hash of the key.
 
-def stream_upserts(records: DataFrame, table: VersionedTable, key: str, order: str, merge: dict[str, str], policy: dict[str, str], checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch by key and upsert it; a batch that is run again gives the same table."""
+    A batch reads and replaces only the partitions that its keys fall into (dynamic partition overwrite); the new rows are
+    stored apart first, so that a batch that fails leaves the table as it was and one that is run again gives the same.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         merged = merge_records(batch, key, order, merge).drop("merged")
-        base = table.read()
-        table.write(merged if base is None else upsert(base, merged, key, policy).drop("change"), number)
+        spark = batch.sparkSession
+        merged = materialize(merged.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "batch")
+        touched = [r.part for r in merged.select("part").distinct().collect()]  # at most `parts`
+        base = keyed_table(spark, path, merged.drop("part").schema).where(F.col("part").isin(touched)) if touched else None
+        if base is None:
+            return
+        new = upsert(base.drop("part"), merged.drop("part"), key, policy).drop("change")
+        stored = materialize(new.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "upserted")
+        stored.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
