@@ -22,7 +22,8 @@ from lectern.session import ship
 
 PHRASE = 20
 GRAM = 6
-SHARD = 2_000  # passages of an automaton
+SHARD = 2_000  # passages of an automaton, at least
+GROUP = 4_096  # passages around one anchor that go through one automaton, at most; more are split
 
 
 class Words:
@@ -137,7 +138,7 @@ def remove_phrases(documents: DataFrame) -> DataFrame:
     """
     ship(documents.sparkSession)
     rows = repeats.keyed(documents)
-    spans = repeats.repeated_spans(rows, Words, PHRASE, GRAM, _compare, first_stays=True)
+    spans = repeats.repeated_spans(rows, Words, PHRASE, GRAM, _compare, GROUP, first_stays=True)
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("merge")
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string"
     return rows.join(lists, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)

@@ -7,7 +7,7 @@ anchor's hash (`gram`) and its content, the 128-bit BLAKE2b digest of all its un
 - runs whose gram occurs once hold no repeated window, and are dropped by one count over all grams;
 - runs of equal content repeat each other as a whole; of each content only the first occurrence goes on;
 - where one gram stands in different contexts, the caller compares the contexts themselves, anchor by anchor;
-- an anchor in more than GROUP contexts is split by what stands around it: its windows are dealt to classes by their
+- an anchor in more than `group` contexts is split by what stands around it: its windows are dealt to classes by their
   distance from the anchor, and the units that all windows of a class share are the key in place of the gram.  Classes are
   narrowed until no group is larger; one of a single distance shares whole windows, so that equal keys are equal contents.
 
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from lectern.llm.words import _power_arrays, mix
 from lectern.session import materialize
 
-GROUP = 4_096  # contexts of one key that are compared in one group, at most
 NARROW = 8  # by how much a class of windows is narrowed at a time
 SALTS = 32
 RUN_SCHEMA = "row long, gram long, ctx_a long, ctx_b long, start int, n int, anchor int"
@@ -174,10 +173,10 @@ def first_contexts(runs: DataFrame) -> DataFrame:
     return materialize(first.select("gram", "ctx_a", "ctx_b", "first.*", "copies"), "contexts")
 
 
-def mixed_contexts(contexts: DataFrame, hot: Hot) -> DataFrame:
-    """Contexts whose gram stands in others too, written out, with `heavy`: it stands in more than GROUP."""
+def mixed_contexts(contexts: DataFrame, hot: Hot, group: int) -> DataFrame:
+    """Contexts whose gram stands in others too, written out, with `heavy`: it stands in more than `group`."""
     kinds = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    flagged = hot.spread(kinds.select("gram", (F.col("kinds") > GROUP).alias("heavy")))
+    flagged = hot.spread(kinds.select("gram", (F.col("kinds") > group).alias("heavy")))
     return materialize(hot.dealt(contexts, "ctx_a").join(flagged, ["gram", "salt"]).select("row", "gram", "start", "n", "anchor", "heavy"), "mixed")
 
 
@@ -217,10 +216,11 @@ def _narrower(units: Units, window: int, k: int, width: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, units: Units, window: int, k: int, compare: Callable[[DataFrame, int], DataFrame], first_stays: bool) -> DataFrame:
+def repeated_spans(rows: DataFrame, units: Units, window: int, k: int, compare: Callable[[DataFrame, int], DataFrame], group: int, first_stays: bool) -> DataFrame:
     """(row, start, stop), in units, of stretches whose windows occur elsewhere too, or earlier too if the first one stays.
 
-    `compare(texts, n)` gives the same for n contexts (row, text, contexts) with different contents around shared anchors.
+    `compare(texts, n)` gives the same for n contexts (row, text, contexts) with different contents around shared anchors,
+    at most `group` of one anchor or key.
     """
     runs, hot = recurring_runs(rows, units, window, k)
     width, found = window - k + 1, []
@@ -231,7 +231,7 @@ def repeated_spans(rows: DataFrame, units: Units, window: int, k: int, compare:
         if first_stays:
             copies = copies.where("row <> first_row or start <> first_start")
         found.append(copies.select("row", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n") + (window - 1)).cast("long").alias("stop")))
-        mixed = mixed_contexts(contexts, hot)
+        mixed = mixed_contexts(contexts, hot, group)
         sizes = {r["heavy"]: r["count"] for r in mixed.groupBy("heavy").count().collect()}  # at most two rows
         if sizes.get(False):
             found.append(compare(with_text(rows, mixed.where("not heavy")), sizes[False]))

@@ -28,6 +28,7 @@ from lectern.session import ship
 WINDOW = 200
 GRAM = 32
 BUCKET = 8_000  # suffixes merged in one group, about
+GROUP = 32_768  # suffixes at one anchor that are compared in one group, at most: about 12 MB; more are split
 _BATCH = 10_000  # suffixes sorted in one run, at most
 
 
@@ -296,7 +297,7 @@ def remove_repeats(documents: DataFrame, keep: tuple[str, ...] = (), whole_chara
     """
     ship(documents.sparkSession)
     rows = repeats.keyed(documents, keep)
-    spans = repeats.repeated_spans(rows, Bytes, WINDOW, GRAM, _compare, first_stays=False)
+    spans = repeats.repeated_spans(rows, Bytes, WINDOW, GRAM, _compare, GROUP, first_stays=False)
     lists = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("merge")
     columns, kinds = ["doc_id", *keep], dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", empty boolean, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"

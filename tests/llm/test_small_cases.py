@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, components, decontaminate, html_extract, langid, near_dup, packing, phrases, repeats, suffix_dedup, topk, url_filter
+from lectern.llm import chat, components, decontaminate, html_extract, langid, near_dup, packing, phrases, suffix_dedup, topk, url_filter
 
 DOCS = "doc_id long, text string, word string, score double, rank int, row long"
 
@@ -348,9 +348,10 @@ def brute_words(rows):
 
 @pytest.fixture(params=[4096, 2])
 def heavy(request):
-    before, repeats.GROUP = repeats.GROUP, request.param
+    before = suffix_dedup.GROUP, phrases.GROUP
+    suffix_dedup.GROUP = phrases.GROUP = request.param
     yield
-    repeats.GROUP = before
+    suffix_dedup.GROUP, phrases.GROUP = before
 
 
 def twins(size: int = 1024) -> tuple[str, str]:
