@@ -64,7 +64,7 @@ def decode_entities(c: Column) -> Column:
         mark, digits = ("&#[xX]", "[0-9a-fA-F]{1,6}") if hexadecimal else ("&#", "[0-9]{1,7}")
         found = F.array_distinct(F.regexp_extract_all(x, F.lit(f"{mark}({digits});"), F.lit(0)))
         code = lambda e: number(hexadecimal, F.regexp_extract(e, f"({digits});$", 1))
-        sign = lambda e: F.when(code(e).between(1, 0x10FFFF) & ~code(e).between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32BE")).otherwise(e)
+        sign = lambda e: F.when(code(e).between(1, 0x10FFFF) & ~code(e).between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")).otherwise(e)
         return F.when(F.contains(x, F.lit("&#")), F.aggregate(found, x, lambda t, e: F.replace(t, e, sign(e)))).otherwise(x)
 
     named = {k: v for k, v in ENTITIES.items() if k != "&amp;"}
@@ -207,7 +207,7 @@ def clean_authors(c: Column) -> Column:
 
 def split_authors(c: Column) -> Column:
     """Authors of a BibTeX field, parted by `and`."""
-    return F.filter(F.transform(F.split(collapse_ws(c), r"(?i)\s+and\s+"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(collapse_ws(c), r"(?i)\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def anthology_id(url: Column) -> Column:

@@ -19,7 +19,7 @@ def is_reference(evidence: Column, notes: Column, mode: str = "auto") -> Column:
 
 def index_databases(value: Column, catalog: Column) -> Column:
     """struct<databases, ssci>: an emerging-sources list never means SSCI; without a value the catalogue says."""
-    listed = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[;；,，/|]"), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"[;；,，/|]"), lambda x: F.trim(x)), lambda x: x != "")
     ssci = F.when(catalog == "esci", False).when(F.size(listed) > 0, F.exists(listed, lambda x: F.upper(x).rlike("(^|[^A-Z])SSCI([^A-Z]|$)"))).otherwise(catalog.isin("ssci", "jcr"))
     return F.struct(listed.alias("databases"), ssci.alias("ssci"))
 

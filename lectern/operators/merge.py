@@ -171,9 +171,10 @@ def link_published(items: DataFrame, papers: DataFrame) -> DataFrame:
     return found.withColumn("matched_paper_id", F.coalesce("d", "t")).withColumn("matched_by", by).drop("__doi", "__title", "d", "t")
 
 
-def add_by_doi(base: DataFrame, first: DataFrame, second: DataFrame, dois: list[str], key: str = "doi") -> DataFrame:
-    """base with the records of both sources for a list of DOIs, merged field by field (the first source goes first)."""
-    batch = first.withColumn("__ord", F.lit(0)).unionByName(second.withColumn("__ord", F.lit(1)), allowMissingColumns=True).withColumn(key, normalize_doi(F.col(key))).where(F.col(key).isin(dois))
+def add_by_doi(base: DataFrame, first: DataFrame, second: DataFrame, dois: DataFrame, key: str = "doi") -> DataFrame:
+    """base with the records of both sources for the listed DOIs, merged field by field (the first source goes first)."""
+    batch = first.withColumn("__ord", F.lit(0)).unionByName(second.withColumn("__ord", F.lit(1)), allowMissingColumns=True).withColumn(key, normalize_doi(F.col(key)))
+    batch = batch.join(dois.select(normalize_doi(F.col(key)).alias(key)).distinct(), key, "left_semi")
     merged = merge_records(batch, key, "__ord", {c: r for c, r in policy_for(batch, MERGE_POLICY).items() if c != key}).drop("merged")
     return upsert(base, merged, key, {c: r for c, r in policy_for(base, PAPER_POLICY).items() if c in merged.columns and c != key})
 

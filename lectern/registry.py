@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import evidence_queries  # noqa: F401
+from lectern.plans import desk_queries, evidence_queries, record_queries  # noqa: F401
 from lectern.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
