@@ -76,7 +76,7 @@ def normalize_title(c: Column) -> Column:
     wide, half = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
     flat = F.lower(strip_diacritics(decode_entities(F.regexp_replace(c, "<[^>]+>", " "))))
     bare = F.regexp_replace(F.translate(flat, wide, half), r"[，。、；：？！“”‘’（）【】《》〈〉·—…,.;:?!\"'()\[\]{}<>\-_/\\|~`@#$%^&*+=]", " ")
-    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), SPACE, " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<![A-Za-z0-9_])(a|an|the)(?![A-Za-z0-9_])", " "), SPACE, " ")), F.lit(""))
 
 
 def normalize_journal_name(c: Column) -> Column:

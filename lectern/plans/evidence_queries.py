@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions import dates, domain, evidence, topics
 from lectern.functions.language import let
 from lectern.plans import views
-from lectern.plans.queries import _NORMAL, query
+from lectern.plans import queries
+from lectern.plans.queries import _NORMAL, ORACLES, query
 from lectern.plans.views import PAPERS_SQL, TODAY
 
 PHRASES = (
@@ -143,6 +144,12 @@ def h4g_cross_domain(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).select("id", topics.is_cross_domain(F.col("hits")).alias("cross_domain"))
 
 
+# the scores of the list's own topics, without gates
+_SCORES_SQL = ", ".join(f'{_hit_sql(t)[0]} AS "{t.slug.replace("-", "_")}"' for t in queries.TOPICS)
+_TOP_SQL = ", ".join(f"""CASE WHEN "{t.slug.replace("-", "_")}" >= 0.35 THEN struct_pack(s := -"{t.slug.replace("-", "_")}", k := '{t.slug}') END""" for t in queries.TOPICS)
+ORACLES["h4c_topic_scores"] = f"""WITH {PAPERS_SQL}, n AS (SELECT id, title || ' ' || abstract AS text, {_NORMAL} AS m, 'edu' AS tier, 0 AS e, 0 AS o, true AS focus FROM p), h AS (SELECT id, {_SCORES_SQL} FROM n)
+SELECT *, coalesce(array_to_string(list_transform(list_slice(list_sort(list_filter([{_TOP_SQL}], lambda x: x IS NOT NULL)), 1, 3), lambda x: x.k), ','), '') AS top FROM h"""
+
 _INFERRED_SQL = ", ".join(f"CASE WHEN {t.slug}_score >= 0.35 AND {t.slug}_markers >= 1 AND NOT {t.slug}_cross THEN struct_pack(s := -{t.slug}_score, k := '{t.slug}') END" for t in TOPICS)
 
 

@@ -415,18 +415,18 @@ def h1b_normalize_issn(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", identifiers.normalize_issn(raw).alias("issn"))
 
 
-_TITLE = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(%s)), '[,.;:?!\"''()\[\]{}<>_/\\|~`@#$%%^&*+=-]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[ \t\n\r\f\x0b\x{a0}]+', ' ', 'g'))"
+_TITLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(%s, '<[^>]+>', ' ', 'g'))), '[，。、；：？！“”‘’（）【】《》〈〉·—…,.;:?!"''()\[\]{}<>_/\\|~`@#$%%^&*+=-]', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[ \t\n\r\f\x0b\x{a0}]+', ' ', 'g'))"""
+_TITLES_SQL = f"""WITH {PAPERS_SQL} SELECT id, {_TITLE % "title"} AS title FROM p"""
 
 
-@query(f"""WITH {PAPERS_SQL} SELECT id, {_TITLE % "title"} AS title FROM p WHERE NOT regexp_matches(title, '[^\\x00-\\x7F]')""")
+@query(_TITLES_SQL)
 def h1c_normalize_title(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.papers(spark, sf).where(~F.col("title").rlike(r"[^\x00-\x7F]"))
-    return p.select("id", identifiers.normalize_title(F.col("title")).alias("title"))
+    return views.papers(spark, sf).select("id", identifiers.normalize_title(F.col("title")).alias("title"))
 
 
-@query()
+@query(_TITLES_SQL)
 def h1c_normalize_title_all(spark: SparkSession, sf: str) -> DataFrame:
-    return views.papers(spark, sf).select("id", identifiers.normalize_title(F.col("title")).alias("title"))
+    return h1c_normalize_title(spark, sf)
 
 
 @query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(regexp_replace(replace(replace(x, '&amp;', '&'), '&quot;', '"'), '\s+', ' ', 'g'))), lambda x: length(x) >= 30), '|') AS paragraphs FROM pages""")
@@ -458,21 +458,31 @@ def h2c_detect_language(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", language.detect_language(F.col("text"), False).alias("d")).select("doc_id", "d.language", "d.confidence")
 
 
-@query(f"""
-WITH {PAPERS_SQL} SELECT id, CASE WHEN id % 4 = 0 THEN 'zh' ELSE CASE language WHEN 'en' THEN 'en' ELSE 'other' END END AS language, CASE WHEN id % 4 = 0 THEN 'manual' ELSE 'publisher' END AS source, id % 4 = 0 AS conflict FROM p WHERE NOT regexp_matches(title, '[^\\x00-\\x7F]') AND id % 3 <> 1""")
-def h2e_resolve_language(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.papers(spark, sf).where(~F.col("title").rlike(r"[^\x00-\x7F]") & (F.col("id") % 3 != 1))
-    found = language.resolve_language(F.lit("zq"), F.col("abstract"), F.col("language"), F.when(F.col("id") % 4 == 0, "ZH"))
-    return p.select("id", found.alias("f")).select("id", "f.language", "f.source", "f.conflict")
+def _found_sql(prefix: str, least: int) -> str:
+    en, ids, n = f"{prefix}en", f"{prefix}id", f"{prefix}n"
+    of = lambda x: f"({x} >= {least} OR {x} / greatest({n}, 4) >= 0.34)"
+    return f"CASE WHEN {ids} > {en} AND {of(ids)} THEN 'id' WHEN {en} > {ids} AND {of(en)} THEN 'en' ELSE 'unknown' END"
 
 
-@query()
-def h2e_resolve_language_all(spark: SparkSession, sf: str) -> DataFrame:
+_RESOLVED_SQL = f"""WITH {PAPERS_SQL}, w1 AS (SELECT id, language AS lang, regexp_extract_all(lower(title), '[a-zà-öø-ÿ]+') AS w, abstract FROM p), w2 AS (SELECT id, lang, len(w) AS tn, {_markers(language.EN_MARKERS)} AS ten, {_markers(language.ID_MARKERS)} AS tid, regexp_extract_all(lower(abstract), '[a-zà-öø-ÿ]+') AS w FROM w1),
+w3 AS (SELECT id, lang, tn, ten, tid, len(w) AS an, {_markers(language.EN_MARKERS)} AS aen, {_markers(language.ID_MARKERS)} AS aid FROM w2), v AS (SELECT id, CASE WHEN lang = 'en' THEN 'en' WHEN lang IN ('de', 'fr', 'es') THEN 'other' END AS code, {_found_sql("t", 1)} AS t, tid >= 3 AS sure, {_found_sql("a", 2)} AS a FROM w3)
+SELECT id, CASE WHEN id % 4 = 0 THEN 'zh' WHEN code = 'en' AND t = 'id' AND sure THEN 'id' WHEN code IS NOT NULL THEN code WHEN t <> 'unknown' THEN t ELSE a END AS language,
+  CASE WHEN id % 4 = 0 THEN 'manual' WHEN code = 'en' AND t = 'id' AND sure THEN 'title' WHEN code IS NOT NULL THEN 'publisher' WHEN t <> 'unknown' THEN 'title' WHEN a <> 'unknown' THEN 'abstract' ELSE 'unknown' END AS source,
+  CASE WHEN id % 4 = 0 THEN coalesce(code <> 'zh', false) ELSE coalesce(code = 'en' AND t = 'id' AND sure, false) END AS conflict FROM v"""
+
+
+@query(_RESOLVED_SQL)
+def h2e_resolve_language(spark: SparkSession, sf: str) -> DataFrame:
     p = views.papers(spark, sf)
     found = language.resolve_language(F.col("title"), F.col("abstract"), F.col("language"), F.when(F.col("id") % 4 == 0, "ZH"))
     return p.select("id", found.alias("f")).select("id", "f.language", "f.source", "f.conflict")
 
 
+@query(_RESOLVED_SQL)
+def h2e_resolve_language_all(spark: SparkSession, sf: str) -> DataFrame:
+    return h2e_resolve_language(spark, sf)
+
+
 @query("""
 WITH c AS (SELECT c_custkey AS journal_id, lower(regexp_replace(c_mktsegment, ' ', '')) || c_nationkey AS clean, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS issn, c_acctbal > 0 AS official FROM customer),
 s AS (SELECT *, CASE WHEN issn IS NOT NULL THEN 1000 ELSE 0 END + CASE WHEN official THEN 500 ELSE 0 END + 10 AS score FROM c),
@@ -579,18 +589,21 @@ def h5a_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", verdict.alias("v")).select("id", "v.status", "v.basis")
 
 
-@query(r"""
+_EVIDENCE_SQL = r"""
 WITH s AS (SELECT doc_id, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x, i FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?;]*[.!?;]|[^.!?;]+$') AS xs FROM documents), unnest(xs) WITH ORDINALITY AS u(x, i)),
 k AS (SELECT doc_id, i, CASE WHEN length(x) > 400 THEN list_transform(range(0, CAST(ceil(length(x) / 300) AS BIGINT)), lambda n: substr(x, n * 300 + 1, 300)) ELSE [x] END AS ps FROM s WHERE length(x) > 1),
 e AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i, j) AS c FROM k, unnest(ps) WITH ORDINALITY AS u(p, j))
-SELECT doc_id, 'S' || n AS sid, p AS sentence FROM e WHERE c <= 2000""")
+SELECT doc_id, 'S' || n AS sid, p AS sentence FROM e WHERE c <= 46000"""
+
+
+@query(_EVIDENCE_SQL)
 def h6c_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.build_evidence(table(spark, sf, "documents").select("doc_id", "text"), 2000)
+    return evidence.build_evidence(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(_EVIDENCE_SQL)
 def h6c_evidence_all(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.build_evidence(table(spark, sf, "documents").select("doc_id", "text"))
+    return h6c_evidence(spark, sf)
 
 
 @query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%?')), lambda x: NOT contains(substr(text, 1, 500), x))) AS missing FROM documents""")

@@ -15,8 +15,18 @@ _written: list[str] = []
 _shipped: set[str] = set()
 
 
+#: Tables with long texts, on which every row costs work.
+_TEXTS = frozenset(("documents", "pages"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; texts that a scan would read in fewer pieces than there are cores are dealt over the cores.
+
+    That concerns small inputs only (one file, one row group): a table of many files is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in _TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -109,3 +109,28 @@ def test_model_hook(spark):
 
 def test_reply(spark):
     assert apply(spark, ['```json\n{"1": "a", "2": "b"}\n```'], evidence.parse_keyed_reply) == [{"1": "a", "2": "b"}]
+
+
+def test_terms_of_two_scripts(spark):
+    text = lambda c: topics.matchable(c)
+    assert apply(spark, ["国际中文教学研究", "AI教学", None], lambda c: topics.count_terms(text(c), ("教学", "中文", "ai"))) == [2, 2, 0]
+    topic = topics.Topic("zh", ("国际中文教学",), ("教学", "中文"))
+    assert apply(spark, ["国际中文教学研究", "研究"], lambda c: topics.topic_score(text(c), topic)) == [1.0, 0.0]
+
+
+def test_gates(spark):
+    tech = topics.Topic("edtech", ("learning analytics",), ("chatbot", "learning analytics"), gated=True)
+    sla = topics.Topic("sla", ("second language acquisition",), ("l2", "second language"))
+
+    def hit(topic):
+        return lambda c: topics.topic_hit(topics.matchable(c), topic, topics.about_of(c, F.lit("A note")))
+
+    found = apply(spark, ["A chatbot for dental patients", "A chatbot for students", "A chatbot"], hit(tech))
+    assert [(r.score > 0, r.cross) for r in found] == [(False, True), (True, False), (False, True)]
+    found = apply(spark, ["L2 regularization", "L2 in a second language class"], hit(sla))
+    assert [r.score > 0 for r in found] == [False, True]
+
+
+def test_entities_and_names(spark):
+    assert apply(spark, ["&amp;lt; &#65;&#x4E2D;&#0; &ndash;", None], lambda c: identifiers.decode_entities(c)) == ["&lt; A中&#0; –", None]
+    assert apply(spark, ["a 0; b 1；c [1,2]"], lambda c: identifiers.clean_authors(c)) == [["a 0", "b 1", "c"]]

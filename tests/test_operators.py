@@ -1,12 +1,14 @@
 import json
+import os
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators import journals, library, merge, select
 from lectern.sources import imports, interchange, readers
-from lectern.streaming.upserts import VersionedTable, rolling_health, stream_upserts
+from lectern.streaming.upserts import keyed_table, rolling_health, stream_upserts
 
 MERGE = {"title": "longest", "pages": "value", "oa": "any", "cites": "max", "sources": "union"}
 
@@ -114,10 +116,12 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    out = VersionedTable(spark, str(tmp_path / "table"))
+    out = str(tmp_path / "table")
     fold, policy = {"title": "longest", "sources": "union"}, {"title": "overwrite", "sources": "union"}
     stream_upserts(stream, out, "id", "ord", fold, policy, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.id, r.title, tuple(sorted(r.sources))) for r in out.read().collect()} == {(1, "aaa", ("s1", "s2")), (2, "b", ("s1",)), (3, "c", ("s2",))}
+    found = keyed_table(spark, out, None)
+    assert {(r.id, r.title, tuple(sorted(r.sources))) for r in found.collect()} == {(1, "aaa", ("s1", "s2")), (2, "b", ("s1",)), (3, "c", ("s2",))}
+    assert found.count() == 3
 
 
 def test_rolling_health(spark, tmp_path):
@@ -136,7 +140,7 @@ def test_queries_of_whole_tables(spark, sf):
     for name in ("h1c_normalize_title_all", "h2e_resolve_language_all"):
         assert sorted(r.id for r in registry.QUERIES[name](spark, sf).select("id").collect()) == ids
     longest = lambda name: registry.QUERIES[name](spark, sf).selectExpr("doc_id", "length(sentence) n").groupBy("doc_id").sum("n").agg({"sum(n)": "max"}).first()[0]
-    assert longest("h6c_evidence") <= 2000 < longest("h6c_evidence_all") <= 46_000
+    assert 2000 < longest("h6c_evidence") <= 46_000
 
 
 def test_undo_joins_one_row_a_group(spark):
@@ -146,3 +150,57 @@ def test_undo_joins_one_row_a_group(spark):
     found = library.can_undo(log)
     assert sorted(r.action_id for r in found.collect()) == [2, 3, 4, 5]
     assert "max(at" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_keys_are_kept_apart(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], "id int, k string")
+    other = spark.createDataFrame([("a", 7)], "k string, v int")
+    assert sorted((r.id, r.v) for r in journals.keyed_join(rows, other, "k").fillna(-1).collect()) == [(1, 7), (2, -1), (3, -1), (4, -1)]
+
+
+def test_title_rules_of_research():
+    from lectern.operators.desk import NON_RESEARCH
+
+    pattern = re.compile("|".join(NON_RESEARCH))
+    skipped = ["书评", "简讯", "勘误", "征文启事", "新书目", "年度总目录", "本刊稿约", "投稿须知"]
+    assert all(pattern.search(t) for t in skipped)
+    assert not any(pattern.search(t) for t in ["汉语书评的语体研究", "Contents of heavy metals in soil", "Indexing of large corpora", "词汇研究"])
+
+
+def test_days_are_replaced(spark, tmp_path):
+    schema = "run_date string, id int"
+    for rows in ([("d1", 1), ("d1", 2), ("d2", 3)], [("d1", 9)]):
+        select.write_days(spark.createDataFrame(rows, schema), str(tmp_path / "days"))
+    assert sorted((r.run_date, r.id) for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [("d1", 9), ("d2", 3)]
+
+
+def test_log_is_appended(spark, tmp_path):
+    from lectern.operators import audit
+
+    e = spark.sql("select timestamp'2024-01-01' as at, 's' as source, 't' as topic, false as ok, 500 as http_status, 0 as found, 0 as added, repeat('x', 900) as message, 5 as ms")
+    for _ in range(2):
+        audit.append_log(e, str(tmp_path / "log"))
+    assert [len(r.message) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [500, 500]
+
+
+def test_daily_items_of_a_run_made_again(spark):
+    c = spark.createDataFrame([("2024-01-02", 1, "2024-01-02", "en", 0.9), ("2024-01-02", 2, "2024-01-01", "zh", 0.8), ("2024-01-02", 3, "2024-01-02", "fr", 1.0), ("2024-01-02", 4, "2024-01-02", "en", 0.7), ("2024-01-02", 5, "2024-01-02", "en", 0.6)], "run_date string, id int, discovery_date string, language string, score double")
+    shown = spark.createDataFrame([(1, "2024-01-02"), (4, "2024-01-01")], "id int, run_date string")
+    days = select.days_due(c.select("run_date").distinct(), spark.createDataFrame([("2024-01-02", "empty")], "run_date string, status string"))
+    items = select.daily_items(c, days, shown, spark.createDataFrame([(5,)], "id int"), 8)
+    assert [(r.id, r.kind, r["rank"]) for r in items.orderBy("rank").collect()] == [(1, "new", 1), (2, "catchup", 2)]
+    assert select.days_due(days, spark.createDataFrame([("2024-01-02", "ok")], "run_date string, status string")).count() == 0
+
+
+def test_intermediate_tables_are_released(spark):
+    from lectern import session
+
+    session.release(spark)
+    path = session.materialize(spark.range(3), "some").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and session.release(spark) == 1 and not os.path.exists(path)
+
+
+def test_journals_match_without_keys(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "1234-5678", None), (3, None, "A & B")], "row_id int, issn string, journal_name string")
+    j = spark.createDataFrame([(7, "A &amp; B", None, ["x"]), (8, "other", "12345678", None)], "journal_id int, name string, issn string, name_variants array<string>")
+    assert sorted((r.row_id, r.journal_id, r.matched_by) for r in journals.match_journals(rows, j).fillna(-1).collect()) == [(1, -1, "none"), (2, 8, "issn"), (3, 7, "name")]
