@@ -320,7 +320,8 @@ def train(documents: DataFrame, usable) -> Models:
     """Models and their calibration from rows with text and lang; `usable` is a condition on rows.
 
     All usable rows are counted but those that calibrate: of each language about CALIBRATION_ROWS, at most a fifth, by a
-    hash of doc_id; of one with less than five rows none.  Without any counted row every text is `und`.
+    hash of doc_id; of one with less than five rows none.  Whole texts count, however long; rows with a null text or lang
+    teach nothing, repeated rows teach as often as they stand.  Without any counted row every text is `und`.
     """
     ship(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -366,7 +367,9 @@ def _calibrate(models: Models, seen) -> None:
 def predict(documents: DataFrame, models: Models, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and the columns `keep` with lang_pred, score, entropy, margin, size, rejected; from text alone.
 
-    A null text or one without a letter is `und`, score 0, rejected.  Rows stay rows: repeated ones are judged alike.
+    A null text or one without a letter is `und`, score 0, rejected.  Whole texts count, however long; of languages that
+    explain a text equally well the first by name is taken.  Rows stay rows: repeated ones are judged alike, a null doc_id
+    as any; no documents give no rows; columns beside doc_id, text and `keep` are ignored, whatever they are called.
     """
     ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(models)

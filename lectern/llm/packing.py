@@ -261,5 +261,10 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, width: int = CLASS_WIDTH,
 
 
 def pack_documents(documents: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """Cut and pack: a null text is empty and so has the end id alone."""
+    """Cut and pack: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
+
+    A null or empty text has the end id alone; whole texts count, however long, in pieces of at most `sequence` ids.
+    Repeated rows, and those without doc_id, are packed each; pieces of one size are ranked by all their columns, so equal
+    ones may change places without a difference; no documents give no rows; columns beside doc_id and text are ignored.
+    """
     return pack(materialize(cut_documents(documents, path, sequence=sequence), "pieces"), sequence)

@@ -1,7 +1,7 @@
 """Exact top-k inner-product search.
 
 Queries and candidates are dealt into a grid: candidate shards of at most `shard_rows` vectors, query blocks of at most
-`query_rows`.  Each cell multiplies its two matrices tile by tile and keeps the k best of each query; the lists of the
+`query_rows`, and fewer of long vectors, so that neither matrix is larger than CELL_BYTES.  Each cell multiplies its two matrices tile by tile and keeps the k best of each query; the lists of the
 shards are then merged as a tree, `FAN_IN` lists at a time, so that no task sees more than FAN_IN * k rows of a query.
 """
 
@@ -18,12 +18,17 @@ from lectern.session import ship
 
 FAN_IN = 16
 TILE_CELLS = 2_000_000
+CELL_BYTES = 64_000_000  # of a matrix of longs in a cell; products take float copies of it
 LONG = 2**63 - 1
 TILE_SCHEMA = "query_id long, vec_id long, score long, shard int"
 
 
 def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x), x as double; rows without id, vector or a finite component go."""
+    """(vec_id, v array<long>): floor(scale * x), x as double.
+
+    Rows without id or vector, or with a component that is null or not finite, go; an empty vector is one of dimension 0;
+    repeated rows stay; columns beside vec_id and embedding are ignored.
+    """
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return (
@@ -96,11 +101,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard_rows: in
     Both inputs are (vec_id long, v array<long>), as quantise() makes them.  A candidate with the query's own id is
     never its result; candidates of another dimension than the query's are not compared; rows that repeat a vec_id count
     as one, with the best of their scores; fewer than k candidates give fewer rows; no queries or no candidates, none.
-    Scores beyond 64 bits stay at the largest long.
+    Scores beyond 64 bits stay at the largest long.  Vectors may be of any length; other columns are ignored.
     """
     spark = candidates.sparkSession
     ship(spark)
-    n, n_queries = candidates.count(), queries.count()
+    sizes = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first() for df in (candidates, queries)]
+    (n, _), (n_queries, _) = sizes
+    fitting = max(1, CELL_BYTES // (8 * max(1, *(d for _, d in sizes))))
+    shard_rows, query_rows, least_shard_rows = min(shard_rows, fitting), min(query_rows, fitting), min(least_shard_rows, fitting)
     cores = spark.sparkContext.defaultParallelism
     shards = max(1, math.ceil(n / shard_rows), min(2 * cores, math.ceil(n / least_shard_rows)))
     blocks = max(1, math.ceil(n_queries / query_rows))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 GRAMS = (3, 4)
-ITERATIONS = 15
+ITERATIONS = 20
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -83,9 +83,10 @@ def fit(spark: SparkSession, urls: list[tuple[str, int, str]] | None = None) ->
     """Weights by bucket and the intercept, from the labelled table (of bounded size, so one partition)."""
     labelled = spark.createDataFrame([(u, y) for u, y, _ in urls or labelled_urls()], "url string, label int")
     rows = labelled.select("label", buckets_of(host_of(F.col("url")), path_of(F.col("url"))).alias("found")).collect()
-    table = [(float(r.label), Vectors.sparse(BUCKETS, sorted(r.found), [1.0] * len(r.found))) for r in rows]
-    learner = LogisticRegression(regParam=0.003, maxIter=ITERATIONS, standardization=False)
-    model = learner.fit(spark.createDataFrame(table, ["label", "features"]).coalesce(1))
+    each = len(rows) / (2 * max(1, sum(r.label for r in rows))), len(rows) / (2 * max(1, sum(1 - r.label for r in rows)))
+    table = [(float(r.label), each[1 - r.label], Vectors.sparse(BUCKETS, sorted(r.found), [1.0] * len(r.found))) for r in rows]
+    learner = LogisticRegression(regParam=0.002, maxIter=ITERATIONS, standardization=False, weightCol="weight")  # both labels weigh the same
+    model = learner.fit(spark.createDataFrame(table, ["label", "weight", "features"]).coalesce(1))
     return [float(w) for w in model.coefficients], float(model.intercept)
 
 
@@ -111,7 +112,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, fitted: tuple[list[float], float] | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = 0.55, fitted: tuple[list[float], float] | None = None) -> DataFrame:
     """(page_id, host, path, rule, spam_score, verdict) of every row.
 
     A null url or one without `://` has an empty host and path and so no rule; the model alone judges it.  Whole urls count,

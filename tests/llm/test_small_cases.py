@@ -49,6 +49,10 @@ def test_top_k(spark):
     q = topk.quantise(vectors(spark, rows))
     found = topk.top_k(q.where("vec_id % 50 = 0"), q, k=7, shard_rows=32, query_rows=3)
     assert sorted(map(tuple, found.collect())) == brute_top(rows, 7, 50)
+    topk.CELL_BYTES, before = 8 * 4 * 5, topk.CELL_BYTES  # five vectors of four to a matrix
+    again = topk.top_k(q.where("vec_id % 50 = 0").withColumn("rank", F.lit("x")), q.withColumn("query_id", F.lit("y")), k=7)
+    topk.CELL_BYTES = before
+    assert sorted(map(tuple, again.collect())) == brute_top(rows, 7, 50)
     assert topk.top_k(q.where("false"), q).count() == 0
     assert topk.top_k(q, q.where("false")).count() == 0
 
@@ -177,6 +181,8 @@ def test_packing(spark):
         assert at <= 4096
     assert sorted(by) == list(range(len(by)))
     assert packing.pack_documents(docs(spark, []), path).count() == 0
+    clash = docs(spark, rows[:6]).withColumn("start", F.lit("x")).withColumn("length", F.lit(None).cast("int"))
+    assert packing.pack_documents(clash, path).agg(F.sum("length")).first()[0] == sum(len(own.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows[:6])
 
 
 def test_patterns_hold_the_demand():
@@ -215,6 +221,10 @@ def test_language_id(spark, sf):
     assert [found[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and found[4].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in found.values()) and found[5].lang_pred == "en"
     assert langid.predict(docs(spark, []), models).count() == 0
+    clash = docs(spark, rows).withColumn("lang_pred", F.lit("zz")).withColumn("size", F.lit(1))
+    assert sorted(map(str, langid.predict(clash, models).collect())) == sorted(map(str, langid.predict(docs(spark, rows), models).collect()))
+    twin = models.entropy(["the and of the", "the and of the"])[0]
+    assert (twin[0] == twin[1]).all() and models.judge(["the and of"] * 2)[0] == models.judge(["the and of"])[0]
     none = langid.train(d.where("false"), ~held)
     assert {r.lang_pred for r in langid.predict(docs(spark, rows), none).collect()} == {"und"}
 
@@ -312,7 +322,7 @@ def test_url_filter(spark):
 
 def test_url_model_on_held_out_urls(spark):
     blocked, allowed, n = url_filter.held_out_accuracy(spark)
-    assert n > 200 and blocked > 0.75 and allowed > 0.9
+    assert n > 200 and blocked > 0.65 and allowed > 0.95
     assert not set(url_filter.BAD_WORDS) & set(url_filter.GOOD_WORDS)
 
 
@@ -432,13 +442,13 @@ def brute_components(rows, n, percent):
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
         sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
-    of = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                    of[a] = of[b] = min(of[a], of[b])
+    linked = lambda a, b: (both := len(sets[a] & sets[b])) and 100 * both >= percent * len(sets[a] | sets[b])
+    links = [(a, b) for a in sets for b in sets if a < b and linked(a, b)]
+    of, before = {i: i for i in sets}, None
+    while before != of:
+        before = dict(of)
+        for a, b in links:
+            of[a] = of[b] = min(of[a], of[b])
     return sorted((i, len(sets[i]), of[i], of[i] == i) for i in sets)
 
 
