@@ -13,6 +13,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.language import let
+
 BUCKETS = 4096
 GRAMS = (3, 4)
 ITERATIONS = 20
@@ -67,15 +69,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _grams(text: Column, mark: str, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+def _grams(text: Column, mark: str) -> Column:
+    """All n-grams of a text, marked; from its characters as an array, so that a long text takes time in proportion."""
+    of = lambda c, n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.concat_ws("", F.lit(mark), *(F.get(c, i + k) for k in range(n))))
+    return let(F.split(text, ""), lambda c: F.concat(*(of(c, n) for n in GRAMS)))
 
 
 def buckets_of(host: Column, path: Column) -> Column:
     """Bucket numbers of the distinct n-grams of host and path, each marked as its part's; a number is one sign."""
     parts = (F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.regexp_replace(path, "[0-9]+", "0"), F.lit("#")))
-    grams = [_grams(text, mark, n) for mark, text in zip("hp", parts, strict=True) for n in GRAMS]
+    grams = [_grams(text, mark) for mark, text in zip("hp", parts, strict=True)]
     return F.array_distinct(F.transform(F.concat(*grams), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
 
 
