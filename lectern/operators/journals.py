@@ -193,6 +193,23 @@ def verification_label(status: Column, basis: Column, tags: Column) -> Column:
     return F.struct(kind.alias("status"), (kind == "official").alias("official"), headline.alias("headline"), evidence.alias("evidence"))
 
 
+#: Beginnings of the notes on a journal's standing (fixed values).
+NOTES = {"eligible": "期刊条件满足（官方目录已核验）：", "reference": "参考候选（非官方目录）：", "pending": "期刊条件暂不能确认：", "excluded": "该刊在你的排除名单中，不会进入简报。"}
+
+
+def note_of(status: Column, missing: Column) -> Column:
+    """The note that tells a standing and what is missing for more."""
+    begin = F.element_at(F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair)), status)
+    return F.concat(begin, F.coalesce(missing, F.lit("")))
+
+
+def refresh_notes(judged: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, note, changed) of papers judged anew beside the notes they have (id, note), and one row with how many change."""
+    made = judged.select("id", note_of(F.col("status"), F.col("missing")).alias("note")).join(notes.select("id", F.col("note").alias("__old")), "id", "left")
+    rows = made.select("id", "note", (~F.col("note").eqNullSafe(F.col("__old"))).alias("changed"))
+    return rows, rows.agg(F.count(F.lit(1)).alias("papers"), F.count_if("changed").alias("changed"))
+
+
 def changed_since(snapshots: DataFrame, current: DataFrame) -> DataFrame:
     """snapshots (paper_id, status) of a past run with whether a paper's standing is another one now."""
     return snapshots.join(current.select(F.col("id").alias("paper_id"), F.col("status").alias("now")), "paper_id", "left").withColumn("changed", ~F.col("status").eqNullSafe(F.col("now")))

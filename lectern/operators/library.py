@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.identifiers import fingerprint, normalize_doi
+from lectern.operators.journals import keyed_join
 
 
 def latest_judgments(log: DataFrame) -> DataFrame:
@@ -131,3 +132,14 @@ def undo(rows: DataFrame, log: DataFrame, action: int, kind: str, ident: str = "
     before = log.where((F.col("action_id") == action) & (F.col("kind") == kind)).select(F.col("subject").alias(ident), F.col("before").alias("__before"), F.lit(True).alias("__hit"))
     restored = F.when(F.col("__hit"), F.col("__before").cast(dict(rows.dtypes)[kind])).otherwise(F.col(kind))
     return rows.join(before, ident, "left").withColumn(kind, restored).select(*rows.columns)
+
+
+def reading_states(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """rows (subject, doi, linked) of all streams with the state of their work: that of the paper a row is linked to, else
+    the newest under its DOI, else its own.  states: (subject, doi, state, at); keys that are missing join with nothing."""
+    newest = lambda key, name: states.where(key.isNotNull()).groupBy(key.alias(f"__{name}")).agg(F.max_by("state", F.struct("at", "state")).alias(f"__{name}_state"))
+    by_doi = F.concat(F.lit("doi:"), normalize_doi(F.col("doi")))
+    wanted = rows.withColumns({"__linked": F.col("linked"), "__doi": by_doi, "__own": F.col("subject")})
+    for name, key in (("linked", F.col("subject")), ("doi", by_doi), ("own", F.col("subject"))):
+        wanted = keyed_join(wanted, newest(key, name), f"__{name}")
+    return wanted.select(*rows.columns, F.coalesce("__linked_state", "__doi_state", "__own_state").alias("state"))

@@ -398,3 +398,30 @@ def a30_seed_journals(spark: SparkSession, sf: str) -> DataFrame:
 def a31_catalog_loads(spark: SparkSession, sf: str) -> DataFrame:
     loads = table(spark, sf, "part").select(F.col("p_brand").alias("catalog"), F.col("p_size").alias("edition"), F.lit(1).alias("rows"), F.col("p_partkey").alias("at"), F.col("p_partkey").alias("load_id"))
     return journals.load_registry(loads).select("catalog", "edition", "at", "loads")
+
+
+@query(f"""WITH {_REVALIDATED_SQL}, n2 AS (SELECT ve.id, ve.status, CASE ve.status WHEN 'eligible' THEN '期刊条件满足（官方目录已核验）：' WHEN 'reference' THEN '参考候选（非官方目录）：official list' WHEN 'excluded' THEN '该刊在你的排除名单中，不会进入简报。' ELSE '期刊条件暂不能确认：' || CASE WHEN ve.journal_id IS NULL THEN 'journal' WHEN ve.language = 'zh' THEN 'chinese list' WHEN coalesce(rv.esci_only, false) THEN 'emerging list only' WHEN NOT coalesce(rv.ssci, false) THEN 'ssci' ELSE 'rank' END END AS note FROM ve JOIN rv ON rv.id = ve.id)
+SELECT id, note, id % 2 = 0 OR note <> '期刊条件暂不能确认：ssci' AS changed FROM n2""")
+def h5d_refresh_notes(spark: SparkSession, sf: str) -> DataFrame:
+    judged = _revalidated(spark, sf)
+    before = judged.where("id % 2 = 1").select("id", F.lit("期刊条件暂不能确认：ssci").alias("note"))
+    return journals.refresh_notes(judged, before)[0]
+
+
+@query(f"""WITH {PAPERS_SQL}, a AS (SELECT *, id % 4 = 0 AS picked, row_number() OVER (PARTITION BY journal_id ORDER BY id % 4 = 0, discovery_date DESC, id) AS n FROM p) SELECT id, journal_id, '{TODAY}' AS last_picked FROM a ORDER BY n > 1, picked, discovery_date DESC, id LIMIT 40""")
+def e9_stamped_picks(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.papers(spark, sf).select("id", "journal_id", "discovery_date")
+    return select.first_per_journal(p, "journal_id", F.col("id") % 4 == 0, F.col("discovery_date"), "id", 40, TODAY).select("id", "journal_id", "last_picked")
+
+
+@query("""WITH r AS (SELECT 'p' || p_partkey AS subject, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 50 END AS d, CASE WHEN p_partkey % 4 = 0 THEN 'p' || (p_partkey % 20) END AS linked FROM part),
+s AS (SELECT 'p' || p_partkey AS subject, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 50 END AS d, 's' || p_size AS state, p_partkey AS t FROM part WHERE p_partkey % 5 <> 0),
+o AS (SELECT subject, arg_max(state, t) AS v FROM s GROUP BY 1), e AS (SELECT d, arg_max(state, t) AS v FROM s WHERE d IS NOT NULL GROUP BY 1)
+SELECT r.subject, linked, coalesce(l.v, e.v, o.v) AS state FROM r LEFT JOIN o l ON l.subject = linked LEFT JOIN e ON e.d = r.d LEFT JOIN o ON o.subject = r.subject""")
+def c18_reading_states(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    subject, doi = F.concat(F.lit("p"), k.cast("string")), lambda ok: F.when(ok, F.concat(F.lit("10.1000/"), (k % 50).cast("string")))
+    p = table(spark, sf, "part")
+    rows = p.select(subject.alias("subject"), doi(k % 3 == 0).alias("doi"), F.when(k % 4 == 0, F.concat(F.lit("p"), (k % 20).cast("string"))).alias("linked"))
+    states = p.where("p_partkey % 5 <> 0").select(subject.alias("subject"), doi(k % 2 == 0).alias("doi"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("state"), k.alias("at"))
+    return library.reading_states(rows, states).select("subject", "linked", "state")
