@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.repeats import keyed
@@ -70,19 +70,30 @@ def places(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def prefixes(found: DataFrame, windows: DataFrame) -> DataFrame:
-    """(item_id, window, length, h, offset), written: of each window the shingle that is rarest in the documents."""
+    """(key, item_id, window, length, h, offset, other_h, other_offset), written, of each window that may stand somewhere.
+
+    h is the shingle that is rarest in the documents, other_h the rarest one that has no word in common with it (null for
+    short windows); a window with a shingle that stands nowhere stands nowhere.
+    """
     spread = windows.select("item_id", "window", "length", F.explode("shingles").alias("s")).select("item_id", "window", "length", "s.h", "s.offset")
     counts = found.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarity = spread.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("item_id", "window").orderBy("n", "h", "offset"))
-    return materialize(rarity.withColumn("rank", rank).where("rank = 1 and n > 0").select("item_id", "window", "length", "h", "offset"), "prefixes")
+    lists = rarity.groupBy("item_id", "window", "length").agg(F.array_sort(F.collect_list(F.struct("n", "h", "offset"))).alias("by_rarity"))  # at most a window's shingles
+    first = F.get("by_rarity", 0)
+    other = F.get(F.filter("by_rarity", lambda x: F.abs(x["offset"] - first["offset"]) >= SHINGLE), 0)
+    kept = lists.where(first["n"] > 0).select(F.xxhash64("item_id", "window").alias("key"), "item_id", "window", "length", first["h"].alias("h"), first["offset"].alias("offset"), other["h"].alias("other_h"), other["offset"].alias("other_offset"))
+    return materialize(kept, "prefixes")
 
 
 def hits(rows: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
     """(row, n_hit, spans, items), written, of the documents in which a window stands."""
-    start = F.col("pos") - F.col("offset")
-    joined = found.where("h is not null").join(_bounded(prefixes(found, windows)), "h").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
-    candidates = materialize(joined.select("row", start.cast("int").alias("start"), "length", "window", "item_id"), "candidates")
+    needed = prefixes(found, windows)
+    start = (F.col("pos") - F.col("offset")).cast("int")
+    matched = found.where("h is not null").join(_bounded(needed.drop("item_id", "window")), "h").where((start >= 0) & (start + F.col("length") <= F.col("n_words"))).select("row", start.alias("start"), "key", "other_h", (start + F.col("other_offset")).alias("other_pos"))
+    standing = found.where("h is not null").select("row", F.col("pos").alias("other_pos"), F.col("h").alias("other_h"))
+    both = matched.where("other_h is not null").join(standing, ["row", "other_pos", "other_h"], "left_semi").unionByName(matched.where("other_h is null"))
+    joined = both.select("row", "start", "key").join(_bounded(needed.select("key", "item_id", "window", "length")), "key")
+    candidates = materialize(joined.select("row", "start", "length", "window", "item_id"), "candidates")
     lists = candidates.groupBy("row").agg(F.collect_list(F.struct("start", "length", "window", "item_id")).alias("candidates"))
     texts = rows.select("row", "text").join(_bounded(materialize(lists, "candidates")), "row").select("row", words_of(F.col("text")).alias("w"), "candidates")
     same = lambda c: fold(F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ")) == c["window"]
