@@ -29,6 +29,7 @@ ROWS = 4  # MinHash samples a band
 MISS = 1e-8  # chance that a pair right at the threshold shares no band
 SKETCH_LONGS = 4
 PARITY_LONGS = 8  # of the odd sketch of the whole set
+PAIRS = 100  # pairs whose texts a task holds as sets at a time, at most
 BLOCK = 4_000  # classes of a bucket that one task compares with as many others
 #: Ids of documents to confirm that are broadcast at most (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -38,6 +39,14 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
+def _slices(batch: pa.RecordBatch, rows: int):
+    """A batch's rows, a thousand of them as Python objects at a time at most, and their texts in bytes, about CHUNK of them."""
+    for begin in range(0, batch.num_rows, rows):
+        own = batch.slice(begin, rows)
+        for at, texts in chunks(own.column("text").to_pylist(), rows):
+            yield own.slice(at, len(texts)), texts
+
+
 def _signatures(n: int, bands: int):
     rng = np.random.default_rng(8)
     samples = bands * ROWS
@@ -50,8 +59,7 @@ def _signatures(n: int, bands: int):
 
     def run(batches):
         for batch in batches:
-            for at, texts in chunks(batch.column("text").to_pylist(), 1000):
-                part = batch.slice(at, len(texts))
+            for part, texts in _slices(batch, 1000):
                 made = Shingles(texts, n)
                 sets = made.sets
                 sizes = np.array([len(s) for s in sets])
@@ -104,16 +112,17 @@ def most_bits(percent: int, bands: int) -> int:
 def _confirm(n: int, percent: int):
     def run(batches):
         for batch in batches:
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
             keep = []
-            for at, texts in chunks(right, 200):
-                firsts = left[at : at + len(texts)]
-                places: dict[str | None, int] = {}
-                of = [places.setdefault(x, len(places)) for x in firsts]
-                sets = Shingles([*((x or "").encode("utf-8", "surrogatepass") for x in places), *texts], n).sets
-                for i, mine in zip(of, sets[len(places) :], strict=True):
-                    both = len(np.intersect1d(sets[i], mine, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(sets[i]) + len(mine) - both))
+            for begin in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(begin, PAIRS)
+                left = part.column("text_a").to_pylist()
+                for at, texts in chunks(part.column("text_b").to_pylist(), PAIRS):
+                    places: dict[str | None, int] = {}
+                    of = [places.setdefault(x, len(places)) for x in left[at : at + len(texts)]]
+                    sets = Shingles([*((x or "").encode("utf-8", "surrogatepass") for x in places), *texts], n).sets
+                    for i, mine in zip(of, sets[len(places) :], strict=True):
+                        both = len(np.intersect1d(sets[i], mine, assume_unique=True))
+                        keep.append(both > 0 and 100 * both >= percent * (len(sets[i]) + len(mine) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -89,13 +89,13 @@ def digest_of(word: bytes) -> bytes:
     """A word's 128-bit BLAKE2b digest, remembered for the words met last."""
     found = _digests.get(word)
     if found is None:
-        if len(_digests) > 300_000:
+        if len(_digests) > 100_000:
             _digests.clear()
         found = _digests[word] = blake2b(word, digest_size=16).digest()
     return found
 
 
-def chunks(texts: list[str | None], rows: int, size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[str | None], rows: int, size: int = CHUNK // 2) -> Iterator[tuple[int, list[bytes]]]:
     """Texts as bytes, up to `rows` and about `size` bytes at a time, and the place of the first of them."""
     at, held, n = 0, [], 0
     for i, text in enumerate(texts):
@@ -122,7 +122,7 @@ class Shingles:
         lists = [[number(w, len(numbers)) for w in t.lower().split()] for t in texts]
         self.n, self.known = n, list(numbers)
         self.begins = np.cumsum([0, *map(len, lists)])
-        self.words = np.fromiter((w for own in lists for w in own), np.int64, int(self.begins[-1]))
+        self.words = np.concatenate([np.zeros(0, np.int64), *(np.array(own, np.int64) for own in lists)])
         codes = self._codes(len(numbers))
         short: dict[tuple[int, ...], int] = {}
         self.sets, self.first = [], []
