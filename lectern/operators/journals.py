@@ -24,11 +24,12 @@ def index_databases(value: Column, catalog: Column) -> Column:
     return F.struct(listed.alias("databases"), ssci.alias("ssci"))
 
 
-def keyed_join(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """A left join on a key that many rows lack: those without it don't meet in one task but are added after."""
-    without = [F.lit(None).cast(t).alias(c) for c, t in other.dtypes if c != key]
-    joined = rows.where(F.col(key).isNotNull()).join(other, key, "left")
-    return joined.unionByName(rows.where(F.col(key).isNull()).select("*", *without))
+def keyed_join(rows: DataFrame, other: DataFrame, key: str, salts: int = 1024) -> DataFrame:
+    """A left join on a key that many rows lack: those without it are dealt over `salts` parts instead of meeting in one task."""
+    hashed = [c for c, t in rows.dtypes if "map<" not in t]
+    salted = rows.withColumn("__salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*hashed), F.lit(salts))).otherwise(0))
+    plain = other.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(1)))  # 0, but no constant, which the optimizer would take out of the keys
+    return salted.join(plain, [key, "__salt"], "left").drop("__salt").select(*rows.columns, *(c for c in other.columns if c != key))
 
 
 def match_journals(rows: DataFrame, journals: DataFrame) -> DataFrame:

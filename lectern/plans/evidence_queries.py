@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates, domain, evidence, topics
 from lectern.functions.language import let
+from lectern.operators.annotate import Settings, annotate
 from lectern.plans import views
 from lectern.plans import queries
 from lectern.plans.queries import _NORMAL, ORACLES, query
@@ -295,3 +296,20 @@ def h6k_keyed_replies(spark: SparkSession, sf: str) -> DataFrame:
     c = views.table(spark, sf, "conversations")
     reply = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('```json\n{"a": "one '), F.col("turn").cast("string"), F.lit('", "b": "two"}\n```'))).otherwise("no reply")
     return c.select("conv_id", "turn", F.element_at(evidence.parse_keyed_reply(reply), F.lit("a")).alias("first"))
+
+
+# --- the whole annotation -------------------------------------------------------------------------------------------
+
+SETTINGS = Settings(topics=tuple(TOPICS), directions=tuple(DIRECTIONS), categories=CATEGORIES, designs=DESIGNS, empirical=("study", "dementia"), theory=("model", "研究"), ai=AI, pedagogy=PEDAGOGY, chinese=CHINESE)
+_VALUE_SQL = f"least(1.0, 0.35 * {_count_sql('lt', AI)} + 0.25 * {_count_sql('lt', PEDAGOGY)} + 0.3 * {_count_sql('lt', CHINESE)})"
+_METHOD_SQL = f"least(1.0, 0.3 * (CASE WHEN {_count_sql('lt', DESIGNS['survey'])} > 0 THEN 1 ELSE 0 END + CASE WHEN {_count_sql('lt', DESIGNS['experiment'])} > 0 THEN 1 ELSE 0 END) + CASE WHEN {_count_sql('lt', ('study', 'dementia'))} > 0 THEN 0.4 ELSE 0 END + CASE WHEN {_count_sql('lt', ('model', '研究'))} > 0 THEN 0.2 ELSE 0 END)"
+
+
+@query(f"""WITH {STUDIES_SQL}, q AS (SELECT id, title, title || ' ' || text AS text, discovery_date, citation_count FROM s), n AS (SELECT *, {_NORMAL.replace("title || ' ' || abstract", "text")} AS m, {_neutral_sql("text")} AS t, {_neutral_sql("title")} AS nt, lower(text) AS lt FROM q),
+g AS (SELECT *, {_DOMAIN_SQL} AS tier, {_EDU_SQL} AS e, {_OTHER_SQL} AS o, {_count_sql("lt", domain.CHINESE_FOCUS)} > 0 AS focus, date_diff('day', CAST(discovery_date AS DATE), DATE '{TODAY}') AS age FROM n),
+h AS (SELECT id, greatest({", ".join(_hit_sql(t)[0] for t in TOPICS)}) AS topic, {_METHOD_SQL} AS method, {_VALUE_SQL} AS value, CASE WHEN discovery_date LIKE '%-01-01' THEN 0.3 WHEN age < 0 THEN 0.2 WHEN age <= 7 THEN 1.0 WHEN age <= 30 THEN 0.85 WHEN age <= 90 THEN 0.6 WHEN age <= 365 THEN 0.35 ELSE 0.15 END AS fresh,
+  0.5 + CASE WHEN id % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.2 ELSE 0 END AS complete, least(1.0, log10(citation_count + 1) / 2) AS cite FROM g)
+SELECT id, CAST(topic AS DOUBLE) AS topic, CAST(round(method, 3) AS DOUBLE) AS method, CAST(round(value, 3) AS DOUBLE) AS value, CAST(round(0.34 * topic + 0.20 * fresh + 0.16 * method + 0.18 * value + 0.07 * round(complete, 3) + 0.05 * cite, 4) AS DOUBLE) AS score FROM h""")
+def h4k_annotated_papers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = studies(spark, sf).select("id", "title", F.col("text").alias("abstract"), F.when(F.col("id") % 2 == 0, "10.1/x").alias("doi"), F.lit(None).cast("string").alias("url"), (F.col("id") % 3 == 0).alias("open_access"), F.col("discovery_date").alias("published_online"), "citation_count")
+    return annotate(rows, SETTINGS, TODAY).select("id", "topic", F.round("method", 3).alias("method"), F.round("value", 3).alias("value"), "score")
