@@ -1,4 +1,8 @@
-"""Connected components of a graph in a DataFrame, by alternating large and small stars."""
+"""Connected components of a graph in a DataFrame, by alternating large and small stars.
+
+The joins bring the least neighbour, one row a node, to all links of the node: a node of very many links is a skewed key of
+one side only, which adaptive execution splits.
+"""
 
 from __future__ import annotations
 

@@ -1,7 +1,8 @@
 """Exact top-k inner-product search.
 
 Queries and candidates are dealt into a grid: candidate shards of at most `shard_rows` vectors, query blocks of at most
-`query_rows`, and fewer of long vectors, so that neither matrix is larger than CELL_BYTES.  Each cell multiplies its two matrices tile by tile and keeps the k best of each query; the lists of the
+`query_rows`, and fewer of long vectors, so that neither matrix is larger than CELL_BYTES.  Both sides of a cell are as large
+as they may be, since a candidate travels once for each block and a query once for each shard.  Each cell multiplies its two matrices tile by tile and keeps the k best of each query; the lists of the
 shards are then merged as a tree, `FAN_IN` lists at a time, so that no task sees more than FAN_IN * k rows of a query.
 """
 
@@ -95,7 +96,7 @@ def _cell(k: int):
     return run
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard_rows: int = 65_536, query_rows: int = 8_192, least_shard_rows: int = 2_048) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard_rows: int = 65_536, query_rows: int = 65_536, least_shard_rows: int = 2_048) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates by inner product, ties to the smaller vec_id.
 
     Both inputs are (vec_id long, v array<long>), as quantise() makes them.  A candidate with the query's own id is
