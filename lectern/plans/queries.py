@@ -677,9 +677,19 @@ def h2f_restore_language(spark: SparkSession, sf: str) -> DataFrame:
     return merge.restore_language(views.papers(spark, sf).select("id", F.col("language").alias("auto_language")), changes)
 
 
-@query()
+_HEADING = r"^(The|La|Der|Le) [^.]{1,60}$|^[^ ]+\.$"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+f AS (SELECT doc_id, 0 AS i, CAST([] AS STRUCT(heading VARCHAR, body VARCHAR)[]) AS done, '' AS heading, '' AS body, ls FROM l
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN opens AND body <> '' THEN list_append(done, struct_pack(heading := heading, body := body)) ELSE done END, CASE WHEN opens THEN trim(line) ELSE heading END,
+    CASE WHEN opens THEN '' WHEN body = '' THEN line ELSE body || chr(10) || line END, ls
+  FROM (SELECT *, ls[i + 1] AS line, regexp_matches(ls[i + 1], '{_HEADING}') AND (length(body) > 200 OR len(done) + length(body) = 0) AS opens FROM f WHERE i < len(ls))),
+e AS (SELECT doc_id, unnest(list_append(done, struct_pack(heading := heading, body := body))) AS s FROM f WHERE i = len(ls))
+SELECT doc_id, s.heading AS heading, length(s.body) AS n_chars FROM e WHERE length(s.body) > 40""")
 def h6i_sections(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.explode(evidence.detect_sections(F.col("text"), r"^(The|La|Der|Le) [^.]{1,60}$|^[^ ]+\\.$")).alias("s"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(evidence.detect_sections(F.col("text"), _HEADING)).alias("s"))
     return d.select("doc_id", "s.heading", F.length("s.text").alias("n_chars"))
 
 
