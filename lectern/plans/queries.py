@@ -340,7 +340,23 @@ def e3_quota_pick(spark: SparkSession, sf: str) -> DataFrame:
     return select.quota_pick(_scored(spark, sf), "discovery_date", "source", "score", "id", 5).select("discovery_date", "id", "source", "score", "rank")
 
 
-@query()
+#: The greedy pick as a recursion: a step for each turn and category of a tier's exploration, then one for each place left.
+_PICK_SQL = f"""WITH RECURSIVE {PAPERS_SQL}, r AS (SELECT id, substr(discovery_date, 1, 7) AS month, CASE WHEN discovery_date = '{TODAY}' THEN 'new' WHEN id % 3 = 0 THEN 'shown' ELSE 'catchup' END AS kind, language,
+    list_filter([CASE WHEN contains(abstract, 'the') THEN 'c1' END, CASE WHEN contains(abstract, 'der') THEN 'c2' END, CASE WHEN contains(abstract, 'la') THEN 'c3' END], lambda x: x IS NOT NULL) AS cats, CAST(round(citation_count % 1000 / 1000, 3) AS DOUBLE) AS score FROM p),
+  pool AS (SELECT month, list(struct_pack(id := id, kind := kind, language := language, cats := cats, score := score) ORDER BY score DESC, id) AS rows FROM r GROUP BY 1),
+  f AS (SELECT month, rows, 0 AS step, rows[1:0] AS chosen, rows[1:0] AS lefts, CAST([] AS VARCHAR[]) AS seen, 0 AS n1, 0 AS n2, 0 AS n3 FROM pool
+    UNION ALL SELECT month, rows, step + 1, CASE WHEN ix > 0 THEN list_append(chosen, took) ELSE chosen END, CASE WHEN ix > 0 THEN list_concat(now[1:ix - 1], now[ix + 1:]) ELSE now END, CASE WHEN ix > 0 THEN list_append(said, took.language) ELSE said END,
+      n1 + CASE WHEN ix > 0 AND list_contains(took.cats, 'c1') THEN 1 ELSE 0 END, n2 + CASE WHEN ix > 0 AND list_contains(took.cats, 'c2') THEN 1 ELSE 0 END, n3 + CASE WHEN ix > 0 AND list_contains(took.cats, 'c3') THEN 1 ELSE 0 END
+    FROM (SELECT *, CASE WHEN ix > 0 THEN now[ix] END AS took FROM (SELECT *, CASE WHEN len(chosen) >= 20 OR len(now) = 0 THEN 0
+        WHEN s < 6 THEN CASE WHEN [n1, n2, n3][s % 3 + 1] <= s // 3 THEN coalesce(list_position(list_transform(now, lambda x: list_contains(x.cats, 'c' || (s % 3 + 1))), true), 0) ELSE 0 END
+        ELSE list_position(worth, list_max(worth)) END AS ix
+      FROM (SELECT *, list_transform(now, lambda x: x.score - CAST(0.035 AS DOUBLE) * (CASE WHEN len(x.cats) > 0 THEN least(CASE WHEN list_contains(x.cats, 'c1') THEN n1 ELSE 9999 END, CASE WHEN list_contains(x.cats, 'c2') THEN n2 ELSE 9999 END, CASE WHEN list_contains(x.cats, 'c3') THEN n3 ELSE 9999 END) ELSE len(chosen) END) + CAST(0.10 AS DOUBLE) * (CASE WHEN list_contains(said, x.language) THEN 0 ELSE 1 END)) AS worth
+      FROM (SELECT *, step % 26 AS s, CASE WHEN step % 26 = 0 THEN list_filter(rows, lambda x: x.kind = ['new', 'catchup', 'shown'][step // 26 + 1]) ELSE lefts END AS now, CASE WHEN step % 26 = 0 THEN CAST([] AS VARCHAR[]) ELSE seen END AS said FROM f WHERE step < 78))))),
+  o AS (SELECT month AS day, unnest(chosen) AS c, generate_subscripts(chosen, 1) AS rank FROM f WHERE step = 78)
+SELECT day, c.id AS id, c.kind AS kind, c.language AS language, array_to_string(c.cats, ',') AS category_ids, c.score AS score, rank FROM o"""
+
+
+@query(_PICK_SQL)
 def e4_diverse_pick(spark: SparkSession, sf: str) -> DataFrame:
     p = views.papers(spark, sf)
     categories = F.filter(F.array(*(F.when(F.contains("abstract", F.lit(w)), c) for c, w in (("c1", "the"), ("c2", "der"), ("c3", "la")))), lambda c: c.isNotNull())
