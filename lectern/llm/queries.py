@@ -85,6 +85,19 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS t FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.size + nb.size - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS at_ FROM n UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.at_),
+m AS (SELECT doc_id, min(at_) AS component FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
@@ -97,5 +110,16 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+f AS (SELECT t, min(struct_pack(d := doc_id, i := i)) AS first FROM p GROUP BY t HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS q FROM p JOIN f USING (t) WHERE struct_pack(d := doc_id, i := i) <> first),
+k AS (SELECT r, i, x FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) AS a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.r = a.r AND c.q = a.i)),
+j AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM k GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN j USING (r)
+"""
+
+
 QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format, "op10_repeated_phrases": op10_repeated_phrases}
-ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL}
+ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op10_repeated_phrases": OP10_SQL}
