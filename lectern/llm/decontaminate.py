@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.language import let
 from lectern.llm.repeats import keyed
 from lectern.session import materialize
 
@@ -95,9 +96,10 @@ def hits(rows: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
     joined = both.select("row", "start", "key").join(_bounded(needed.select("key", "item_id", "window", "length")), "key")
     candidates = materialize(joined.select("row", "start", "length", "window", "item_id"), "candidates")
     lists = candidates.groupBy("row").agg(F.collect_list(F.struct("start", "length", "window", "item_id")).alias("candidates"))
-    texts = rows.select("row", "text").join(_bounded(materialize(lists, "candidates")), "row").select("row", words_of(F.col("text")).alias("w"), "candidates")
-    same = lambda c: fold(F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ")) == c["window"]
-    real = texts.select("row", F.filter("candidates", same).alias("hits")).where(F.size("hits") > 0)
+    texts = rows.select("row", "text").join(_bounded(materialize(lists, "candidates")), "row")
+    same = lambda w, c: fold(F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ")) == c["window"]
+    # the words are bound once: as a column they would be cut anew for each candidate
+    real = texts.select("row", let(words_of(F.col("text")), lambda w: F.filter("candidates", lambda c: same(w, c))).alias("hits")).where(F.size("hits") > 0)
     spans = F.array_sort(F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length")))))
     items = F.array_sort(F.array_distinct(F.transform("hits", lambda c: c["item_id"])))
     end = lambda s: s["start"] + s["length"]
