@@ -25,6 +25,7 @@ ORDER = 5
 CALIBRATION_ROWS = 1_000  # about so many rows of a language, a fifth of them at most, fit the score and the rejection limits
 SHARD = 50_000  # rows of a model file, about
 RESIDENT = 4_000_000  # rows of one order that a worker keeps; files beyond are read where they are needed
+ROWS = 500  # texts that a worker counts or scores at a time
 UNKNOWN = "und"
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.uint32(32)
@@ -72,13 +73,20 @@ def hashes(codes: np.ndarray, order: int) -> np.ndarray:
 # --- training -----------------------------------------------------------------------------------------------------
 
 
-def _count(batches):
+def _slices(batches):
+    """Batches of ROWS rows, so that what a worker makes of them at a time stays small."""
     for batch in batches:
-        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _count(batches):
+    for part in _slices(batches):
+        langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
         for lang in sorted(set(langs)):
             mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-            for at in range(0, len(mine), 2000):
-                codes, _, _ = symbols(mine[at : at + 2000])
+            for at in range(0, len(mine), ROWS):
+                codes, _, _ = symbols(mine[at : at + ROWS])
                 if len(codes) < ORDER:
                     continue
                 h = hashes(codes, ORDER)
@@ -225,8 +233,11 @@ class Models:
                 parts.append(_read(files.pop(0), len(self.langs)))
                 n += len(parts[-1][0])
             keys, values = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
-            order = np.argsort(keys)
-            _loaded[self.path, name] = keys[order], values[order], files
+            del parts
+            if not (keys[1:] >= keys[:-1]).all():  # files are written in order of keys, so as a rule they are
+                order = np.argsort(keys)
+                keys, values = keys[order], values[order]
+            _loaded[self.path, name] = keys, values, files
         return _loaded[self.path, name]
 
     def _look(self, name: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +309,8 @@ class Models:
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float, float, bool]]:
         """(language, score, entropy, margin, rejected) of each text."""
         out = []
-        for at in range(0, len(texts), 500):
-            entropy, sizes, letters = self.entropy(texts[at : at + 500])
+        for at in range(0, len(texts), ROWS // 2):
+            entropy, sizes, letters = self.entropy(texts[at : at + ROWS // 2])
             for row, size, n in zip(entropy, sizes.tolist(), letters.tolist(), strict=True):
                 if not n or not self.langs:
                     out.append((UNKNOWN, 0.0, 0.0, 0.0, True))
@@ -375,14 +386,16 @@ def predict(documents: DataFrame, models: Models, keep: tuple[str, ...] = ()) ->
     shared = documents.sparkSession.sparkContext.broadcast(models)
     columns = ["doc_id", *keep]
     kinds = dict(documents.dtypes)
+    place = columns.index("text") if "text" in columns else len(columns)  # a text that is kept travels once
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
+        for batch in _slices(batches):
+            texts = batch.column(place).to_pylist()
             found = shared.value.judge(texts)
             made = [pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
             size = pa.array([len(t or "") for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made, size], [*columns, "lang_pred", "score", "entropy", "margin", "rejected", "size"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", lang_pred string, score double, entropy double, margin double, rejected boolean, size long"
-    return documents.select(*columns, F.col("text").alias("text to judge")).mapInArrow(run, schema)
+    read = documents.select(*columns) if "text" in columns else documents.select(*columns, F.col("text").alias("text to judge"))
+    return read.mapInArrow(run, schema)
