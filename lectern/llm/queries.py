@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, html_extract, langid, near_dup, packing, phrases, suffix_dedup, topk, url_filter
+from lectern.llm import chat, decontaminate, hard_negatives, html_extract, langid, lines, near_dup, packing, phrases, spelling, suffix_dedup, topk, url_filter
 from lectern.session import table
 
 
@@ -121,5 +121,60 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 """
 
 
-QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format, "op10_repeated_phrases": op10_repeated_phrases}
-ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op10_repeated_phrases": OP10_SQL}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_common_lines(table(spark, sf_dir, "documents"), min_documents=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT r, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT r, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d) AS a),
+f AS (SELECT k FROM e WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+j AS (SELECT r, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS kept FROM e WHERE k NOT IN (SELECT k FROM f) GROUP BY r)
+SELECT doc_id, len(l) AS n_lines, len(l) - coalesce(n, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN j USING (r)
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 byte by byte; its table comes from its polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) AS u(b))),
+w AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+g AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) >= 5 GROUP BY 1, 2),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 | (CAST(unicode(c) AS BIGINT) >> 6), 128 | (CAST(unicode(c) AS BIGINT) & 63)] END))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM g, t),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h) AS a WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(length(word))) AS u(i)),
+p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.rest = b.word),
+c AS (SELECT word, count(*) AS n_near, min(struct_pack(n := -n, near := near)) AS best FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * v.n THEN best.near END AS form, CASE WHEN -best.n >= 2 * v.n THEN -best.n END AS form_n FROM v LEFT JOIN c USING (word)),
+r AS (SELECT word, word AS at_, 0 AS depth FROM f UNION ALL SELECT r.word, f.form, depth + 1 FROM r JOIN f ON f.word = r.at_ WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at_, depth) AS root FROM r GROUP BY 1) AS z USING (word)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.labelled(table(spark, sf_dir, "embeddings"), label, scale=256)
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), p AS (SELECT * FROM (SELECT anchor_id, id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) AS a WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+) SELECT * FROM n WHERE rank <= 3
+"""
+
+
+QUERIES = {"op1_exact_top_k": op1_exact_top_k, "op2_html_text": op2_html_text, "op3_decontamination": op3_decontamination, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op6_url_filter": op6_url_filter, "op7_suffix_dedup": op7_suffix_dedup, "op8_near_duplicates": op8_near_duplicates, "op9_chat_format": op9_chat_format, "op10_repeated_phrases": op10_repeated_phrases, "op11_line_dedup": op11_line_dedup, "op12_spelling_variants": op12_spelling_variants, "op13_hard_negatives": op13_hard_negatives}
+ORACLES = {"op1_exact_top_k": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op10_repeated_phrases": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
