@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import dates, domain, evidence, topics
 from lectern.functions.language import let
+from lectern.operators import terms as term_joins
 from lectern.operators.annotate import Settings, annotate
 from lectern.plans import views
 from lectern.plans import queries
@@ -145,6 +146,24 @@ def h4g_cross_domain(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).select("id", topics.is_cross_domain(F.col("hits")).alias("cross_domain"))
 
 
+@query(f"WITH {_HITS_SQL} {' UNION ALL '.join(f"SELECT id, '{t.slug}' AS slug, {t.slug}_score AS score, {t.slug}_markers AS markers, {t.slug}_cross AS cross FROM h WHERE {t.slug}_markers > 0" for t in TOPICS)}")
+def h4c_topics_joined(spark: SparkSession, sf: str) -> DataFrame:
+    rows = studies(spark, sf).select("id", "text", topics.about_of(F.col("text"), F.col("title")).alias("about"))
+    return term_joins.join_topics(rows, "id", "text", term_joins.topic_table(spark, TOPICS), "about")
+
+
+#: A term list as long as the tables: how each document begins, in two, three and five words.
+@query(r"""WITH n AS (SELECT doc_id AS id, ' ' || regexp_replace(regexp_replace(lower(text), '[^a-z0-9 \t\n\x0b\f\r\-]', ' ' || chr(1) || ' ', 'g'), '[ \t\n\x0b\f\r\-]+', ' ', 'g') || ' ' AS m, string_split_regex(trim(text), '[ \n]+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT ' ' || trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9 \t\n\x0b\f\r\-]', ' ' || chr(1) || ' ', 'g'), '[ \t\n\x0b\f\r\-]+', ' ', 'g')) || ' ' AS t FROM (SELECT unnest([array_to_string(w[1:k], ' ') FOR k IN [2, 3, 5]]) AS x FROM n) AS a WHERE x <> '' AND length(x) = strlen(x))
+SELECT id, count(*) AS n, min(trim(t)) AS first FROM n JOIN t ON contains(m, t) WHERE trim(t) <> '' GROUP BY 1""")
+def c14_term_match(spark: SparkSession, sf: str) -> DataFrame:
+    d = views.table(spark, sf, "documents").where("text is not null")
+    words = F.split(F.trim("text"), "[ \n]+")
+    begins = d.select(F.explode(F.array(*(F.array_join(F.slice(words, 1, k), " ") for k in (2, 3, 5)))).alias("term")).where(F.char_length("term") == F.octet_length("term"))
+    found = term_joins.match_terms(d, "doc_id", "text", begins)
+    return found.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(F.trim("needle")).alias("first"))
+
+
 # the scores of the list's own topics, without gates
 _SCORES_SQL = ", ".join(f'{_hit_sql(t)[0]} AS "{t.slug.replace("-", "_")}"' for t in queries.TOPICS)
 _TOP_SQL = ", ".join(f"""CASE WHEN "{t.slug.replace("-", "_")}" >= 0.35 THEN struct_pack(s := -"{t.slug.replace("-", "_")}", k := '{t.slug}') END""" for t in queries.TOPICS)
