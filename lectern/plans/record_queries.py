@@ -118,6 +118,16 @@ def a8_bibtex(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_bibtex(spark, path).select("key", "doc_type", "title", F.size("authors").alias("n_authors"), "year", "issued_date", "anthology_id")
 
 
+@query(r"""SELECT 'k' || doc_id AS key, '2001' AS year, sha256(trim(regexp_replace('of @articlex, title = y' || translate(text, '{}', '()'), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS note_sha256 FROM documents WHERE text IS NOT NULL""")
+def a8_bibtex_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain files, whose entries hold whole texts and lines that look like other entries; they may be cut anywhere."""
+    d = table(spark, sf, "documents").where("text is not null")
+    entry = F.concat(F.lit("@article{k"), F.col("doc_id").cast("string"), F.lit(",\n  title = {T},\n  year = 2001,\n  note = {of\n@article{x, title = y}"), F.translate("text", "{}", "()"), F.lit("}\n}\n"))
+    path = f"{shared_dir(spark)}/landed-bib-{uuid.uuid4().hex}"
+    d.select(entry.alias("value")).write.text(path)
+    return readers.read_bibtex(spark, path).select("key", "year", F.sha2(F.element_at("fields", F.lit("note")), 256).alias("note_sha256"))
+
+
 @query("""SELECT p_name AS name, p_brand AS edition, CAST(p_size AS VARCHAR) AS year FROM part""")
 def a10_catalog_csv(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.col("p_name").alias("刊名 (Name)"), F.col("p_brand").alias("Edition_"), F.col("p_size").alias("年份"))

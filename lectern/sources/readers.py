@@ -13,7 +13,7 @@ from lectern.functions.dates import date_from_parts
 from lectern.functions.identifiers import (
     anthology_id, base_arxiv_id, bib_doc_type, blank_to_null, clean_abstract, doi_from_url, format_authors, norm_month, norm_year, normalize_doi, normalize_issn, published_date_of, split_authors,
 )
-from lectern.session import ship
+from lectern.session import materialize, ship
 
 _PARTS = "struct<`date-parts`: array<array<int>>>"
 WORKS = (
@@ -106,14 +106,141 @@ def read_ieee(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- BibTeX -------------------------------------------------------------------------------------------------------
-
-_ENTRY = re.compile(r"^[A-Za-z][\w-]*\s*[{(]")
+#
+# An entry runs from `@type{` or `@type(` to the bracket that closes it; a line inside may begin with @, too.  Files are read
+# in splits, cut before a line-start @ by Spark's text source, and every split is scanned as if no entry were open at its
+# start.  A first scan tells for each split what would be open at its end, whatever was open at its start; folded over a
+# file's splits this gives the few that begin inside an entry, whose text is joined to the split before.
+
+_START = re.compile(r"@[A-Za-z][A-Za-z0-9_-]*\s*([{(])")
+_BRACKETS = {"{": re.compile(r"[{}]"), "(": re.compile(r"[()]")}
 _FIELD = re.compile(r"([A-Za-z][\w-]*)\s*=\s*")
+#: Splits that begin inside an entry are broadcast up to so many, else joined by a shuffle.
+BROADCAST_SPLITS = 50_000
+
+
+class BibScanner:
+    """Entries of a text that comes in pieces cut before an @; `held` is the text of the entry that is open, `depth` its brackets."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+        self.kind, self.depth = "", 0
+
+    def feed(self, text: str) -> Iterator[str]:
+        at = 0
+        while True:
+            if not self.depth:
+                m = _START.search(text, at)
+                if not m:
+                    return
+                self.kind, self.depth, start, at = m[1], 1, m.start(), m.end()
+            else:
+                start = at
+            for m in _BRACKETS[self.kind].finditer(text, at):
+                self.depth += 1 if m[0] == self.kind else -1
+                if not self.depth:
+                    break
+            if self.depth:
+                self.held.append(text[start:])
+                return
+            at = m.end()
+            yield "".join([*self.held, text[start:at]])
+            self.held = []
+
+
+def bib_ends(text: str) -> dict[str, tuple[str, int]]:
+    """What is open at the end of a split (kind of bracket, depth; nothing: "", 0) by what is open at its start: `` for
+    nothing, `{2` for two braces; `{` alone says how much every deeper start grows."""
+
+    def closed(at: int) -> tuple[str, int]:
+        seen = []
+        while (m := _START.search(text, at)) and m.start() not in known:
+            seen.append(m.start())
+            depth = 1
+            for b in _BRACKETS[m[1]].finditer(text, m.end()):
+                depth += 1 if b[0] == m[1] else -1
+                if not depth:
+                    break
+            if depth:
+                known.update(dict.fromkeys(seen, (m[1], depth)))
+                return m[1], depth
+            at = b.end()
+        end = known[m.start()] if m else ("", 0)
+        known.update(dict.fromkeys(seen, end))
+        return end
+
+    known: dict[int, tuple[str, int]] = {}
+    ends = {"": closed(0)}
+    for kind, pattern in _BRACKETS.items():
+        balance = least = 0
+        for b in pattern.finditer(text):
+            balance += 1 if b[0] == kind else -1
+            if balance < least:
+                least = balance
+                ends[f"{kind}{-least}"] = closed(b.end())
+        ends[kind] = ("", balance)
+    return ends
+
+
+def _piece(value: str, place: int, block: int) -> str:
+    """A piece with the @ at which it was cut."""
+    return value if not place and not block else ("\n@" if place else "@") + value
+
+
+def _by_split(batches: Iterator[pd.DataFrame], more: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """(key, piece, is the first of its split), in order."""
+    key, place = None, 0
+    for batch in batches:
+        for path, block, value, *rest in zip(batch["path"], batch["block"], batch["value"], *(batch[c] for c in more)):
+            place = place + 1 if (path, block) == key else 0
+            key = path, block
+            yield key, _piece(value, place, block), not place, rest
+
+
+def _split_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, block, ends): of a split at the start of its file only what is open at its end is of use."""
+
+    def row() -> pd.DataFrame:
+        found = {"": (scanner.kind if scanner.depth else "", scanner.depth)} if scanner else bib_ends("".join(texts))
+        return pd.DataFrame({"path": [key[0]], "block": [key[1]], "ends": [{k: f"{kind}{depth}" if k in _BRACKETS or depth else "" for k, (kind, depth) in found.items()}]})
+
+    key, texts, scanner = None, [], None
+    for now, text, first, _ in _by_split(batches):
+        if first:
+            if key is not None:
+                yield row()
+            key, texts, scanner = now, [], None if now[1] else BibScanner()
+        if scanner:
+            for _ in scanner.feed(text):
+                pass
+        else:
+            texts.append(text)
+    if key is not None:
+        yield row()
+
+
+def _fold_file(splits: pd.DataFrame) -> pd.DataFrame:
+    """(path, block, chain, inside) of the splits that begin inside an entry, and of those in which these entries begin."""
+    out, state, head = [], "", None
+    for path, block, ends in splits.sort_values("block")[["path", "block", "ends"]].itertuples(index=False):
+        ends = dict(ends)
+        if state:
+            if head[0] != head[2]:
+                out.append((path, head[0], head[0], False))
+                head = head[0], head[1], head[0]
+            out.append((path, block, head[0], True))
+        else:
+            head = block, None, None
+        if not state or state in ends:
+            state = ends[state]
+        else:
+            state = f"{state[0]}{int(state[1:]) + int(ends[state[0]])}"
+    return pd.DataFrame(out, columns=["path", "block", "chain", "inside"])
 
 
 def bib_fields(entry: str) -> dict[str, str]:
     """Kind, key and fields of one entry; values in braces (nested too), quotes or bare, joined by #."""
-    head = re.match(r"([A-Za-z][\w-]*)\s*[{(]\s*([^,\s]*)\s*,", entry)
+    head = re.match(r"@?([A-Za-z][\w-]*)\s*[{(]\s*([^,\s]*)\s*,", entry)
     if not head or head[1].lower() in ("string", "preamble", "comment"):
         return {}
     out, at = {"kind": head[1].lower(), "key": head[2]}, head.end()
@@ -147,34 +274,66 @@ def bib_fields(entry: str) -> dict[str, str]:
     return out
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces between line-start @ are entries; one that doesn't look like an entry belongs to the one before."""
-    held: str | None = None
+_ENTRIES = "kind string, key string, fields map<string,string>, path string, block long, chain long, text string"
 
-    def made(texts: list[str]) -> Iterator[pd.DataFrame]:
-        if found := [f for t in texts if (f := bib_fields(t))]:
-            yield pd.DataFrame({"kind": [f.pop("kind") for f in found], "key": [f.pop("key") for f in found], "fields": found})
 
-    for batch in batches:
-        done = []
-        for piece in batch["value"]:
-            piece = piece.removeprefix("@")
-            if held is None or _ENTRY.match(piece):
-                if held is not None:
-                    done.append(held)
-                held = piece
-            else:
-                held += "\n@" + piece
-        yield from made(done)
-    if held is not None:
-        yield from made([held])
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries; of splits in a chain also the text that goes on in the next one or came from the one before."""
+
+    def made(entries: list[str], rest: list[tuple]) -> pd.DataFrame:
+        found = [f for t in entries if (f := bib_fields(t))]
+        rows = [(f.pop("kind"), f.pop("key"), f, None, None, None, None) for f in found] + [(None, None, None, *r) for r in rest]
+        return pd.DataFrame(rows, columns=["kind", "key", "fields", "path", "block", "chain", "text"]).astype({"block": "Int64", "chain": "Int64"})
+
+    def left() -> list:
+        if key is None or not (scanner.held or inside):
+            return []
+        return [(*key, chain, "".join(inside or scanner.held))] if chain is not None else []
+
+    key, scanner, chain, inside, entries, rest = None, BibScanner(), None, [], [], []
+    for now, text, first, (of, within) in _by_split(batches, ("chain", "inside")):
+        if first:
+            rest += left()
+            if chain is None and scanner.held:  # the file ends in an entry
+                entries.append("".join(scanner.held))
+            key, scanner, inside, chain = now, BibScanner(), [], None if pd.isna(of) else int(of)
+        if chain is not None and within:
+            inside.append(text)
+        else:
+            entries += scanner.feed(text)
+        if len(entries) >= 1_000:
+            yield made(entries, rest)
+            entries, rest = [], []
+    rest += left()
+    if chain is None and scanner.held:
+        entries.append("".join(scanner.held))
+    yield made(entries, rest)
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     """(key, kind, doc_type, title, authors, year, issued_date, doi, url, anthology_id, fields) of entries with a key and a
-    title; gz files too.  The year is that of the entry, else that of its number in the anthology."""
+    title; gz files too.  The year is that of the entry, else that of its number in the anthology.
+
+    The rows are the same wherever files are cut into splits.  Each split is read twice, first for what is open at its end;
+    a split is at most spark.sql.files.maxPartitionBytes, of a file that can't be cut only the open entry is held.
+    """
     ship(spark)
-    raw = spark.read.text(path, lineSep="\n@").mapInPandas(_entries, "kind string, key string, fields map<string,string>")
+    pieces = spark.read.text(path, lineSep="\n@").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    ends = pieces.mapInPandas(_split_ends, "path string, block long, ends map<string,string>")
+    chains = materialize(ends.groupBy("path").applyInPandas(_fold_file, "path string, block long, chain long, inside boolean"), "chains")
+    n = chains.limit(BROADCAST_SPLITS + 1).count()
+    if n <= BROADCAST_SPLITS:
+        marked = pieces.join(F.broadcast(chains), ["path", "block"], "left")
+    else:
+        placed = pieces.withColumn("place", F.monotonically_increasing_id())
+        marked = placed.join(chains, ["path", "block"], "left").repartition("path", "block").sortWithinPartitions("path", "block", "place")
+    found = marked.select("path", "block", "value", "chain", "inside").mapInPandas(_entries, _ENTRIES)
+    raw = found.where("kind is not null")
+    if n:
+        joined = found.where("text is not null").groupBy("path", "chain").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("texts"))
+        value = F.array_join(F.transform("texts", lambda t: t["text"]), "\n")
+        again = joined.select(F.concat_ws("#", "path", "chain").alias("path"), F.lit(0).cast("long").alias("block"), value.alias("value"), F.lit(None).cast("long").alias("chain"), F.lit(False).alias("inside"))
+        raw = raw.unionByName(again.mapInPandas(_entries, _ENTRIES).where("kind is not null"))
     f = lambda name: F.element_at("fields", F.lit(name))
     number = anthology_id(f("url"))
     year, month = norm_year(f("year"), number), norm_month(f("month"))
