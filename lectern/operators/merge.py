@@ -29,7 +29,7 @@ def ordered_union(c: Column, order: Column, most: int | None = None) -> Column:
 def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, str]) -> DataFrame:
     """One row for each key, merged column by column.
 
-    Policies: `first` (first non-empty), `value` (first that is no placeholder), `longest`, `with:x` (what stands beside
+    Policies: `first` (first non-empty), `last` (of the last row), `value` (first that is no placeholder), `longest`, `with:x` (what stands beside
     the longest x), `any`, `max` (0 is null), `map` (first of a key), `union` (arrays), `union:n` (the first n).  `order` makes every choice certain; give it no ties within a key.
     """
     o = F.col(order)
@@ -51,6 +51,8 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
             maps = F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.map_entries(c).alias("v")))), lambda x: x["v"])
             entries = F.flatten(F.filter(maps, lambda v: v.isNotNull()))
             made.append(F.aggregate(entries, F.create_map().cast(records.schema[name].dataType), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.map_from_entries(F.array(e))))).alias(name))
+        elif rule == "last":
+            made.append(F.max_by(c, o).alias(name))
         elif rule == "any":
             made.append(F.coalesce(F.bool_or(c), F.lit(False)).alias(name))
         elif rule == "max":

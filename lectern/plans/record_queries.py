@@ -14,6 +14,8 @@ from lectern.plans.queries import query
 from lectern.plans.views import LOG_SQL, PAPERS_SQL
 from lectern.session import shared_dir, table
 from lectern.sources import imports, interchange, readers
+from lectern.streaming import states
+from lectern.streaming.upserts import keyed_table
 
 PAGE = 500  # records of a landed file, about
 
@@ -435,3 +437,14 @@ def i16_add_by_doi(spark: SparkSession, sf: str) -> DataFrame:
     first = wanted.select(F.concat(F.lit("https://doi.org/"), doi).alias("doi"), F.concat(F.lit("first "), "p_brand").alias("title"), F.lit(None).cast("string").alias("abstract"))
     second = wanted.select(doi.alias("doi"), F.lit("x").alias("title"), F.lit("second").alias("abstract"))
     return merge.add_by_doi(base, first, second, wanted.select(doi.alias("doi"))).select("doi", "title", "abstract")
+
+
+@query(f"""WITH {LOG_SQL} SELECT source, max("at") AS last_check, max(CASE WHEN ok THEN "at" END) AS last_ok, arg_max(status, "at") AS last_status, CAST(sum(added) AS BIGINT) AS added, min("at") AS first_seen,
+  coalesce(max(CASE WHEN ok THEN "at" END) > max(CASE WHEN NOT ok THEN "at" END), false) AS recovered FROM g GROUP BY 1""")
+def d21_stream_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream in three micro-batches, each with rows of all times, and the states that it ends with."""
+    log = views.log(spark, sf).select("id", "at", "source", "ok", "status", "added")
+    at = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    stream = states.replay(spark, log, f"{at}/log", 3)
+    states.keep_states(stream, f"{at}/table", f"{at}/checkpoint", silent_after=7 * 86_400_000, late="400 days").awaitTermination()
+    return keyed_table(spark, f"{at}/table", f"source string, {states.STATES}").select("source", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_check", "last_ok", "first_seen")), "last_status", "added", "recovered")

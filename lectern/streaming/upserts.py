@@ -20,7 +20,7 @@ def keyed_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def stream_upserts(records: DataFrame, path: str, key: str, order: str, merge: dict[str, str], policy: dict[str, str], checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+def stream_upserts(records: DataFrame, path: str, key: str, order: str, merge: dict[str, str], policy: dict[str, str], checkpoint: str, parts: int = PARTS, mode: str = "append") -> StreamingQuery:
     """Merge each micro-batch by key and upsert it into a table that is partitioned by a hash of the key.
 
     A batch reads and replaces only the partitions that its keys fall into (dynamic partition overwrite); the new rows are
@@ -39,7 +39,7 @@ def stream_upserts(records: DataFrame, path: str, key: str, order: str, merge: d
         stored = materialize(new.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), "upserted")
         stored.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
-    return records.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return records.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rolling_health(log: DataFrame, late: str = "1 day") -> DataFrame:
