@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers
-from lectern.operators import audit, desk, journals, library, merge, select
+from lectern.operators import audit, desk, history, journals, library, merge, revalidation, select
 from lectern.plans import views
 from lectern.plans.evidence_queries import _FRONTIER_SQL, _frontier
 from lectern.plans.queries import query
 from lectern.plans.views import JUDGED_SQL, LOG_SQL, PAPERS_SQL, TODAY
-from lectern.session import table
+from lectern.session import materialize, shared_dir, table
 
 # --- the discovery list ---------------------------------------------------------------------------------------------
 
@@ -300,6 +302,26 @@ def i13_undo(spark: SparkSession, sf: str) -> DataFrame:
     return library.undo(p, log, 0, "status")
 
 
+_HISTORY_SQL = """e AS (SELECT CAST(user_id AS VARCHAR) AS owner, event_id AS seq, row_number() OVER w AS n, event_type = 'view' AS u, CASE event_id % 3 WHEN 0 THEN lag(event_id, 1) OVER w WHEN 1 THEN lag(event_id, 2) OVER w ELSE lag(event_id, 3) OVER w END AS target,
+  CASE WHEN event_id % 2 = 0 THEN 'star' ELSE 'tags' END AS kind, ['s' || CAST(floor(value) AS BIGINT) % 4, 't' || event_id % 3] AS subjects, 'v' || event_id AS value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a BIGINT, kind VARCHAR, subjects VARCHAR[], value VARCHAR)[]) AS live FROM e UNION ALL
+  SELECT f.owner, e.n, CASE WHEN NOT e.u OR e.target IS NULL THEN CASE WHEN e.u THEN live ELSE list_append(live, struct_pack(a := seq, kind := kind, subjects := subjects, value := value)) END
+    WHEN len(list_filter(live, lambda y: y.a > target AND len(list_filter(live, lambda x: x.a = target AND x.kind = y.kind AND list_has_any(x.subjects, y.subjects))) > 0)) > 0 THEN live ELSE list_filter(live, lambda x: x.a <> target) END
+  FROM f JOIN e ON e.owner = f.owner AND e.n = f.n + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_HISTORY_SQL}, z AS (SELECT owner, unnest(arg_max(live, n)) AS x FROM f GROUP BY 1) SELECT owner, kind, subject, arg_max(value, a) AS value, max(a) AS seq FROM (SELECT owner, x.kind AS kind, x.a AS a, x.value AS value, unnest(x.subjects) AS subject FROM z) AS a GROUP BY 1, 2, 3""")
+def i13_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Actions on two subjects each, and undos of one of the owner's last three steps: what is in force in the end."""
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    undo = F.when(i % 3 == 0, F.lag("event_id", 1).over(w)).when(i % 3 == 1, F.lag("event_id", 2).over(w)).otherwise(F.lag("event_id", 3).over(w))
+    subjects = F.array(F.concat(F.lit("s"), (F.floor("value") % 4).cast("string")), F.concat(F.lit("t"), (i % 3).cast("string")))
+    rows = e.select(F.col("user_id").cast("string").alias("owner"), i.alias("seq"), (F.col("event_type") == "view").alias("u"), undo.alias("before"), F.when(i % 2 == 0, "star").otherwise("tags").alias("kind"), subjects.alias("subjects"), F.concat(F.lit("v"), i.cast("string")).alias("value"))
+    log = rows.select("owner", "seq", F.when(~F.col("u"), F.col("seq")).alias("action_id"), F.when(F.col("u"), F.coalesce("before", F.lit(-1))).alias("undo_of"), "kind", F.when(~F.col("u"), F.col("subjects")).alias("subjects"), "value")
+    return history.as_of(log, materialize(history.decide(log), "decided"))
+
+
 # --- journals and verdicts ------------------------------------------------------------------------------------------
 
 _CATALOGS = ("cssci", "cssci_ext", "cn_core", "ref_cssci", "ref_cssci_ext", "ssci_list", "ssci_jcr", "ref_ssci", "ref_jcr", "ref_esci")
@@ -322,9 +344,13 @@ _REVALIDATED_SQL = f"""{PAPERS_SQL}, {_EVIDENCE_SQL}, jo AS (SELECT c_custkey AS
 rv AS (SELECT q.id, jo.k AS journal_id, q.language, old_status, blacklisted, ev.* EXCLUDE (journal_id) FROM q LEFT JOIN jo ON jo.name = q.name LEFT JOIN ev ON ev.journal_id = jo.k), ve AS (SELECT id, journal_id, language, old_status, {_VERDICT_SQL} AS status FROM rv)"""
 
 
-def _revalidated(spark: SparkSession, sf: str) -> DataFrame:
+def _papers_to_judge(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")
-    p = views.papers(spark, sf).select("id", F.lit(None).cast("string").alias("issn"), F.when(i % 5 != 0, F.concat(F.lit("Customer#"), F.lpad(F.col("journal_id").cast("string"), 9, "0"))).alias("journal_name"), F.when(i % 2 == 0, "zh").otherwise(F.col("language")).alias("language"), F.when(F.col("status") == "F", "eligible").when(F.col("status") == "O", "reference").otherwise("pending").alias("status"))
+    return views.papers(spark, sf).select("id", F.lit(None).cast("string").alias("issn"), F.when(i % 5 != 0, F.concat(F.lit("Customer#"), F.lpad(F.col("journal_id").cast("string"), 9, "0"))).alias("journal_name"), F.when(i % 2 == 0, "zh").otherwise(F.col("language")).alias("language"), F.when(F.col("status") == "F", "eligible").when(F.col("status") == "O", "reference").otherwise("pending").alias("status"))
+
+
+def _revalidated(spark: SparkSession, sf: str) -> DataFrame:
+    p = _papers_to_judge(spark, sf)
     j = table(spark, sf, "customer").select(F.col("c_custkey").alias("journal_id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("issn"), F.array().cast("array<string>").alias("name_variants"), (F.col("c_custkey") % 13 == 0).alias("blacklisted"))
     return journals.revalidate(p, j, _catalog_entries(spark, sf))
 
@@ -339,6 +365,22 @@ def i9_revalidation(spark: SparkSession, sf: str) -> DataFrame:
     return journals.revalidation_counts(_revalidated(spark, sf))
 
 
+#: The journals after a change: some renamed, some with their names back, some listed, some entries gone.
+_CHANGED_SQL = _REVALIDATED_SQL.replace("lower(c_name) AS name, c_custkey % 13 = 0 AS blacklisted", "CASE WHEN c_custkey % 50 = 9 THEN 'other ' || c_custkey ELSE lower(c_name) END AS name, c_custkey % 13 = 0 OR c_custkey % 50 = 7 AS blacklisted").replace("END AS zone FROM part)", "END AS zone FROM part WHERE p_partkey % 40 <> 5)")
+
+
+@query(f"WITH {_CHANGED_SQL} SELECT id, journal_id, language, status FROM ve")
+def i9_changed_journals(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers judged and stored, then only those that a change of journals concerns judged again: the table after it."""
+    k, path = F.col("c_custkey"), f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}"
+    version = lambda other, listed: table(spark, sf, "customer").select(k.alias("journal_id"), F.when(k % 50 == other, F.concat(F.lit("other "), k.cast("string"))).otherwise(F.col("c_name")).alias("name"), F.lit(None).cast("string").alias("issn"), F.array().cast("array<string>").alias("name_variants"), listed.alias("blacklisted"))
+    old, new = version(11, k % 13 == 0), version(9, (k % 13 == 0) | (k % 50 == 7))
+    entries = _catalog_entries(spark, sf)
+    revalidation.store(revalidation.judge(_papers_to_judge(spark, sf), old, entries), path, 16)
+    revalidation.revalidate_changed(spark, path, old, new, entries, entries.where("load_ord % 40 <> 5"), 16)
+    return revalidation.load(spark, path).select("id", "journal_id", "language", "status")
+
+
 @query(f"WITH {_REVALIDATED_SQL} SELECT journal_id IS NOT NULL AS matched, status, count(*) AS n FROM ve GROUP BY 1, 2")
 def d20_match_preview(spark: SparkSession, sf: str) -> DataFrame:
     return audit.match_preview(_revalidated(spark, sf))

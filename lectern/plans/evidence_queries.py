@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, domain, evidence, topics
 from lectern.functions.language import let
+from lectern.operators import memo
 from lectern.operators import terms as term_joins
 from lectern.operators.annotate import Settings, annotate
 from lectern.plans import views
 from lectern.plans import queries
 from lectern.plans.queries import _NORMAL, ORACLES, query
 from lectern.plans.views import PAPERS_SQL, TODAY
+from lectern.session import shared_dir
 
 PHRASES = (
     "Second language learners in a classroom study", "L2 regularization of a large language model", "Patients with dementia: diagnosis and treatment by a chatbot",
@@ -81,6 +85,19 @@ def h4i_research_value(spark: SparkSession, sf: str) -> DataFrame:
     return studies(spark, sf).select("id", F.round(domain.research_value(F.col("text"), AI, PEDAGOGY, CHINESE), 4).alias("value"))
 
 
+@query(f"""WITH {STUDIES_SQL}, t AS (SELECT id, CASE WHEN id % 10 = 0 THEN text || ' 教学 mandarin' ELSE text END AS text FROM s)
+SELECT id, CAST(round(least(1.0, 0.35 * {_count_sql("lower(text)", AI)} + 0.25 * {_count_sql("lower(text)", PEDAGOGY)} + 0.3 * {_count_sql("lower(text)", CHINESE)}), 4) AS DOUBLE) AS value,
+  (SELECT count(*) FROM t) AS cold, 0 AS warm, (SELECT count(*) FROM t WHERE id % 10 = 0) AS edited, (SELECT count(*) FROM t) AS other_day FROM t""")
+def i8_memo_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A first run, one over the same rows, one after edits, one in another context: values of the third, and what each computed."""
+    rows, path = studies(spark, sf).select("id", "text"), f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}"
+    edited = rows.withColumn("text", F.when(F.col("id") % 10 == 0, F.concat("text", F.lit(" 教学 mandarin"))).otherwise(F.col("text")))
+    score = lambda df: df.withColumn("value", F.round(domain.research_value(F.col("text"), AI, PEDAGOGY, CHINESE), 4))
+    runs = [memo.memoise(r, "id", day, score, path, ("value",), parts=8) for r, day in ((rows, TODAY), (rows, TODAY), (edited, TODAY), (edited, "2001-08-03"))]
+    counts = zip(("cold", "warm", "edited", "other_day"), (r.computed for r in runs), strict=True)
+    return runs[2].rows.select("id", "value", *(F.lit(n).cast("long").alias(name) for name, n in counts))
+
+
 #: Topics in the way of a reader's settings: keywords in two languages, markers, gates.
 TOPICS = [
     topics.Topic("sla", ("second language acquisition", "interlanguage", "中介语习得研究"), ("l2", "second language", "中介语", "uptake", "foreign language")),
