@@ -38,7 +38,8 @@ PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 class WordEncoder:
     """Text -> ids as little-endian bytes, by a tokenizers file that never joins text across spaces; words are kept.
 
-    Texts of plain Latin letters are lower-cased first, which the tokenizer would do itself; all others go as they are.
+    Texts of plain Latin letters are lower-cased first, which the tokenizer would do itself; all others go as they are.  Texts
+    that hold one of the file's added tokens, such as an end mark written out, are encoded whole.
     """
 
     odd = re.compile("[^\x00-įı-ɏ]")
@@ -47,7 +48,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # what stands for one id whole, in whatever case: texts with it are encoded whole
+        self.added = re.compile("|".join(re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.tokenize = self.tokenizer.model.tokenize
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
@@ -85,7 +87,11 @@ class WordEncoder:
             self.known.clear()
         get, out, new = self.known.get, [], set()
         for t in texts:
-            words = (t if self.odd.search(t) else t.lower()).replace("\n", " ").split(" ") if t else []
+            low = t.lower() if t else ""
+            if self.added.search(low):
+                out.append(([array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()], []))
+                continue
+            words = (t if self.odd.search(t) else low).replace("\n", " ").split(" ") if t else []
             found = list(map(get, words))
             missing = [(i, words[i]) for i, f in enumerate(found) if f is None] if None in found else []
             new.update(w for _, w in missing)

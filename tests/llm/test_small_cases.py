@@ -159,9 +159,8 @@ def test_packing(spark):
 
     path = public_tokenizers.path(packing.TOKENIZER)
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     odd = "İstanbul áb ｈｅ <|endoftext|> it's THE'S 12ab3 ..., a.,b \x1c\x85y (naïve). ǆ ﬁ. ΑΣ Σ ẞ"
-    rows = [(1, "Hello, world. Hello!"), (1, "Hello, world. Hello!"), (2, None), (3, ""), (4, odd), (None, "x"), (5, "many words here. " * 4000)] + [(10 + i, "thing of that " * i) for i in range(60)]
+    rows = [(1, "Hello, world. Hello!"), (1, "Hello, world. Hello!"), (2, None), (3, ""), (4, odd), (6, "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>"), (7, "汉 <|endoftext|>汉"), (8, "<|endoftext|> " * 5000), (None, "x"), (5, "many words here. " * 4000)] + [(10 + i, "thing of that " * i) for i in range(60)]
     found = packing.pack_documents(docs(spark, rows), path).collect()
     want = Counter()
     for i, t in rows:
@@ -181,8 +180,8 @@ def test_packing(spark):
         assert at <= 4096
     assert sorted(by) == list(range(len(by)))
     assert packing.pack_documents(docs(spark, []), path).count() == 0
-    clash = docs(spark, rows[:6]).withColumn("start", F.lit("x")).withColumn("length", F.lit(None).cast("int"))
-    assert packing.pack_documents(clash, path).agg(F.sum("length")).first()[0] == sum(len(own.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows[:6])
+    clash = docs(spark, rows[:9]).withColumn("start", F.lit("x")).withColumn("length", F.lit(None).cast("int"))
+    assert packing.pack_documents(clash, path).agg(F.sum("length")).first()[0] == sum(len(own.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows[:9])
 
 
 def test_patterns_hold_the_demand():
