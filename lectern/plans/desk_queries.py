@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers
-from lectern.operators import audit, desk, history, journals, library, merge, revalidation, select
+from lectern.operators import audit, calls, days, desk, history, journals, library, merge, revalidation, select
 from lectern.plans import views
 from lectern.plans.evidence_queries import _FRONTIER_SQL, _frontier
 from lectern.plans.queries import query
 from lectern.plans.views import JUDGED_SQL, LOG_SQL, PAPERS_SQL, TODAY
 from lectern.session import materialize, shared_dir, table
+from lectern.sources import sync
 
 # --- the discovery list ---------------------------------------------------------------------------------------------
 
@@ -467,3 +468,57 @@ def c18_reading_states(spark: SparkSession, sf: str) -> DataFrame:
     rows = p.select(subject.alias("subject"), doi(k % 3 == 0).alias("doi"), F.when(k % 4 == 0, F.concat(F.lit("p"), (k % 20).cast("string"))).alias("linked"))
     states = p.where("p_partkey % 5 <> 0").select(subject.alias("subject"), doi(k % 2 == 0).alias("doi"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("state"), k.alias("at"))
     return library.reading_states(rows, states).select("subject", "linked", "state")
+
+
+# --- what is stored between runs ------------------------------------------------------------------------------------
+
+_COMMITTED_SQL = f"""{PAPERS_SQL}, d AS (SELECT *, substr(discovery_date, 1, 7) AS month FROM p),
+one AS (SELECT month, id, row_number() OVER (PARTITION BY month ORDER BY citation_count DESC, id) AS rank FROM d), two AS (SELECT month, id, row_number() OVER (PARTITION BY month ORDER BY citation_count, id) AS rank FROM d WHERE month LIKE '%-0%'),
+x AS (SELECT month AS run_date, id, CAST(rank AS INTEGER) AS rank FROM two WHERE rank <= 2 AND id % 3 <> 0 UNION ALL SELECT month, id, CAST(rank AS INTEGER) FROM one WHERE rank <= 3 AND NOT month LIKE '%-0%')"""
+
+
+@query(f"""WITH {_COMMITTED_SQL} SELECT m.run_date, id, rank, status, n FROM (SELECT DISTINCT month AS run_date FROM d) m LEFT JOIN x USING (run_date) LEFT JOIN (SELECT run_date, count(*) AS n FROM x GROUP BY 1) c USING (run_date) JOIN (SELECT run_date, CASE WHEN bool_or(id IS NOT NULL) THEN 'ok' ELSE 'empty' END AS status FROM (SELECT DISTINCT month AS run_date FROM d) LEFT JOIN x USING (run_date) GROUP BY 1) s USING (run_date)""")
+def i10_committed_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of all days, a second one of some, and one that failed before its row: what readers see."""
+    path = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+    p = views.papers(spark, sf).withColumn("run_date", F.substring("discovery_date", 1, 7))
+    best = lambda rows, order, n: rows.withColumn("rank", F.row_number().over(Window.partitionBy("run_date").orderBy(order, "id"))).where(F.col("rank") <= n).select("run_date", "id", "rank", F.lit("new").alias("kind"))
+    all_days, some = p.select("run_date"), p.where("run_date like '%-0%'")
+    days.commit(best(p, F.col("citation_count").desc(), 3), all_days, path, "2001-08-02T01")
+    days.commit(best(some, F.col("citation_count"), 2).where("id % 3 <> 0"), some.select("run_date"), path, "2001-08-02T02")
+    days.write_items(best(p, F.col("id"), 5), path)  # and there it ended
+    seen = days.runs(spark, path).select("run_date", "status", F.when(F.col("items") > 0, F.col("items")).alias("n"))
+    return seen.join(days.items(spark, path).select("run_date", "id", "rank"), "run_date", "left").select("run_date", "id", "rank", "status", "n")
+
+
+@query("""SELECT k AS part, CASE WHEN k = 2 THEN 2 ELSE 1 END AS batch, CAST(n AS BIGINT) AS rows, 6 AS first_read, 0 AS second_read, 1 AS third_read, 5 AS third_skipped FROM (SELECT p_partkey % 6 AS k, count(*) + CASE WHEN p_partkey % 6 = 2 THEN 1 ELSE 0 END AS n FROM part GROUP BY 1) AS a""")
+def i6_synced_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Six landed files, read, read again with no change, and with one of them changed: the batch each was read in."""
+    path, part = f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}", table(spark, sf, "part")
+    land = lambda rows: rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").json(f"{path}/landed")
+    rows = part.select((F.col("p_partkey") % 6).alias("part"), "p_partkey", "p_name")
+    land(rows)
+
+    def apply(files: list[str], batch: int) -> None:
+        found = spark.read.schema("p_partkey long, p_name string").json(files).select("*", F.regexp_extract(F.input_file_name(), "part=([0-9]+)", 1).cast("long").alias("part"))
+        found.withColumn("batch", F.lit(batch)).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/read")
+
+    done = [sync.sync(spark, f"{path}/landed", f"{path}/state", apply, "*.json") for _ in range(2)]
+    more = rows.where("part = 2").unionByName(spark.range(1).select(F.lit(2).cast("long").alias("part"), F.lit(-1).cast("long").alias("p_partkey"), F.lit("one more").alias("p_name")))
+    land(more)
+    done.append(sync.sync(spark, f"{path}/landed", f"{path}/state", apply, "*.json"))
+    counts = {"first_read": done[0].read, "second_read": done[1].read, "third_read": done[2].read, "third_skipped": done[2].files - done[2].read}
+    return spark.read.parquet(f"{path}/read").groupBy(F.col("part").cast("long").alias("part")).agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("rows")).select("*", *(F.lit(v).alias(k) for k, v in counts.items()))
+
+
+def _shout(texts: list[str]) -> list[str]:
+    return [t[::-1] for t in texts]
+
+
+@query("""WITH t AS (SELECT doc_id, lang || ' ' || substr(text, 1, 3) AS text FROM documents), k AS (SELECT text, row_number() OVER (ORDER BY min(doc_id), sha256(text)) AS k FROM t WHERE trim(text) <> '' GROUP BY 1) SELECT doc_id, CASE WHEN k <= 70 THEN reverse(t.text) END AS reply, CASE WHEN k <= 70 THEN 'ok' END AS status FROM t LEFT JOIN k USING (text)""")
+def j3_model_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Short texts that many rows share, a model that reverses them, and two runs of 35 calls."""
+    path = f"{shared_dir(spark)}/calls-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select("doc_id", F.concat("lang", F.lit(" "), F.substring("text", 1, 3)).alias("text"), F.col("doc_id").alias("priority"))
+    calls.work_through(rows, path, _shout, 35, "1")
+    return calls.work_through(rows, path, _shout, 35, "2").select("doc_id", "reply", "status")

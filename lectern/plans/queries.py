@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, evidence, identifiers, language, topics
-from lectern.operators import audit, desk, journals, library, merge, select
+from lectern.operators import audit, desk, journals, library, merge, pages, select
 from lectern.plans import views
 from lectern.plans.views import ENTRIES_SQL, JUDGED_SQL, LOG_SQL, PAPERS_SQL, TODAY
-from lectern.session import table
+from lectern.session import shared_dir, table
 from lectern.sources import imports, interchange
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,6 +392,14 @@ def f1_discovery_page(spark: SparkSession, sf: str) -> DataFrame:
     return desk.page(rows, desk.discovery_order(rows), 2, 25).select("id", "kind", "core", "browsed", "score")
 
 
+@query(f"""WITH {_LISTED_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY core DESC, browsed, CASE kind WHEN 'new' THEN 0 WHEN 'catchup' THEN 1 ELSE 2 END, score DESC, date_ms DESC, id) AS rank FROM x) SELECT id, kind, score, rank, CAST(ceil(rank / 10) AS BIGINT) AS page FROM o""")
+def f2_stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole list in pages of ten, each of which read_page() gives from one folder."""
+    rows, path = _listed(spark, sf), f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.store_pages(rows, desk.discovery_order(rows), path, 10, parts=8)
+    return spark.read.parquet(path).select("id", "kind", "score", "rank", "page")
+
+
 @query(f"""WITH {PAPERS_SQL}, a AS (SELECT * FROM p WHERE status = 'F' ORDER BY discovery_date DESC, id LIMIT 2000) SELECT id, citation_count FROM a ORDER BY citation_count DESC, id LIMIT 100""")
 def f3_qualified_list(spark: SparkSession, sf: str) -> DataFrame:
     newest = views.papers(spark, sf).where("status = 'F'").orderBy(F.col("discovery_date").desc(), "id").limit(2000)
