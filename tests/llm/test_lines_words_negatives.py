@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import hard_negatives, lines, skew, spelling
+from lectern.llm import hard_negatives, lines, spelling
+from lectern.operators import skew
 from lectern.session import materialize
 
 DOCS = "doc_id long, text string, word string, key string, place int, row long, n long"
