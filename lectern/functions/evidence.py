@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.language import let
 from lectern.session import ship
 
 EVIDENCE_CHARS = 46_000
@@ -23,12 +24,18 @@ def split_chunks(c: Column, size: int = 2200) -> Column:
     return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c), F.lit(size)), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def fitting(sentences: Column, most_chars: int, before: Column) -> Column:
+    """How many sentences, from the first, keep the sum of characters within the limit, with so many before them."""
+    start = F.struct(F.lit(0).alias("n"), before.cast("long").alias("chars"))
+    step = lambda a, s: F.struct((a["n"] + F.when(a["chars"] + F.length(s) <= most_chars, 1).otherwise(0)).alias("n"), (a["chars"] + F.length(s)).alias("chars"))
+    return F.aggregate(sentences, start, step, lambda a: a["n"])
+
+
 def build_evidence(documents: DataFrame, most_chars: int = EVIDENCE_CHARS) -> DataFrame:
-    """(doc_id, sid, sentence): sentences numbered S1.. until their characters would exceed the limit."""
-    each = documents.select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    running = each.withColumn("chars", F.sum(F.length("sentence")).over(upto))
-    return running.where(F.col("chars") <= most_chars).select("doc_id", F.concat(F.lit("S"), (F.col("pos") + 1).cast("string")).alias("sid"), "sentence")
+    """(doc_id, sid, sentence): sentences numbered S1.. until their characters would exceed the limit; row by row."""
+    kept = let(split_sentences(F.col("text")), lambda s: F.slice(s, F.lit(1), fitting(s, most_chars, F.lit(0))))
+    each = documents.select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
+    return each.select("doc_id", F.concat(F.lit("S"), (F.col("pos") + 1).cast("string")).alias("sid"), "sentence")
 
 
 def cited(reply: Column) -> Column:
@@ -81,10 +88,11 @@ def detect_sections(c: Column, heading: str, least: int = 200, drop: int = 40) -
     return F.filter(all_of, lambda s: F.length(s["text"]) > drop)
 
 
-def apply_model(texts: DataFrame, model: Callable[[list[str]], list[str]], partitions: int = 8) -> DataFrame:
+def apply_model(texts: DataFrame, model: Callable[[list[str]], list[str]], partitions: int | None = None) -> DataFrame:
     """(subject, text, reply): a caller's function on batches of texts; it is called in the executors' tasks.
 
-    Choose the work before (texts without a valid cache row) and check replies after (citations, numbers).
+    Choose the work before (texts without a valid cache row) and check replies after (citations, numbers).  Texts are dealt over
+    `partitions` tasks, as many as the cluster has cores if none are given.  calls.work_through() keeps limits and replies.
     """
 
     def run(batches):
@@ -93,7 +101,7 @@ def apply_model(texts: DataFrame, model: Callable[[list[str]], list[str]], parti
             yield batch
 
     ship(texts.sparkSession)
-    return texts.select("subject", "text").repartition(partitions).mapInPandas(run, f"subject {dict(texts.dtypes)['subject']}, text string, reply string")
+    return texts.select("subject", "text").repartition(partitions or texts.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"subject {dict(texts.dtypes)['subject']}, text string, reply string")
 
 
 def parse_keyed_reply(c: Column) -> Column:
@@ -104,13 +112,16 @@ def parse_keyed_reply(c: Column) -> Column:
 def numbered_sentences(parts: DataFrame, most_chars: int = EVIDENCE_CHARS) -> DataFrame:
     """(doc_id, sid, section, sentence) of parts (doc_id, place, section, text) in order of place: the abstract, then sections.
 
-    Sentences are numbered S1.. over all parts until their characters would exceed the limit.  What comes after is left out
-    by sums over places first, so that only what may be kept is numbered.
+    Sentences are numbered S1.. over all parts until their characters would exceed the limit.  Each part is cut to what may be
+    kept of it at all, then sums over the parts of a document say where it begins; only kept sentences become rows.
     """
-    each = parts.select("doc_id", "place", "section", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
-    upto = Window.partitionBy("doc_id").orderBy("place", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    running = each.withColumn("chars", F.sum(F.length("sentence")).over(upto)).withColumn("n", F.count(F.lit(1)).over(upto))
-    return running.where(F.col("chars") <= most_chars).select("doc_id", F.concat(F.lit("S"), F.col("n").cast("string")).alias("sid"), "section", "sentence")
+    lists = parts.select("doc_id", "place", "section", split_sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    chars = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    held = lists.select("doc_id", "place", "section", chars.alias("chars"), F.size("s").alias("size"), F.slice("s", F.lit(1), fitting(F.col("s"), most_chars, F.lit(0))).alias("s"))
+    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.withColumns({"chars": F.coalesce(F.sum("chars").over(before), F.lit(0)), "size": F.coalesce(F.sum("size").over(before), F.lit(0))}).where(F.col("chars") <= most_chars)
+    each = placed.select("doc_id", "section", "size", F.posexplode(F.slice("s", F.lit(1), fitting(F.col("s"), most_chars, F.col("chars")))).alias("pos", "sentence"))
+    return each.select("doc_id", F.concat(F.lit("S"), (F.col("size") + F.col("pos") + 1).cast("string")).alias("sid"), "section", "sentence")
 
 
 def replace_bogus(reply: Column, sids: Column, mark: str = "[?]") -> Column:

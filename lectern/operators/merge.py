@@ -19,11 +19,27 @@ def longest(c: Column, order: Column) -> Column:
     return F.max_by(c, F.struct(F.length(c), (-order)))
 
 
-def ordered_union(c: Column, order: Column, most: int | None = None) -> Column:
-    """Distinct elements of a group's arrays in order of the rows."""
-    lists = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v")))), lambda x: x["v"])
-    found = F.array_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull())))
-    return F.slice(found, 1, most) if most else found
+def first_elements(records: DataFrame, key: str, order: Column, columns: dict[str, int | None]) -> DataFrame:
+    """(key, *columns): of arrays of one type the distinct elements of a key in the order they are first met, at most so many.
+
+    Elements are counted down to their first place before they are listed, so that what meets in one task is what a key has
+    that is different, never all its rows.  For maps, pass arrays of their entries: the first entry of a map's key counts.
+    """
+    numbered = F.concat(*(F.transform(F.coalesce(F.col(c), F.array().cast(records.schema[c].dataType)), _place(i)) for i, c in enumerate(columns)))
+    each = records.select(F.col(key).alias("__key"), order.alias("__order"), F.explode(numbered).alias("e")).select("__key", "__order", "e.*")
+    entries = records.schema[next(iter(columns))].dataType.elementType
+    by = F.col("v.key") if entries.typeName() == "struct" and entries.fieldNames() == ["key", "value"] else F.col("v")
+    first = each.groupBy("__key", "column", by.alias("known")).agg(F.min(F.struct("__order", "place")).alias("at"), F.min_by("v", F.struct("__order", "place")).alias("v"))
+    if any(columns.values()):
+        most = F.coalesce(*(F.when(F.col("column") == i, F.lit(n)) for i, n in enumerate(columns.values()) if n), F.lit(2**31 - 1))
+        rank = F.row_number().over(Window.partitionBy("__key", "column").orderBy("at"))
+        first = first.withColumn("rank", rank).where(F.col("rank") <= most)
+    of = lambda i: F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == i, F.struct("at", "v")))), lambda x: x["v"])
+    return first.groupBy("__key").agg(*(of(i).alias(c) for i, c in enumerate(columns)))
+
+
+def _place(i: int):
+    return lambda v, at: F.struct(F.lit(i).alias("column"), at.alias("place"), v.alias("v"))
 
 
 def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, str]) -> DataFrame:
@@ -33,7 +49,8 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
     the longest x), `any`, `max` (0 is null), `map` (first of a key), `union` (arrays), `union:n` (the first n).  `order` makes every choice certain; give it no ties within a key.
     """
     o = F.col(order)
-    made = []
+    made: list[Column] = []
+    listed: dict[str, dict[str, int | None]] = {}  # arrays and maps by type
     for name, rule in policy.items():
         c = F.col(name)
         if rule == "first":
@@ -48,9 +65,7 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
             other = F.col(rule.removeprefix("with:"))
             made.append(F.max_by(c, F.when(other.isNotNull(), F.struct(F.length(other), (-o)))).alias(name))
         elif rule == "map":  # entries of all maps, the first of a key wins
-            maps = F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.map_entries(c).alias("v")))), lambda x: x["v"])
-            entries = F.flatten(F.filter(maps, lambda v: v.isNotNull()))
-            made.append(F.aggregate(entries, F.create_map().cast(records.schema[name].dataType), lambda m, e: F.when(F.map_contains_key(m, e["key"]), m).otherwise(F.map_concat(m, F.map_from_entries(F.array(e))))).alias(name))
+            listed.setdefault(records.schema[name].dataType.simpleString(), {})[name] = None
         elif rule == "last":
             made.append(F.max_by(c, o).alias(name))
         elif rule == "any":
@@ -59,8 +74,16 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
             made.append(F.nullif(F.max(c), F.lit(0)).alias(name))
         else:
             _, _, most = rule.partition(":")
-            made.append(ordered_union(c, o, int(most) if most else None).alias(name))
-    return records.groupBy(key).agg(*made, F.count(F.lit(1)).alias("merged"))
+            listed.setdefault(records.schema[name].dataType.simpleString(), {})[name] = int(most) if most else None
+    merged = records.groupBy(key).agg(*made, F.count(F.lit(1)).alias("merged"))
+    for kind, columns in listed.items():
+        as_map = kind.startswith("map")
+        arrays = records.withColumns({c: F.map_entries(c) for c in columns}) if as_map else records
+        found = first_elements(arrays, key, o, columns)
+        filled = {c: F.coalesce(F.col(f"__found.{c}"), F.array().cast(arrays.schema[c].dataType)) for c in columns}
+        joined = merged.join(found.alias("__found"), F.col(key).eqNullSafe(F.col("__found.__key")), "left")
+        merged = joined.select(*(merged[c] for c in merged.columns), *((F.map_from_entries(v) if as_map else v).alias(c) for c, v in filled.items()))
+    return merged.select(key, *policy, "merged")
 
 
 def upsert(base: DataFrame, batch: DataFrame, key: str, policy: dict[str, str]) -> DataFrame:

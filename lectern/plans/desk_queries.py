@@ -11,10 +11,11 @@ from lectern.functions import identifiers
 from lectern.operators import audit, calls, days, desk, history, journals, library, merge, revalidation, select
 from lectern.plans import views
 from lectern.plans.evidence_queries import _FRONTIER_SQL, _frontier
-from lectern.plans.queries import query
+from lectern.plans.queries import ORACLES, query
 from lectern.plans.views import JUDGED_SQL, LOG_SQL, PAPERS_SQL, TODAY
 from lectern.session import materialize, shared_dir, table
 from lectern.sources import sync
+from lectern.streaming import reading
 
 # --- the discovery list ---------------------------------------------------------------------------------------------
 
@@ -470,6 +471,28 @@ def c18_reading_states(spark: SparkSession, sf: str) -> DataFrame:
     return library.reading_states(rows, states).select("subject", "linked", "state")
 
 
+_READING_SQL = ORACLES["c18_reading_states"]
+
+
+@query(_READING_SQL)
+def c18_stream_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from two streams, each landed in parts; a row of each from far ahead ends the windows of all others."""
+    k, p, path = F.col("p_partkey"), table(spark, sf, "part"), f"{shared_dir(spark)}/reading-{uuid.uuid4().hex}"
+    subject, doi, when = F.concat(F.lit("p"), k.cast("string")), lambda ok: F.when(ok, F.concat(F.lit("10.1000/"), (k % 50).cast("string"))), F.timestamp_seconds(k + 1_000_000_000)
+    picks = p.select(subject.alias("subject"), doi(k % 3 == 0).alias("doi"), F.when(k % 4 == 0, F.concat(F.lit("p"), (k % 20).cast("string"))).alias("linked"), when.alias("picked_at"))
+    states = p.where("p_partkey % 5 <> 0").select(subject.alias("subject"), doi(k % 2 == 0).alias("doi"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("state"), when.alias("at"))
+    last = spark.range(1).select(F.lit("ahead").alias("subject"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("linked"), F.lit("x").alias("state"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("at"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("picked_at"))
+    streams = []
+    for name, rows in (("picks", picks), ("states", states)):
+        rows.repartition(2, "subject").write.parquet(f"{path}/{name}")
+        last.select(rows.columns).write.mode("append").parquet(f"{path}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).parquet(f"{path}/{name}"))
+    for _ in range(2):  # a second look, when all windows have ended
+        reading.keep_rows(reading.reading_rows(*streams, window="3000 days", late="1 day"), f"{path}/joined", f"{path}/checkpoint").awaitTermination()
+    rows = spark.read.schema("subject string, linked string, place int, state string, at timestamp").parquet(f"{path}/joined")
+    return reading.current_states(rows.where("subject <> 'ahead'"))
+
+
 # --- what is stored between runs ------------------------------------------------------------------------------------
 
 _COMMITTED_SQL = f"""{PAPERS_SQL}, d AS (SELECT *, substr(discovery_date, 1, 7) AS month FROM p),

@@ -10,7 +10,7 @@ from lectern.session import table
 TODAY = "2001-08-02"
 
 PAPERS_SQL = """
-p AS (SELECT d.doc_id AS id, substr(split_part(d.text, chr(10), 1), 1, 160) AS title, d.text AS abstract, d.lang AS language, d.source AS source,
+p AS (SELECT d.doc_id AS id, split_part(d.text, chr(10), 1) AS title, d.text AS abstract, d.lang AS language, d.source AS source,
   strftime(o.o_orderdate, '%Y-%m-%d') AS discovery_date, o.o_orderstatus AS status, o.o_orderpriority AS priority, o.o_custkey AS journal_id,
   CAST(floor(o.o_totalprice) AS BIGINT) AS citation_count
   FROM documents d JOIN orders o ON o.o_orderkey = d.doc_id)"""
@@ -26,7 +26,7 @@ n AS (SELECT p_partkey % 500 AS journal_id, p_brand AS catalog, p_size % 2 = 0 A
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     d, o = table(spark, sf, "documents"), table(spark, sf, "orders")
     return d.join(o, d.doc_id == o.o_orderkey).select(
-        F.col("doc_id").alias("id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 160).alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("language"), "source",
+        F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("language"), "source",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("discovery_date"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("journal_id"),
         F.floor("o_totalprice").alias("citation_count"),
     )

@@ -49,3 +49,38 @@ def test_a_source_falls_silent_and_is_forgotten(spark, tmp_path):
     assert ("a", True, 1) in got and got.index(("a", True, 1)) > got.index(("a", False, 1))
     assert got[-1] == ("a", False, 7) or ("a", False, 7) in got  # forgotten, so it starts anew
     assert ("b", False, 2) in got and ("b", False, 5) in got and ("b", False, 6) in got
+
+
+def test_reading_states_on_two_streams(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import library
+    from lectern.streaming import reading
+
+    rng, start = random.Random(7), datetime(2024, 1, 1)
+    at = lambda i: start + timedelta(hours=i)
+    picks = [(f"p{i}", rng.choice([None, f"10.1000/{i % 9}"]), rng.choice([None, f"p{rng.randint(0, 40)}"]), at(i)) for i in range(40)]
+    told = [(f"p{rng.randint(0, 60)}", rng.choice([None, f"10.1000/{rng.randint(0, 12)}"]), f"s{i}", at(rng.randint(0, 40))) for i in range(60)]
+    schemas = "subject string, doi string, linked string, picked_at timestamp", "subject string, doi string, state string, at timestamp"
+    ahead = [("ahead", None, None, datetime(2090, 1, 1))], [("ahead", None, "x", datetime(2090, 1, 1))]
+    for window, whole in (("3000 days", True), ("5 hours", False)):
+        own = str(tmp_path / window.replace(" ", "-"))
+        streams = []
+        for name, rows, more, schema in zip(("picks", "states"), (picks, told), ahead, schemas, strict=True):
+            for part in (rows[::2], rows[1::2], more):
+                spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{own}/{name}")
+            streams.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{own}/{name}"))
+        for _ in range(2):
+            reading.keep_rows(reading.reading_rows(*streams, window=window, late="60 days" if whole else "40 hours"), f"{own}/out", f"{own}/cp").awaitTermination()
+        rows = spark.read.schema("subject string, linked string, place int, state string, at timestamp").parquet(f"{own}/out")
+        found = {r.subject: r.state for r in reading.current_states(rows.where("subject <> 'ahead'")).collect()}
+        if whole:
+            want = library.reading_states(spark.createDataFrame(picks, schemas[0]), spark.createDataFrame(told, schemas[1]))
+            assert found == {r.subject: r.state for r in want.collect()} and None in found.values()
+        else:
+            near = lambda p, s: abs((p[3] - s[3]).total_seconds()) <= 5 * 3600
+            for p in picks:
+                keys = [p[2] and ("o", p[2]), p[1] and ("d", p[1]), ("o", p[0])]
+                own_rows = [[(s[3], s[2]) for s in told if k and near(p, s) and k in (("o", s[0]), ("d", s[1]))] for k in keys]
+                assert found[p[0]] == next((max(x)[1] for x in own_rows if x), None)
+            assert rows.groupBy().agg(F.count("state")).first()[0] > 0
