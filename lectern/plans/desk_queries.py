@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers
-from lectern.operators import audit, calls, days, desk, history, journals, library, merge, revalidation, select
+from lectern.operators import audit, calls, days, desk, history, journals, library, merge, reasons, revalidation, select
 from lectern.plans import views
 from lectern.plans.evidence_queries import _FRONTIER_SQL, _frontier
 from lectern.plans.queries import ORACLES, query
@@ -367,6 +367,47 @@ def i9_revalidation(spark: SparkSession, sf: str) -> DataFrame:
     return journals.revalidation_counts(_revalidated(spark, sf))
 
 
+def _said(sentence: str, *values: str) -> str:
+    """A sentence with blanks, in SQL."""
+    parts = sentence.split("{}")
+    return " || ".join([f"'{parts[0]}'", *(x for v, p in zip(values, parts[1:], strict=True) for x in (v, f"'{p}'"))])
+
+
+def _listed_sql(rows: list[tuple[str, str]]) -> str:
+    """Those sentences whose condition holds, in order."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {when} THEN {sentence} END" for sentence, when in rows) + "], lambda x: x IS NOT NULL)"
+
+
+_Z = "CAST(zone AS VARCHAR) || '区'"
+_ZH_REASONS = f"""list_concat(list_concat(list_transform(list_filter(es, lambda c: c.official AND c.catalog = 'cssci'), lambda c: {_said(reasons.ZH_CSSCI, "'（' || c.edition || '）'")}), list_transform(list_filter(es, lambda c: c.official AND c.catalog = 'cn_core'), lambda c: {_said(reasons.ZH_CORE, "c.edition")})),
+  list_transform(list_concat(list_filter(es, lambda c: NOT c.official AND c.catalog = 'cssci'), list_filter(es, lambda c: NOT c.official AND c.catalog = 'ref_cssci')), lambda c: {_said(reasons.ZH_REFERENCE, "'（' || c.edition || '）'")}))"""
+_ZH_MISSING = f"""list_concat(list_concat(list_transform(list_filter(es, lambda c: c.official AND c.catalog = 'cssci_ext'), lambda c: '{reasons.ZH_EXTENDED_NOT}'), list_transform(list_filter(es, lambda c: NOT c.official AND c.catalog = 'ref_cssci_ext'), lambda c: '{reasons.ZH_REFERENCE_EXTENDED_NOT}')),
+  CASE WHEN len(list_filter(es, lambda c: c.catalog = 'cssci' OR (c.official AND c.catalog IN ('cn_core', 'cssci_ext')) OR (NOT c.official AND c.catalog = 'ref_cssci'))) = 0 THEN ['{reasons.ZH_NONE}'] ELSE [] END)"""
+_EN_REASONS = _listed_sql([(_said(reasons.EN_RANKED, "qs"), "good"), (_said(reasons.EN_REFERENCE_RANKED, "qs", f"CASE WHEN listed THEN '{reasons.EN_REFERENCE_SSCI}' ELSE '' END"), "hinted"), (_said(reasons.ZONE_GOOD, _Z, "CAST(zone_year AS VARCHAR)"), "inside AND si"), (_said(reasons.ZONE_REFERENCE, _Z), "inside AND NOT si AND maybe")])
+_EN_MISSING = _listed_sql([
+    (_said(reasons.EN_EMERGING_RANKED), "only_esci AND has_rank AND NOT good"), (_said(reasons.EN_RANKED_NOT_SSCI), "has_rank AND ranked AND NOT good AND NOT only_esci AND NOT hinted"), (_said(reasons.EN_RANK_LOW, "qs"), "has_rank AND NOT ranked AND NOT only_esci"),
+    (_said(reasons.EN_EMERGING), "NOT has_rank AND maybe AND NOT si AND esci"), (_said(reasons.EN_NO_RANK), "NOT has_rank AND si"), (_said(reasons.EN_REFERENCE_NO_RANK), "NOT has_rank AND NOT si AND maybe AND NOT esci"), (_said(reasons.EN_NOT_FOUND), "NOT has_rank AND NOT (si OR maybe)"),
+    (_said(reasons.ZONE_NOT_SSCI, _Z), "inside AND NOT (si OR maybe)"), (_said(reasons.ZONE_LOW, _Z), "zone IS NOT NULL AND NOT inside"), (_said(reasons.ZONE_NONE), "zone IS NULL AND (si OR maybe)"),
+])
+_REASONS_SQL = f"""{_REVALIDATED_SQL}, en AS (SELECT journal_id, list(struct_pack(catalog := catalog, official := official, edition := CAST(year AS VARCHAR)) ORDER BY load_ord) AS es, bool_or(official AND catalog IN ('ssci_list', 'ssci_jcr') AND ssci_indexed) AS si, bool_or(NOT official AND catalog IN ('ssci_list', 'ssci_jcr', 'ref_jcr', 'ref_ssci')) AS maybe,
+  bool_or(NOT official AND catalog = 'ref_ssci') AS listed, bool_or(NOT official AND catalog = 'ref_esci') AND NOT bool_or(NOT official AND catalog = 'ref_ssci') AS esci, NOT bool_or(official AND catalog = 'ssci_jcr') AS byref, bool_or(NOT official AND catalog = 'ref_esci') AND NOT bool_or(NOT official AND catalog IN ('ref_ssci', 'ref_jcr', 'ssci_jcr')) AS no_other,
+  arg_min(quartiles, load_ord) FILTER (WHERE official AND catalog = 'ssci_jcr') AS q1, arg_min(quartiles, struct_pack(y := -year, l := load_ord)) FILTER (WHERE NOT official AND catalog IN ('ref_jcr', 'ref_ssci', 'ssci_jcr', 'ref_esci')) AS q2,
+  arg_min(struct_pack(z := zone, y := year), struct_pack(r := NOT official, y := -year, l := load_ord)) FILTER (WHERE zone IS NOT NULL) AS zz FROM ce GROUP BY 1),
+fa AS (SELECT *, coalesce(q1, q2, []) AS ql, array_to_string(coalesce(q1, q2, []), '/') AS qs, zz.z AS zone, zz.y AS zone_year, byref AND no_other AS only_esci FROM en),
+fb AS (SELECT *, len(ql) > 0 AS has_rank, len(list_intersect(ql, ['Q1', 'Q2', 'Q3'])) > 0 AS ranked, coalesce(zone BETWEEN 1 AND 3, false) AS inside FROM fa), fc AS (SELECT *, has_rank AND ranked AND si AND NOT byref AS good FROM fb), fd AS (SELECT *, has_rank AND ranked AND NOT good AND NOT only_esci AND (byref OR maybe) AS hinted FROM fc),
+sa AS (SELECT id, status, ve.journal_id IS NULL AS lost, len(list_filter(es, lambda c: NOT c.official)) > 0 AS beside, ve.journal_id IS NOT NULL AND es IS NOT NULL AS told, CASE WHEN language = 'zh' THEN {_ZH_REASONS} ELSE {_EN_REASONS} END AS rs, CASE WHEN language = 'zh' THEN {_ZH_MISSING} ELSE {_EN_MISSING} END AS ms, language FROM ve LEFT JOIN fd ON fd.journal_id = ve.journal_id)"""
+
+
+@query(f"""WITH {_REASONS_SQL}, sb AS (SELECT id, status, lost, beside, CASE WHEN told THEN rs ELSE [] END AS rs, CASE WHEN told THEN ms WHEN lost THEN ['{reasons.NO_JOURNAL}'] WHEN language = 'zh' THEN ['{reasons.ZH_NONE}'] ELSE ['{reasons.EN_NOT_FOUND}'] END AS ms FROM sa)
+SELECT id, array_to_string(rs, '；') AS reasons, array_to_string(ms, '；') AS missing, CASE WHEN lost THEN '{reasons.NO_JOURNAL_NOTE}' ELSE CASE status {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in journals.NOTES.items())} END || CASE WHEN status IN ('eligible', 'reference') THEN array_to_string(rs, '；') WHEN status = 'pending' THEN CASE WHEN len(ms) > 0 THEN array_to_string(ms, '；') ELSE '{reasons.TOO_LITTLE}' END ELSE '' END || CASE WHEN status = 'reference' THEN '{reasons.REFERENCE_MORE}' WHEN status = 'eligible' AND beside THEN '{reasons.ELIGIBLE_MORE}' ELSE '' END END AS note FROM sb""")
+def h5a_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences behind each paper's standing."""
+    found = _revalidated(spark, sf).select("id", "journal_id", "language", "status")
+    lists = reasons.entries_of(_catalog_entries(spark, sf).withColumn("edition", F.col("year").cast("string")))
+    said = journals.keyed_join(found, lists, "journal_id").select("id", reasons.explain(F.col("language"), F.col("status"), F.col("entries"), has_journal=F.col("journal_id").isNotNull()).alias("s"))
+    return said.select("id", F.array_join("s.reasons", "；").alias("reasons"), F.array_join("s.missing", "；").alias("missing"), "s.note")
+
+
 #: The journals after a change: some renamed, some with their names back, some listed, some entries gone.
 _CHANGED_SQL = _REVALIDATED_SQL.replace("lower(c_name) AS name, c_custkey % 13 = 0 AS blacklisted", "CASE WHEN c_custkey % 50 = 9 THEN 'other ' || c_custkey ELSE lower(c_name) END AS name, c_custkey % 13 = 0 OR c_custkey % 50 = 7 AS blacklisted").replace("END AS zone FROM part)", "END AS zone FROM part WHERE p_partkey % 40 <> 5)")
 
