@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import dates, identifiers
 from lectern.operators import audit, merge
 from lectern.plans import views
-from lectern.plans.queries import query
+from lectern.plans.queries import _TITLE, query
 from lectern.plans.views import LOG_SQL, PAPERS_SQL
 from lectern.session import shared_dir, table
 from lectern.sources import imports, interchange, readers
@@ -268,27 +268,42 @@ def c7_published_links(spark: SparkSession, sf: str) -> DataFrame:
 # --- functions ------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, strip_accents('Éñçäôů Ÿ') || ' ' || doc_id AS bare FROM documents""")
+@query(r"""SELECT doc_id, sha256(strip_accents(text) || 'EncaouY') AS bare FROM documents WHERE text IS NOT NULL""")
 def h1d_strip_diacritics(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", identifiers.strip_diacritics(F.concat(F.lit("Éñçäôů Ÿ "), F.col("doc_id").cast("string"))).alias("bare"))
+    """Whole texts, and letters that they may lack behind them."""
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", F.sha2(identifiers.strip_diacritics(F.concat("text", F.lit("Éñçäôů" + "Ÿ"))), 256).alias("bare"))
 
 
-@query(f"""WITH {PAPERS_SQL} SELECT id, CASE id % 4 WHEN 0 THEN 'doi:10.1234/' || id WHEN 1 THEN 'ti:1234-567X:report no ' || id || ':' || substr(discovery_date, 1, 4) WHEN 2 THEN 'tt:report no ' || id || ':' ELSE 'raw:' || sha256('r' || id) END AS key,
-  CASE WHEN id % 4 = 0 THEN 'doi:10.1234/' || id WHEN id % 4 < 3 THEN 'ft:report no ' || id || ':' || CASE WHEN id % 4 = 1 THEN substr(discovery_date, 1, 4) ELSE '' END ELSE 'fs:src:' || id END AS stream, CASE WHEN id % 4 = 0 THEN 'doi:10.1234/' || id WHEN id % 4 = 1 THEN 'acid:P19-' || id ELSE 'aclbib:k' || id END AS bulk FROM p""")
+@query(f"""WITH {PAPERS_SQL}, t AS (SELECT id, discovery_date, {_TITLE % "title"} AS t FROM p), k AS (SELECT *, CASE WHEN id % 4 = 1 THEN substr(discovery_date, 1, 4) ELSE '' END AS y FROM t)
+SELECT id, CASE WHEN id % 4 = 0 THEN 'doi:10.1234/' || id WHEN id % 4 < 3 AND t <> '' THEN CASE WHEN id % 4 = 1 THEN 'ti:1234-567X:' || substr(t, 1, 120) || ':' || y ELSE 'tt:' || substr(t, 1, 160) || ':' || y END ELSE 'raw:' || sha256('r' || id) END AS key,
+  CASE WHEN id % 4 = 0 THEN 'doi:10.1234/' || id WHEN id % 4 < 3 AND t <> '' THEN 'ft:' || substr(t, 1, 140) || ':' || y ELSE 'fs:src:' || id END AS stream, CASE WHEN id % 4 = 0 THEN 'doi:10.1234/' || id WHEN id % 4 = 1 THEN 'acid:P19-' || id ELSE 'aclbib:k' || id END AS bulk FROM k""")
 def h1f_dedup_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys from whole first lines as titles."""
     i = F.col("id")
     n = i.cast("string")
     doi, issn = F.when(i % 4 == 0, F.concat(F.lit("10.1234/"), n)), F.when(i % 4 == 1, "1234567X")
-    title = F.when(i % 4 < 3, F.concat(F.lit("The Report, No. "), n))
+    title = F.when(i % 4 < 3, F.col("title"))
     year = F.when(i % 4 == 1, F.substring("discovery_date", 1, 4))
     return views.papers(spark, sf).select("id", identifiers.dedup_key(doi, issn, title, year, F.concat(F.lit("r"), n)).alias("key"), identifiers.stream_key(doi, title, year, F.lit("src"), n).alias("stream"), identifiers.bulk_key(doi, F.when(i % 4 == 1, F.concat(F.lit("P19-"), n)), F.concat(F.lit("k"), n)).alias("bulk"))
 
 
-@query("""SELECT c_custkey, 'A & B – ' || chr(CAST(65 + c_custkey % 26 AS INTEGER)) || ' é 中' AS title, 'x &lt;' AS once FROM customer""")
+@query(r"""WITH h AS (SELECT page_id, regexp_replace(replace(html, '<p>', '<p>&#233;&#x4e2d;&ndash; &amp;lt; '), '<[^>]+>', '', 'g') AS t FROM pages)
+SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&#x4e2d;', '中'), '&#233;', 'é'), '&ndash;', '–'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[ \t\n\r\f\x0b\x{a0}]+', ' ', 'g'))) AS title FROM h""")
 def h1i_decode_entities(spark: SparkSession, sf: str) -> DataFrame:
-    code = (F.col("c_custkey") % 26 + 65).cast("int")
-    raw = F.concat(F.lit(" <b>A &amp; B</b>  &ndash; &#"), code.cast("string"), F.lit(";\n&#xE9; &#20013;"))
-    return table(spark, sf, "customer").select("c_custkey", identifiers.clean_title(raw).alias("title"), identifiers.decode_entities(F.lit("x &amp;lt;")).alias("once"))
+    """Whole pages, each paragraph of which begins with numeric and named entities."""
+    raw = F.replace(F.col("html"), F.lit("<p>"), F.lit("<p>&#233;&#x4e2d;&ndash; &amp;lt; "))
+    return table(spark, sf, "pages").select("page_id", F.sha2(identifiers.clean_title(raw), 256).alias("title"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\r\f\x0b\x{a0}]+', ' ', 'g')) AS flat FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split_regex(flat, '(?i)\s+and\s+'), lambda x: trim(x)), lambda x: x <> ''), '|')) AS split,
+  sha256(array_to_string(list_filter(list_transform(string_split(replace(text, '.', '[1, 2];'), ';'), lambda x: regexp_replace(replace(x, '[1, 2]', ''), '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g')), lambda x: x <> ''), '|')) AS cleaned FROM t""")
+def h1k_author_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as lists of authors: parted by `and`, and by marks of institutions where sentences end."""
+    d = table(spark, sf, "documents").where("text is not null")
+    cleaned = identifiers.clean_authors(F.replace(F.col("text"), F.lit("."), F.lit("[1, 2];")))
+    return d.select("doc_id", F.sha2(F.array_join(identifiers.split_authors(F.col("text")), "|"), 256).alias("split"), F.sha2(F.array_join(cleaned, "|"), 256).alias("cleaned"))
 
 
 @query("""SELECT c_custkey, 'Ann Lee|Bo|' || c_name AS formatted, 'Ann|' || c_name AS cleaned, 'Lee, Ann|' || c_name AS split FROM customer""")

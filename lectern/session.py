@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _own: list[str] = []
-_written: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -30,7 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one where that is unset and the master local."""
+    """This application's folder in the one that all executors share, spark.checkpoint.dir; a local one where that is unset and
+    the master local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         found = _own[0]
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,17 +46,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far, once the results made from them are stored; how many there were."""
-    files = spark._jvm.org.apache.hadoop.fs.Path
-    n = len(_written)
-    while _written:
-        path = files(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what this application left in the shared folder (intermediate and landed tables, models), once the results made
+    from it are stored; how many tables there were."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return 0
+    n = len(files.listStatus(folder))
+    files.delete(folder, True)
     return n
 
 
