@@ -1,7 +1,7 @@
 """URL filter: site rules, then a logistic regression on hashed character n-grams of host and path.
 
-Everything on the main path is built-in functions.  The model is fitted once a call on a labelled table of about a thousand
-URLs, made by rule from two lists of common words; its weights (BUCKETS doubles) enter the plan as one literal array.
+Everything on the main path is built-in functions.  The model is fitted once a call on a labelled table of about two thousand
+URLs: common words of both kinds in the ways names of sites are made of them, and names that mean nothing; its weights (BUCKETS doubles) enter the plan as one literal array.
 """
 
 from __future__ import annotations
@@ -39,23 +39,49 @@ GOOD_WORDS = tuple(
     "charity volunteer law court justice economy finance insurance bank budget jobs career training workshop lecture thesis essay blog diary letters "
     "maps atlas city town street house office studio factory tools hardware network server cloud security privacy open source code".split()
 )
-#: What stands around a word in host names, and paths; the same for both lists, so that they tell nothing.
-NAMES = ("{}", "best{}", "{}-online", "my-{}", "{}hub", "the{}", "{}365", "{}world")
+#: How names of sites are made of a word, by label: unwanted ones promise, ordinary ones say who they are; a fifth of either is made
+#: in a way of the other, so that no way decides alone.
+BAD_NAMES = ("{}", "best-{}", "{}-bonus", "cheap{}", "free-{}", "{}777", "hot{}", "{}4u", "{}-win", "top{}deals")
+GOOD_NAMES = ("{}", "the{}", "{}-online", "{}society", "city{}", "national-{}", "{}institute", "{}lab", "{}-group", "my{}")
+#: Sounds of names that mean nothing, as many ordinary sites have them.
+OPENS, VOWELS, CLOSES = ("b", "d", "f", "gr", "k", "l", "m", "n", "p", "qu", "r", "s", "t", "th", "tr", "v", "wh", "z"), ("a", "e", "i", "o", "u", "ea", "ou", "io"), ("", "n", "r", "s", "l", "nd", "st", "ng", "ck", "th")
+BRANDS = 400
 ENDINGS = ("example.com", "example.net", "example.org", "site.org")
 SUBDOMAINS = ("", "www.", "m.", "blog.")
 PATHS = ("/", "/en/{}", "/de/{}.html", "/fr/{}/", "/es/item-{}", "/a/{}/view")
 
 
+def brand(i: int) -> str:
+    """A name of two or three syllables, made by rule."""
+    n, out = 7919 * (i + 1), ""
+    for _ in range(2 + i % 2):
+        out += OPENS[n % len(OPENS)] + VOWELS[n // 18 % len(VOWELS)] + CLOSES[n // 144 % len(CLOSES)]
+        n = n // 5 + 104_729 * (i % 13 + 1)
+    return out
+
+
 def labelled_urls() -> list[tuple[str, int, str]]:
-    """The labelled table (url, label, word): every word in four host names and once in a path; all else dealt in turn."""
-    table = []
-    for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
+    """The labelled table (url, label, word): every word in five host names and once in a path, names that mean nothing once; what
+    stands before and behind a host is dealt in turn to all alike."""
+    table, n = [], 0
+
+    def add(label: int, name: str, word: str, in_path: bool = False) -> None:
+        nonlocal n
+        n += 1
+        end = ENDINGS[n // 4 % 4]
+        if in_path:
+            table.append((f"http://www.{end}/{name}/{31 * n % 997}", label, word))
+        else:
+            table.append((f"https://{SUBDOMAINS[n % 4]}{name}.{end}{PATHS[n // 3 % 6].format(97 * n % 10_007)}", label, word))
+
+    for label, words, own, other in ((1, BAD_WORDS, BAD_NAMES, GOOD_NAMES), (0, GOOD_WORDS, GOOD_NAMES, BAD_NAMES)):
         for i, word in enumerate(words):
             for j in range(4):
-                n = 3 * i + 5 * j
-                host = f"{SUBDOMAINS[n % 4]}{NAMES[(i + 2 * j + j // 2) % 8].format(word)}.{ENDINGS[(n + i) % 4]}"
-                table.append((f"https://{host}{PATHS[(n + i) % 6].format(97 * n % 1009)}", label, word))
-            table.append((f"http://www.{ENDINGS[i % 4]}/{NAMES[i % 8].format(word)}/{31 * i % 997}", label, word))
+                add(label, own[(3 * i + j) % len(own)].format(word), word)
+            add(label, other[i % len(other)].format(word), word)
+            add(label, own[(i + 5) % len(own)].format(word), word, in_path=True)
+    for i in range(BRANDS):
+        add(0, brand(i), brand(i))
     return table
 
 
