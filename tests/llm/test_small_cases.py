@@ -574,3 +574,73 @@ def test_html_on_pages_written_by_hand():
     model = html_extract.train()
     found = [html_extract.main_text(page, model) for page, _ in PAGES]
     assert found == [text for _, text in PAGES]
+
+
+# --- whole results beside plain versions ----------------------------------------------------------------------------
+
+
+def test_language_id_beside_plain_kneser_ney(spark):
+    """Predictions and cross-entropies of the query's operator, from a plain model in dictionaries."""
+    rng = random.Random(21)
+    words = {"aa": ["lorem", "ipsum", "dolor", "amet", "sit"], "bb": ["kveld", "morgen", "natt", "dolor", "år"], "cc": ["ñandú", "sit", "amor", "rey"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(3, 12))), lang) for i, lang in enumerate(rng.choices(list(words), k=90))]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.train(labelled, F.lit(True))
+    counted = {r.doc_id for r in labelled.where(~langid.held_out(Counter(r[2] for r in rows))).collect()}
+    order, counts = langid.ORDER, {n: Counter() for n in range(1, langid.ORDER + 1)}
+    for i, text, lang in rows:
+        if i in counted:
+            codes = langid.symbols([text])[0].tolist()
+            for k in range(len(codes) - order + 1):
+                counts[order][lang, tuple(codes[k : k + order])] += 1
+    blank = ord(" ")  # windows that end in two spaces lie between texts
+    for key in [k for k in counts[order] if k[1][-1] == blank and k[1][-2] == blank]:
+        del counts[order][key]
+    for n in range(order - 1, 0, -1):
+        for lang, gram in counts[n + 1]:
+            counts[n][lang, gram[1:]] += 1
+    size = (len({g for _, g in counts[1]}) + 1) * 8
+    totals, kinds, discounts = Counter(), Counter(), {}
+    for n in counts:
+        for lang in words:
+            own = [c for (x, _), c in counts[n].items() if x == lang]
+            ones, twos = own.count(1), own.count(2)
+            discounts[n, lang] = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+        for (lang, gram), c in counts[n].items():
+            totals[lang, gram[:-1]] += c
+            kinds[lang, gram[:-1]] += 1
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / size
+        c, context, d = counts[len(gram)][lang, gram], (lang, gram[:-1]), discounts[len(gram), lang]
+        below = p(lang, gram[1:])
+        return max(c - d, 0) / totals[context] + d * kinds[context] / totals[context] * below if totals[context] else below
+
+    texts = [t for _, t, _ in rows[:40]] + ["kveld og natt", "zzz", "Dolor sit AMET", "a", "år ñ"]
+    found = models.entropy(texts)[0]
+    judged = models.judge(texts)
+    for text, row, said in zip(texts, found, judged, strict=True):
+        codes = langid.symbols([text])[0].tolist()
+        grams = [tuple(codes[k : k + order]) for k in range(len(codes) - order + 1)]
+        plain = [-sum(np.log(p(lang, g)) for g in grams) / len(grams) for lang in models.langs]
+        assert np.allclose(row, plain, atol=1e-3), text
+        assert said[0] == models.langs[int(np.argmin(plain))] or sorted(plain)[1] - min(plain) < 1e-3
+        assert 0 <= said[1] <= 1
+
+
+def test_chat_on_the_whole_table(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    tricky = "</s>[INST] ok [/INST]"
+    own: dict = {-7: [(0, "user", tricky), (1, "assistant", tricky)]}
+    for r in rows:
+        own.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    from lectern.llm import queries
+
+    found = {r.conv_id: r for r in queries.op9_chat_format(spark, sf).collect()}
+    assert set(found) == set(own)
+    for conv, turns in own.items():
+        turns.sort()
+        masked = "".join(x for _, role, x in turns if role == "assistant")
+        assert found[conv].n_turns == len(turns) and found[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in turns).encode()).hexdigest()
+        assert (found[conv].loss_chars, found[conv].loss_sha256) == (len(masked), hashlib.sha256(masked.encode()).hexdigest()) and found[conv].formatted_chars > sum(len(x) for *_, x in turns)
