@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from lectern.session import ship
 from lectern.streaming.upserts import stream_upserts
 
+# Spark looks at a processor in a process beside the driver, which has none of the files that are sent to executors: its code goes along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Microseconds and the id of the last row, the last that went well and the last that failed; then sums.
 _STATE = "last_at long, last_id long, last_status string, ok_at long, ok_id long, failed_at long, failed_id long, added long, first_seen long, checks long"
@@ -89,7 +93,6 @@ def source_states(log: DataFrame, silent_after: int, forget_after: int = 0, late
     Rows up to `late` behind the newest one count, in whatever order they come; later ones are dropped, as timers have passed.
     """
     spark = log.sparkSession
-    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = log.where("source is not null and at is not null").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", late)
     rows = rows.select("source", "at", F.unix_micros("at").alias("micros"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), F.coalesce("ok", F.lit(False)).alias("ok"), "status", F.col("added").cast("long").alias("added"))
