@@ -19,6 +19,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import workers
 from lectern.session import materialize, shared_dir, ship
 
 ORDER = 5
@@ -81,6 +82,7 @@ def _slices(batches):
 
 
 def _count(batches):
+    workers.begin()
     for part in _slices(batches):
         langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
         for lang in sorted(set(langs)):
@@ -202,6 +204,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 _loaded: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, list[str]]] = {}
 _slots: dict[str, tuple[np.uint64, np.ndarray]] = {}
+workers.keeps("language models", lambda: (_loaded.clear(), _slots.clear()))
 
 
 def _read(path: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -389,6 +392,7 @@ def predict(documents: DataFrame, models: Models, keep: tuple[str, ...] = ()) ->
     place = columns.index("text") if "text" in columns else len(columns)  # a text that is kept travels once
 
     def run(batches):
+        workers.begin("language models")
         for batch in _slices(batches):
             texts = batch.column(place).to_pylist()
             found = shared.value.judge(texts)

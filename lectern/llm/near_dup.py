@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import workers
 from lectern.llm.components import connected_components
 from lectern.llm.repeats import keyed
 from lectern.llm.words import Shingles, chunks, mix
@@ -58,6 +59,7 @@ def _signatures(n: int, bands: int):
         return np.packbits(seen.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64).ravel()
 
     def run(batches):
+        workers.begin("digests")
         for batch in batches:
             for part, texts in _slices(batch, 1000):
                 made = Shingles(texts, n)
@@ -111,6 +113,7 @@ def most_bits(percent: int, bands: int) -> int:
 
 def _confirm(n: int, percent: int):
     def run(batches):
+        workers.begin("digests")
         for batch in batches:
             keep = []
             for begin in range(0, batch.num_rows, PAIRS):

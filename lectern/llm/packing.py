@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import workers
 from lectern.session import materialize, ship
 
 SEQUENCE = 4096
@@ -108,6 +109,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def _cut(path: str, end_id: int, sequence: int):
     def run(batches):
+        workers.begin()
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder, end = _encoders[path], np.uint32(end_id).tobytes()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import workers
 from lectern.llm.words import _power_arrays, mix
 from lectern.session import materialize
 
@@ -87,6 +88,7 @@ def _parts(batches, size: int):
 
 def _emit_grams(units: Units, window: int, k: int):
     def run(batches):
+        workers.begin("powers")
         for part in _parts(batches, 500):
             found = [r[0] for u in units.hashes(part.column("text").to_pylist()) if (r := runs_of(u, window, k))]
             if found:
@@ -109,6 +111,7 @@ def _batch(rows: list[np.ndarray], digests: list[bytes], found: list[tuple[np.nd
 
 def _emit_runs(units: Units, window: int, k: int):
     def run(batches):
+        workers.begin("powers")
         for part in _parts(batches, 500):
             rows, digests, parts = [], [], []
             texts = part.column("text").to_pylist()
@@ -191,6 +194,7 @@ def _narrower(units: Units, window: int, k: int, width: int):
     last = window - k
 
     def run(batches):
+        workers.begin("powers")
         for part in _parts(batches, 100):
             rows, digests, parts = [], [], []
             texts = part.column("text").to_pylist()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import repeats
+from lectern.llm import repeats, workers
 from lectern.llm.words import _TABLE
 from lectern.session import ship
 
@@ -152,6 +152,7 @@ def _sorted_runs(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *_RUN_FIELDS])
 
     def run(batches):
+        workers.begin("powers")
         held: list[tuple] = []
         for part in small(batches):
             for row, text, contexts in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), part.column("contexts").to_pylist(), strict=True):
@@ -259,6 +260,7 @@ def _compare(texts: DataFrame, n: int) -> DataFrame:
 
 def _cut(columns: list[str], whole_characters: bool):
     def run(batches):
+        workers.begin("powers")
         for batch in small(batches):
             out: list[tuple] = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):

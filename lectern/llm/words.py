@@ -7,6 +7,8 @@ from hashlib import blake2b
 
 import numpy as np
 
+from lectern.llm import workers
+
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _FOLDED = _TABLE.copy()
@@ -19,6 +21,13 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 CHUNK = 4_000_000  # bytes hashed at a time; a longer text is a chunk of its own
 
 
+def _forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+workers.keeps("powers", _forget_powers)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -85,6 +94,9 @@ def combine(h: np.ndarray, n: int) -> np.ndarray:
 _digests: dict[bytes, bytes] = {}
 
 
+workers.keeps("digests", _digests.clear)
+
+
 def digest_of(word: bytes) -> bytes:
     """A word's 128-bit BLAKE2b digest, remembered for the words met last."""
     found = _digests.get(word)
