@@ -644,3 +644,17 @@ def test_chat_on_the_whole_table(spark, sf):
         masked = "".join(x for _, role, x in turns if role == "assistant")
         assert found[conv].n_turns == len(turns) and found[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for _, role, x in turns).encode()).hexdigest()
         assert (found[conv].loss_chars, found[conv].loss_sha256) == (len(masked), hashlib.sha256(masked.encode()).hexdigest()) and found[conv].formatted_chars > sum(len(x) for *_, x in turns)
+
+
+def test_workers_let_go_of_what_others_keep():
+    from lectern.llm import words, workers
+
+    before = dict(langid._loaded)
+    langid._loaded["path", "name"] = None
+    words._power_arrays(1000)
+    words.digest_of(b"word")
+    workers.begin("powers")
+    assert not langid._loaded and not words._digests and len(words._powers[0]) >= 1000
+    workers.begin()
+    assert len(words._powers[0]) == 1 and (words._power_arrays(3)[0] == np.array([1, int(words._B), int(words._B) ** 2 % 2**64], np.uint64)).all()
+    langid._loaded.update(before)
