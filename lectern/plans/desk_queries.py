@@ -187,7 +187,7 @@ def i10_run_rows(spark: SparkSession, sf: str) -> DataFrame:
 of_source AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS k FROM fr), pk AS (SELECT *, row_number() OVER (ORDER BY k > 2, score DESC, id) AS place FROM of_source)
 SELECT id, source, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, first_seen = '{TODAY}' AS is_new FROM pk WHERE place <= 8""")
 def i11_frontier_picks(spark: SparkSession, sf: str) -> DataFrame:
-    found = _frontier(spark, sf)
+    found = _frontier(spark, sf, 2_000)
     items = found.select("id", F.col("discovery_date").alias("first_seen"), "n_directions", "score", F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
     return select.frontier_picks(items, items.where("id % 4 = 1").select("id"), TODAY, 8)
 
