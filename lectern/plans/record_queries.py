@@ -18,6 +18,7 @@ from lectern.streaming import states
 from lectern.streaming.upserts import keyed_table
 
 PAGE = 500  # records of a landed file, about
+ENTRIES = 20_000  # of a landed XML file, which one task reads as a whole
 
 
 def answers(rows: DataFrame, name: str, item: Column, wrap, ident: str = "id") -> str:
@@ -83,7 +84,7 @@ def a5_atom(spark: SparkSession, sf: str) -> DataFrame:
     number = F.concat(F.lpad((F.col("id") % 9000 + 1000).cast("string"), 4, "0"), F.lit("."), F.lpad(F.col("id").cast("string"), 5, "0"))
     rows = views.papers(spark, sf).select(F.concat(F.lit("http://arxiv.org/abs/"), number, F.lit("v2")).alias("id"), F.concat(F.lit("paper\n "), F.col("id").cast("string")).alias("title"), F.lit("a summary").alias("summary"), F.concat("discovery_date", F.lit("T00:00:00Z")).alias("published"), F.array(F.struct(F.lit("Ann Lee").alias("name"))).alias("author"))
     path = f"{shared_dir(spark)}/landed-atom-{uuid.uuid4().hex}"
-    rows.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+    rows.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").option("maxRecordsPerFile", ENTRIES).save(path)
     return readers.read_atom(spark, path).select("id", "title", "published_date", "doc_type", F.size("authors").alias("n_authors"))
 
 
