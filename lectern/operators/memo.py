@@ -41,20 +41,21 @@ def memoise(rows: DataFrame, key: str, context: str, compute: Callable[[DataFram
     content = F.sha2(F.to_json(F.struct(F.lit(context).alias("__context"), *rows.columns), {"ignoreNullFields": "false"}), 256)
     part = F.pmod(F.xxhash64(F.col(key), F.lit(0)), F.lit(parts)).cast("int")
     hashed = rows.withColumns({"__content": content, "__part": part})
-    wanted = hashed.dropDuplicates(["__content"])
+    # rows are told apart by their hashes; only those that are computed are shuffled as a whole, and once
+    wanted = materialize(hashed.groupBy(F.col("__content").alias("content"), F.col("__part").alias("part")).agg(F.count(F.lit(1)).alias("n")), "wanted")
     old = stored(spark, path)
-    if old is None:
-        missing, hits = materialize(wanted, "missing"), None
-    else:
-        missing = materialize(wanted.join(old.select(F.col("content").alias("__content"), F.col("part").alias("__part")), ["__content", "__part"], "left_anti"), "missing")
-        hits = old.join(wanted.select(F.col("__content").alias("content"), F.col("__part").alias("part")), ["content", "part"], "left_semi")
+    missing = wanted if old is None else materialize(wanted.join(old.select("content", "part"), ["content", "part"], "left_anti"), "missing")
+    hits = None if old is None else old.join(wanted.select("content", "part"), ["content", "part"], "left_semi")
     computed = missing.count()
     fresh = None
     if computed or hits is None:
-        made = compute(missing.drop("__part"))
-        fresh = materialize(made.select(F.col("__content").alias("content"), F.struct(*values).alias("values")).join(missing.select(F.col("__content").alias("content"), F.col("__part").alias("part")), "content"), "fresh")
+        rest = hashed.join(missing.select(F.col("content").alias("__content"), F.col("n").alias("__n")), "__content").drop("__part")
+        if missing.where("n > 1").limit(1).count():
+            rest = rest.where("__n = 1").unionByName(rest.where("__n > 1").dropDuplicates(["__content"]))
+        made = compute(rest.drop("__n"))
+        fresh = materialize(made.select(F.col("__content").alias("content"), F.struct(*values).alias("values")).join(missing.select("content", "part"), "content"), "fresh")
     known = fresh if hits is None else hits.select("content", "part", "values") if fresh is None else hits.select("content", "part", "values").unionByName(fresh.select("content", "part", "values"))
-    gone = 0 if hits is None else old.join(wanted.select(F.col("__content").alias("content"), F.col("__part").alias("part")), ["content", "part"], "left_anti").groupBy("part").count().collect()
+    gone = 0 if hits is None else old.join(wanted.select("content", "part"), ["content", "part"], "left_anti").groupBy("part").count().collect()
     touched = {r.part for r in gone} if gone else set()
     if fresh is not None:
         touched |= {r.part for r in fresh.select("part").distinct().collect()}
