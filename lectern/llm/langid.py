@@ -108,6 +108,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def _keyed(batches):
+    workers.begin()
     for batch in batches:
         grams = batch.column("gram").to_pylist()
         codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(grams), -1)

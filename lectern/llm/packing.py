@@ -105,11 +105,12 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+workers.keeps("encoders", _encoders.clear)
 
 
 def _cut(path: str, end_id: int, sequence: int):
     def run(batches):
-        workers.begin()
+        workers.begin("encoders")
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder, end = _encoders[path], np.uint32(end_id).tobytes()
@@ -232,6 +233,7 @@ def slots_of(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray
 
 def _place(slots: dict[int, np.ndarray]):
     def run(batches):
+        workers.begin()
         for batch in batches:
             size, rank = batch.column("size").to_numpy(), batch.column("rank").to_numpy()
             sequence, slot = np.empty(len(size), np.int64), np.empty(len(size), np.int64)

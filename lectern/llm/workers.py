@@ -7,8 +7,12 @@ is asked for once more.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _kept: dict[str, Callable[[], None]] = {}
 
 
@@ -22,3 +26,7 @@ def begin(*used: str) -> None:
     for name, clear in _kept.items():
         if name not in used:
             clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # what was let go stays this process's otherwise
+        trim(0)

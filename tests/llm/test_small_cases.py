@@ -658,3 +658,15 @@ def test_workers_let_go_of_what_others_keep():
     workers.begin()
     assert len(words._powers[0]) == 1 and (words._power_arrays(3)[0] == np.array([1, int(words._B), int(words._B) ** 2 % 2**64], np.uint64)).all()
     langid._loaded.update(before)
+
+
+def test_workers_let_go_of_encoders():
+    from lectern.llm import words, workers
+
+    packing._encoders["path"] = None
+    workers.begin("encoders")
+    assert "path" in packing._encoders
+    assert not list(langid._count([])) and not packing._encoders
+    words._power_arrays(1000)
+    packing._encoders["path"] = None
+    assert not list(packing._place({})([])) and not packing._encoders and len(words._powers[0]) == 1
