@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.identifiers import normalize_issn, normalize_journal_name
-from lectern.operators.journals import revalidate
+from lectern.operators.journals import judged
 from lectern.session import materialize
 
 PARTS = 256
@@ -37,16 +37,16 @@ def _home(parts: int) -> Column:
 
 
 def judge(papers: DataFrame, journals: DataFrame, entries: DataFrame) -> DataFrame:
-    """papers (id, issn, journal_name, language, status) with journal_id, status, basis and missing by revalidate()."""
-    found = revalidate(papers.select("id", "issn", "journal_name", "language", "status", F.lit(None).cast("long").alias("journal_id")), journals, entries)
-    return papers.select("id", "issn", "journal_name").join(found.select("id", "language", "status", "journal_id", "basis", "missing"), "id").select(*KEPT)
+    """papers (id, issn, journal_name, language, status) with journal_id, status, basis and missing by journals.judged()."""
+    return judged(papers.select("id", "issn", "journal_name", "language", "status"), journals, entries).select(*KEPT)
 
 
 def store(judged: DataFrame, path: str, parts: int = PARTS) -> None:
     """Write judged papers by part, and the homes of their names."""
     placed = judged.select(*KEPT, _home(parts).alias("part"))
     placed.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/papers")
-    homes = placed.select(_name().alias("name"), F.col("part").alias("home")).where("name is not null").distinct()
+    names = judged.sparkSession.read.parquet(f"{path}/papers").select("journal_name", F.col("part").alias("home")).distinct()
+    homes = names.select(_name().alias("name"), "home").where("name is not null").distinct()
     homes.withColumn("part", _part(F.col("name"), parts)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/homes")
 
 
