@@ -16,7 +16,11 @@ def first_where(c: Column, ok: Column, order: Column) -> Column:
 
 def longest(c: Column, order: Column) -> Column:
     """The longest text, the first of equally long ones."""
-    return F.max_by(c, F.struct(F.length(c), (-order)))
+    return _beside_longest(c, c, order)
+
+
+def _beside_longest(c: Column, text: Column, order: Column) -> Column:
+    return F.min_by(c, F.when(text.isNotNull(), F.struct(-F.length(text), order)))
 
 
 def first_elements(records: DataFrame, key: str, order: Column, columns: dict[str, int | None]) -> DataFrame:
@@ -47,6 +51,7 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
 
     Policies: `first` (first non-empty), `last` (of the last row), `value` (first that is no placeholder), `longest`, `with:x` (what stands beside
     the longest x), `any`, `max` (0 is null), `map` (first of a key), `union` (arrays), `union:n` (the first n).  `order` makes every choice certain; give it no ties within a key.
+    It may be a struct, such as a number and the row's place in its table (session.placed).
     """
     o = F.col(order)
     made: list[Column] = []
@@ -63,7 +68,7 @@ def merge_records(records: DataFrame, key: str, order: str, policy: dict[str, st
             made.append(longest(c, o).alias(name))
         elif rule.startswith("with:"):  # the value that stands beside the longest text of another column
             other = F.col(rule.removeprefix("with:"))
-            made.append(F.max_by(c, F.when(other.isNotNull(), F.struct(F.length(other), (-o)))).alias(name))
+            made.append(_beside_longest(c, other, o).alias(name))
         elif rule == "map":  # entries of all maps, the first of a key wins
             listed.setdefault(records.schema[name].dataType.simpleString(), {})[name] = None
         elif rule == "last":
